@@ -15,6 +15,12 @@ def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(token_file(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json")))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .substring_dedup import digests
+
+    return digests(table(spark, sf_dir, "documents"))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import digests
 
