@@ -7,6 +7,13 @@ from pyspark.sql import DataFrame, SparkSession
 from .tables import table
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .quality_rules import learn_from, quality_rules, train
+
+    docs = table(spark, sf_dir, "documents")
+    return quality_rules(docs, train(docs, table(spark, sf_dir, "labels"), learn_from()))
+
+
 def op2_token_binary(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -27,6 +34,13 @@ def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pu_quality import scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import digests
 
