@@ -41,6 +41,13 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scores(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .toxicity import scores, train
+
+    docs = table(spark, sf_dir, "documents")
+    return scores(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op7_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .simhash_dedup import digests
 
