@@ -23,7 +23,7 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .tables import row_key, staged
+from .tables import carried, row_key, staged
 
 WINDOW = 8
 BROADCAST_WINDOWS = 100_000
@@ -143,8 +143,7 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_i
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
     """``docs`` without the rows that are contaminated."""
     bad = staged(contamination(docs, items, window, min_items).filter("contaminated").select("key_id", "key_text").distinct(), "contaminated")
-    keyed = docs.select(*row_key(), "*")
-    return keyed.join(bad, ["key_id", "key_text"], "left_anti").select(*docs.columns)
+    return carried(docs).drop("text").join(bad, ["key_id", "key_text"], "left_anti").select("row.*")
 
 
 def digests(docs: DataFrame, items: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLANKS, LOWER, Block, mix, ragged, row_of, text_blocks
 from .components import components
-from .tables import row_key, shuffle_width, staged
+from .tables import carried, row_key, shuffle_width, staged
 
 RADIUS = 3
 SHINGLE = 3
@@ -254,12 +254,12 @@ def representatives(docs: DataFrame) -> DataFrame:
     Where rows repeat that id, one of them stays.  Rows of components without
     any id are kept as one row too.
     """
-    keyed = docs.select(*row_key(), "*")
+    keyed = carried(docs).drop("text")
     names = near_duplicates(docs, keyed=True)
     own = names.groupBy("component_id", "root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("gone"), "key_id", "key_text")).alias("least"))
     chosen = staged(own.select("least.key_id", "least.key_text").distinct(), "chosen")
     one = keyed.join(chosen, ["key_id", "key_text"], "left_semi").dropDuplicates(["key_id", "key_text"])
-    return one.select(*docs.columns)
+    return one.select("row.*")
 
 
 def digests(docs: DataFrame) -> DataFrame:

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import BLANKS, Block, Rolling, byte_hash, mix, ragged, row_of, text_blocks
-from .tables import row_key, shared_dir, shuffle_width, staged
+from .tables import carried, shared_dir, shuffle_width, staged
 
 WINDOW = 35
 ANCHOR = 12
@@ -206,16 +206,13 @@ def hashed_windows(spans: DataFrame, docs: DataFrame, window: int) -> DataFrame:
 
 
 def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """``docs``, its keys, and ``spans``: the repeated windows as (``lo``, ``mask``), null where there are none.
+    """Key, ``text`` and whole ``row`` of every row, and ``spans``: the repeated windows as (``lo``, ``n``, ``mask``), null where there are none.
 
     The rows go into the index in ``batches`` batches, then all are looked up.
     """
     spark = docs.sparkSession
-    taken = [c for c in docs.columns if c in {*KEY, "spans"}]
-    if taken:
-        raise ValueError(f"columns named {taken} clash with the operator's own")
-    keyed = docs.select(*row_key(), "*")
-    texts = keyed.select(*KEY, F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    keyed = carried(docs)
+    texts = keyed.select(*KEY, F.coalesce("text", F.lit("")).alias("text"))
     found = staged(entries(texts, window, anchor), "entries")
     index = Index(spark)
     for b in range(batches):
@@ -269,7 +266,7 @@ def digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches
             })
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return marked(own, window, anchor, batches).select("doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
+    return marked(own, window, anchor, batches).select("row.doc_id", "text", "spans").mapInArrow(run, "doc_id long, n_words long, n_removed long, kept_sha256 string")
 
 
 def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
@@ -289,7 +286,8 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bat
         for batch, block, _, removed, kept in _texts(parts, window):
             text = batch.column("text").slice(block.lo, block.rows).to_pylist()
             text = [k.decode("utf-8", "replace") if n else t for t, n, k in zip(text, removed.tolist(), kept, strict=True)]
-            columns = [pa.array(text, pa.string()) if f.name == "text" else batch.column(f.name).slice(block.lo, block.rows) for f in schema.fields]
+            row = batch.column("row").slice(block.lo, block.rows).flatten()
+            columns = [pa.array(text, pa.string()) if f.name == "text" else c for f, c in zip(schema.fields, row, strict=True)]
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
-    return marked(docs, window, anchor, batches).select(*docs.columns, "spans").mapInArrow(run, schema)
+    return marked(docs, window, anchor, batches).select("text", "row", "spans").mapInArrow(run, schema)

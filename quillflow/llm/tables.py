@@ -62,3 +62,8 @@ def row_key(doc_id: str = "doc_id", text: str = "text") -> list[Column]:
         F.coalesce(F.col(doc_id).cast("long"), F.lit(-(1 << 62))).alias("key_id"),
         F.xxhash64(F.col(doc_id), F.col(text)).alias("key_text"),
     ]
+
+
+def carried(docs: DataFrame) -> DataFrame:
+    """Key, ``text`` and the whole ``row`` as a struct, so that no column of ``docs`` can clash with an operator's own."""
+    return docs.select(*row_key(), F.col("text").cast("string").alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))

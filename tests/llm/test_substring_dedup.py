@@ -48,7 +48,7 @@ def test_against_brute_force(spark, window, anchor, batches):
 def test_texts(spark):
     passage = " ".join(f"p{i}" for i in range(40))
     rows = [(1, f"start\n{passage} end", "a"), (2, f"{passage}\tother", "b"), (3, "left\n as  it is", None), (4, None, "d"), (None, "no id", "e"), (5, passage, "f"), (5, passage, "f")]
-    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    docs = spark.createDataFrame(rows, "doc_id long, text string, spans string")
     got = deduplicate(docs)
     assert got.schema == docs.schema
     assert Counter(map(tuple, got.collect())) == Counter([(1, "start end", "a"), (2, "other", "b"), rows[2], rows[3], rows[4], (5, "", "f"), (5, "", "f")])
