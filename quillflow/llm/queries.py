@@ -62,11 +62,17 @@ def op8_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
 
 
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .chat_format import digests, formatted, with_probe
+
+    return digests(formatted(with_probe(table(spark, sf_dir, "conversations"))))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: int(x[0][2:].split("_")[0]) if x[0].startswith("op") else 0) if name.startswith("op") and callable(f)}
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import decontaminate
+    from . import chat_format, decontaminate
 
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL}
+    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat_format": chat_format.ORACLE_SQL}
