@@ -68,6 +68,12 @@ def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digests(formatted(with_probe(table(spark, sf_dir, "conversations"))))
 
 
+def op10_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .masked_lm import scores
+
+    return scores(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict:
     return {name: f for name, f in sorted(globals().items(), key=lambda x: int(x[0][2:].split("_")[0]) if x[0].startswith("op") else 0) if name.startswith("op") and callable(f)}
 
