@@ -71,18 +71,22 @@ def articles(docs: DataFrame, text: str = "text", out: str = "articles") -> Data
         return record(chapter=chapter, section=section, out=F.array_append(acc["out"], record(chapter=chapter, section=section)))
 
     # A heading without words of its own goes on over the next line, which may be the article's.
-    reach = F.transform("_pieces", lambda p, i: F.concat(p, F.coalesce(F.regexp_extract(F.get("_pieces", i + 1), r"^[^\n]*", 0), F.lit(""))))
-    held = F.aggregate(reach, start, carry, lambda acc: acc["out"])
-    cut = cut.withColumn("_held", F.when(F.size("_pieces") > 1, held)).withColumn("_body", body)
+    following = F.slice("_pieces", F.lit(2), F.size("_pieces"))
+    reach = F.zip_with("_pieces", following, lambda p, after: F.concat(p, F.coalesce(F.regexp_extract(after, r"^[^\n]*", 0), F.lit(""))))
+    held = F.slice(F.aggregate(reach, start, carry, lambda acc: acc["out"]), F.lit(1), F.greatest(F.size("_pieces") - 1, F.lit(0)))
     heading = lambda x: F.regexp_extract(x, ARTICLE, 1)
 
-    def article(piece: Column, i: Column) -> Column:
+    def article(piece: Column, above: Column) -> Column:
         own = t.strip(piece)
-        return record(ord=i, number=F.regexp_extract(heading(piece), r"(?U)Điều\s+(\d+)", 1).cast("int"), title=t.strip(F.regexp_extract(t.strip(heading(piece)), r"(?U)Điều\s+\d+[\.:]\s*(.*)", 1)), text=own, chapter=F.get("_held", i)["chapter"], section=F.get("_held", i)["section"], chars=F.length(own))
+        return record(
+            number=F.regexp_extract(heading(piece), r"(?U)Điều\s+(\d+)", 1).cast("int"), title=t.strip(F.regexp_extract(t.strip(heading(piece)), r"(?U)Điều\s+\d+[\.:]\s*(.*)", 1)),
+            text=own, chapter=above["chapter"], section=above["section"], chars=F.length(own),
+        )
 
+    # Arrays meet by zip_with: a lambda that refers to another array would compute it anew for each element.
+    numbered = F.transform(F.zip_with(body, held, article), lambda x, i: record(ord=i, **{k: x[k] for k in ("number", "title", "text", "chapter", "section", "chars")}))
     whole = F.array(record(ord=F.lit(0), number=F.lit(0), title=F.lit(WHOLE_TEXT), text=t.text(text), chapter=F.lit(""), section=F.lit(""), chars=F.length(t.text(text))))
-    found = F.transform("_body", article)
-    return cut.withColumn(out, F.when(F.size("_pieces") > 1, found).otherwise(whole)).drop("_pieces", "_held", "_body")
+    return cut.withColumn(out, F.when(F.size("_pieces") > 1, numbered).otherwise(whole)).drop("_pieces")
 
 
 def merge_short(sizes: Column, low: int) -> Column:
@@ -123,9 +127,16 @@ def clause_parts(c: Column, high: int) -> Column:
     cut = pieces(c, CLAUSE)
     header = t.strip(F.get(cut, F.lit(0)))
     clauses = F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))), t.strip)
-    part = pack(F.transform(clauses, F.length), F.length(header), high)
-    numbered = F.arrays_zip(part.alias("part"), clauses.alias("clause"))
-    texts = F.transform(F.array_distinct(part), lambda p: t.strip(F.concat(header, F.lit("\n"), F.array_join(F.transform(F.filter(numbered, lambda x: x["part"] == p), lambda x: x["clause"]), "\n"))))
+    start = record(head=header, sum=F.length(header), open=F.lit(""), count=F.lit(0), out=F.expr("cast(array() as array<string>)"))
+
+    def step(acc: Column, clause: Column) -> Column:
+        full = (acc["sum"] + F.length(clause) > high) & (acc["count"] > 0)
+        base = F.when(full | (acc["count"] == 0), acc["head"]).otherwise(acc["open"])
+        total = F.when(full, F.length(acc["head"])).otherwise(acc["sum"]) + F.length(clause)
+        done = F.when(full, F.array_append(acc["out"], t.strip(acc["open"]))).otherwise(acc["out"])
+        return record(head=acc["head"], sum=total, open=F.concat(base, F.lit("\n"), clause), count=F.when(full, 1).otherwise(acc["count"] + 1), out=done)
+
+    texts = F.aggregate(clauses, start, step, lambda acc: F.array_append(acc["out"], t.strip(acc["open"])))
     return F.when(F.size(cut) <= 2, F.array(c)).otherwise(texts)
 
 
@@ -134,7 +145,7 @@ def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: s
     low, high = sizes.chars(sizes.low), sizes.chars(sizes.high)
     read = articles(docs, text).select(*keys, "articles")
     grouped = read.withColumn("_group", merge_short(F.transform("articles", lambda a: a["chars"]), low))
-    zipped = F.transform("articles", lambda a, i: record(group=F.get("_group", i), a=a))
+    zipped = F.zip_with("articles", "_group", lambda a, g: record(group=g, a=a))
     each = grouped.select(*keys, zipped.alias("_all"), F.explode(F.array_distinct("_group")).alias("_g"))
     own = F.transform(F.filter("_all", lambda x: x["group"] == F.col("_g")), lambda x: x["a"])
     each = each.select(*keys, "_g", own.alias("_own"))
@@ -143,11 +154,14 @@ def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: s
     kind = "text string, articles array<int>, chapter string, section string, title string, part int"
     together = F.array(record(text=joined, articles=F.transform("_own", lambda a: a["number"]), chapter=first["chapter"], section=first["section"], title=F.when(F.size("_own") == 1, first["title"]).otherwise(""), part=F.lit(0)))
 
+    shape = f"array<struct<{', '.join(f'{x.split()[0]}:{x.split()[1]}' for x in kind.split(', '))}>>"
+
     def parts_of(a: Column) -> Column:
-        parts = clause_parts(a["text"], high)
-        return F.transform(parts, lambda x, j: record(text=x, articles=F.array(a["number"]), chapter=a["chapter"], section=a["section"], title=a["title"], part=F.when(F.size(parts) > 1, j + 1).otherwise(0)))
+        # The number of parts is known once they are there: a lone part loses its number after the fact.
+        made = F.transform(clause_parts(a["text"], high), lambda x, j: record(text=x, articles=F.array(a["number"]), chapter=a["chapter"], section=a["section"], title=a["title"], part=j + 1))
+        alone = lambda xs: F.transform(xs, lambda x: record(text=x["text"], articles=x["articles"], chapter=x["chapter"], section=x["section"], title=x["title"], part=F.lit(0)))
+        return F.aggregate(F.array(made), F.expr(f"cast(array() as {shape})"), lambda _, xs: F.when(F.size(xs) > 1, xs.cast(shape)).otherwise(alone(xs).cast(shape)))
 
-    shape = f"array<struct<{', '.join(f'{x.split()[0]}:{x.split()[1]}' for x in kind.split(', '))}>>"
     chunks = F.when(F.length(joined) > high, F.flatten(F.transform("_own", parts_of)).cast(shape)).otherwise(together.cast(shape))
     # Groups of a document are in order in their row; the position within the document follows from the group and the place in it.
     made = each.select(*keys, "_g", F.posexplode(chunks).alias("_i", "c"))

@@ -37,10 +37,14 @@ def clean_lines(text: t.Text, blacklist: list[str] = ()) -> Column:
     phrases = list(dict.fromkeys([*ARTIFACTS, *map(t.fold_text, blacklist)]))
     normal = F.replace(F.regexp_replace(t.text(text), r"\r\n?", "\n"), F.lit("\xa0"), F.lit(" "))
     lines = F.filter(F.transform(F.split(normal, "\n"), t.line), lambda x: (x == "") | ~is_artifact(x, phrases))
-    # A blank line doesn't reset the comparison, so each line looks at the last one with words.
-    worded = F.filter(lines, lambda x: x != "")
-    rank = F.aggregate(lines, F.named_struct(F.lit("n"), F.lit(0), F.lit("out"), F.expr("cast(array() as array<int>)")), lambda acc, x: F.named_struct(F.lit("n"), acc["n"] + F.when(x == "", 0).otherwise(1), F.lit("out"), F.array_append(acc["out"], acc["n"])), lambda acc: acc["out"])
-    kept = F.filter(lines, lambda x, i: (x == "") | (F.get(rank, i) == 0) | (x != F.get(worded, F.get(rank, i) - 1)))
+    # A blank line doesn't reset the comparison: the fold holds the last line with words.
+    start = F.named_struct(F.lit("last"), F.lit(""), F.lit("out"), F.expr("cast(array() as array<string>)"))
+
+    def step(acc: Column, x: Column) -> Column:
+        kept = (x == "") | (x != acc["last"])
+        return F.named_struct(F.lit("last"), F.when(x == "", acc["last"]).otherwise(x), F.lit("out"), F.when(kept, F.array_append(acc["out"], x)).otherwise(acc["out"]))
+
+    kept = F.aggregate(lines, start, step, lambda acc: acc["out"])
     joined = F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
     return t.strip(F.regexp_replace(joined, r"[ \t]{2,}", " "))
 
