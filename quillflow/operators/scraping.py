@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as t
 
@@ -98,13 +99,14 @@ def rule_chain(links: DataFrame, law: str, rules: list[dict], sources: list[str]
     ``effective_date``, ``ord``) are those of one law.  A rule's candidates are
     sorted by date and source; the first that no earlier rule took wins, but
     among such of the winner's number the best source decides.  There are a few
-    rules for each law, and each takes a minimum, not a sort.
+    rules for each law; each is a job that brings one row to the driver, so that
+    the next rule's plan doesn't hold those before it.
     """
-    chain = None
+    spark, taken = links.sparkSession, []
     for k, rule in enumerate(rules):
         own = links.filter(matches_rule(rule))
-        if chain is not None:
-            own = own.join(chain.select("url"), "url", "left_anti")
+        if taken:
+            own = own.filter(~F.col("url").isin([r["url"] for r in taken]))
         rank = source_rank("source_domain", sources)
         if rule.get("sort_by"):
             # Dates compare as digits; both keys turn round together.
@@ -117,9 +119,10 @@ def rule_chain(links: DataFrame, law: str, rules: list[dict], sources: list[str]
         same = own.join(F.broadcast(number), (F.col("law_id") == F.col("_number")) & (t.text("law_id") != "")).drop("_number")
         # Without a number the first candidate stays the winner.
         winner = same.withColumn("_p", F.lit(0)).unionByName(first.withColumn("_p", F.lit(1))).orderBy("_p", rank, "url", "ord").limit(1).drop("_p")
-        winner = winner.withColumns({"law": F.lit(law), "type": F.lit(rule["type"]), "rule": F.lit(k)})
-        chain = winner if chain is None else chain.unionByName(winner)
-    return chain
+        taken += [r.asDict() | {"law": law, "type": rule["type"], "rule": k} for r in winner.collect()]
+    fields = [f for f in links.schema.fields if f.name not in ("law", "type", "rule")]
+    schema = StructType([*fields, StructField("law", StringType()), StructField("type", StringType()), StructField("rule", IntegerType())])
+    return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in taken], schema)
 
 
 def heuristic_chain(links: DataFrame, sources: list[str]) -> DataFrame:
