@@ -39,9 +39,8 @@ def to_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """``doc_id``, ``lang``, ``source``, ``n_tokens``, ``ids``, and whether the ids decode to the text (``intact``)."""
     import public_tokenizers
 
-    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    back = byte_bpe.decode(byte_bpe.encode(docs.select("doc_id", "lang", "source", "text"), path).withColumn("n_tokens", F.size("ids").cast("long")).withColumn("kept", F.col("ids")), path)
-    return back.select("doc_id", "lang", "source", "n_tokens", F.col("kept").alias("ids"), (F.col("bytes") == F.coalesce("text", F.lit("")).cast("binary")).alias("intact"))
+    found = byte_bpe.round_trip(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    return found.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids", "intact")
 
 
 STAGES = [

@@ -16,6 +16,7 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -249,9 +250,7 @@ class Codec:
 
     def forget(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.memo_ids: list[int] = []
-        self.memo_starts: list[int] = []
-        self.memo_lengths: list[int] = []
+        self.memo_ids, self.memo_starts, self.memo_lengths = array("i"), array("q"), array("i")
 
     def _misses(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and lengths of the merged words."""
@@ -262,11 +261,14 @@ class Codec:
                 memo[w] = len(self.memo_starts)
                 self.memo_starts.append(len(self.memo_ids))
                 self.memo_lengths.append(len(got))
-                self.memo_ids += got
-        slots = [memo[w] for w in words]
-        lengths = np.array([self.memo_lengths[s] for s in slots], dtype=np.int64)
-        ids = [x for s in slots for x in self.memo_ids[self.memo_starts[s] : self.memo_starts[s] + self.memo_lengths[s]]]
-        return np.array(ids, dtype=np.int64), np.cumsum(lengths) - lengths, lengths
+                self.memo_ids.extend(got)
+        slots = np.fromiter((memo[w] for w in words), dtype=np.int64, count=len(words))
+        if not len(slots):
+            return slots, slots, slots
+        # Copies: an array that numpy looks at can't grow.
+        lengths = np.array(self.memo_lengths, dtype=np.int64)[slots]
+        ids = np.array(self.memo_ids, dtype=np.int64)[ragged(np.array(self.memo_starts, dtype=np.int64)[slots], lengths)]
+        return ids, np.cumsum(lengths) - lengths, lengths
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, and the rows' bounds in them."""
@@ -360,6 +362,30 @@ def decode(encoded: DataFrame, path: str, ids: str = "ids", out: str = "bytes")
     return encoded.mapInArrow(run, T.StructType([*kept, T.StructField(out, T.BinaryType())]))
 
 
+def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids", intact: str = "intact") -> DataFrame:
+    """``docs`` with ``ids`` in place of the text, and ``intact``: whether the ids decode to its bytes.
+
+    Both directions in one worker, which needs the vocabulary once.  Null and
+    empty texts have no ids and are intact.
+    """
+    from pyspark.sql import types as T
+
+    kept = [f for f in docs.schema.fields if f.name not in (text, ids, intact)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        c = codec(path)
+        for batch in batches:
+            for block in text_blocks(batch.column(text)):
+                got, bounds = c.encode(block)
+                ends = np.concatenate([[0], np.cumsum(c.lengths[got])])[bounds]
+                raw, own = c.decode(got), block.data
+                fine = [n == b - a and np.array_equal(raw[x:y], own[a:b]) for x, y, n, a, b in zip(ends[:-1], ends[1:], np.diff(ends), block.offsets[:-1], block.offsets[1:], strict=True)]
+                column = pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(got.astype(np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(batch.column(f.name).slice(block.lo, block.rows) for f in kept), column, pa.array(fine, pa.bool_())], [*(f.name for f in kept), ids, intact])
+
+    return docs.select(*(f.name for f in kept), text).mapInArrow(run, T.StructType([*kept, T.StructField(ids, T.ArrayType(T.IntegerType(), False)), T.StructField(intact, T.BooleanType())]))
+
+
 def digests(docs: DataFrame, path: str) -> DataFrame:
     """Per row: ``doc_id``, ``n_tokens``, and the digests of the ids and of the bytes decoded from them."""
     import hashlib

@@ -7,7 +7,7 @@ import pyarrow as pa
 import pytest
 
 from quillflow.llm.blocks import text_blocks
-from quillflow.llm.byte_bpe import PerfectHash, codec, decode, digests, encode
+from quillflow.llm.byte_bpe import PerfectHash, codec, decode, digests, encode, round_trip
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
@@ -54,6 +54,13 @@ def test_digests_and_round_trip(spark, library):
     assert len(back) == len(rows) and all(bytes(r[1]) == (r[0] or "").encode() for r in back)
 
 
+def test_round_trip_in_one_pass(spark, library):
+    rows = [(i, t, True) for i, t in enumerate(texts()[:100])] + [(None, None, None)]
+    got = round_trip(spark.createDataFrame(rows, "doc_id long, text string, intact boolean"), PATH).collect()
+    assert all(r.intact for r in got)
+    assert {r.doc_id: r.ids for r in got} == {i: library.encode_ordinary(t or "") for i, t, _ in rows}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert digests(docs, PATH).collect() == [] and encode(docs, PATH).collect() == []
