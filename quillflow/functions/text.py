@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import sys
 import unicodedata
+from collections.abc import Callable
 from functools import cache
 
 from pyspark.sql import Column
@@ -55,6 +56,11 @@ def fold_text(value: str) -> str:
     return bare.replace("đ", "d").replace("Đ", "D").lower()
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body(value)`` with the value computed once a row, however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def strip(c: Text) -> Column:
     """Without white space, of any script, at either end."""
     return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
@@ -147,13 +153,17 @@ def effective_date(c: Text, this_year: int) -> Column:
     (labelled, then bare), any date, any year.  Each step tries its first match
     only and falls through if the year is before 2000 or after the next one.
     """
-    folded, last = fold(c), this_year + 1
-    tail = F.when(F.regexp_like(folded, F.lit(ISSUED)), F.get(F.split(folded, ISSUED, 2), F.lit(1)))
-    year = F.regexp_extract(folded, YEAR, 1)
-    return F.coalesce(
-        _full_date(folded, LABELLED, last), _full_date(folded, SPELT_OUT, last), _full_date(tail, LABELLED, last), _full_date(tail, BARE, last), _full_date(folded, ANY, last),
-        F.when(year.try_cast("int").between(2000, last), F.concat(year, F.lit("-??-??"))),
-    )
+    last = this_year + 1
+
+    def ladder(folded: Column) -> Column:
+        tail = F.when(F.regexp_like(folded, F.lit(ISSUED)), F.get(F.split(folded, ISSUED, 2), F.lit(1)))
+        year = F.regexp_extract(folded, YEAR, 1)
+        return F.coalesce(
+            _full_date(folded, LABELLED, last), _full_date(folded, SPELT_OUT, last), _full_date(tail, LABELLED, last), _full_date(tail, BARE, last), _full_date(folded, ANY, last),
+            F.when(year.try_cast("int").between(2000, last), F.concat(year, F.lit("-??-??"))),
+        )
+
+    return let(fold(c), ladder)
 
 
 def date_key(c: Text, missing: str = "00000000") -> Column:

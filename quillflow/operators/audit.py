@@ -39,17 +39,23 @@ CLAUSE = r"(?imud)(?=^Điều\s+\d+[.:\-\s])"
 
 def keyword_scores(text: t.Text, keywords: dict[str, list[str]]) -> Column:
     """Array of (``score``, ``domain``): how many keywords of each domain a text has, in the table's order.  Accents count."""
-    lowered = F.lower(t.text(text))
-    one = lambda words: sum((F.contains(lowered, F.lit(w)).cast("int") for w in words), F.lit(0))
-    return F.array(*(F.struct(one(words).alias("score"), F.lit(name).alias("domain")) for name, words in keywords.items()))
+
+    def scores(lowered: Column) -> Column:
+        one = lambda words: sum((F.contains(lowered, F.lit(w)).cast("int") for w in words), F.lit(0))
+        return F.array(*(F.named_struct(F.lit("score"), one(words), F.lit("domain"), F.lit(name)) for name, words in keywords.items()))
+
+    return t.let(F.lower(t.text(text)), scores)
 
 
 def classify(text: t.Text, keywords: dict[str, list[str]] = DOMAIN_KEYWORDS) -> Column:
     """Domain with two keywords or more and at least twice as many as the next; null if it isn't clear."""
-    ranked = F.array_sort(F.transform(keyword_scores(text, keywords), lambda x: x["score"]))
-    top, second = F.element_at(ranked, -1), (F.element_at(ranked, -2) if len(keywords) > 1 else F.lit(0))
-    winner = F.get(F.filter(keyword_scores(text, keywords), lambda x: x["score"] == top), F.lit(0))["domain"]
-    return F.when((top >= 2) & (top >= 2 * second), winner)
+
+    def clear(ranked: Column) -> Column:
+        # Ascending by score, so the last is the winner; two with the same score are never clear.
+        top, second = F.element_at(ranked, -1), (F.element_at(ranked, -2)["score"] if len(keywords) > 1 else F.lit(0))
+        return F.when((top["score"] >= 2) & (top["score"] >= 2 * second), top["domain"])
+
+    return t.let(F.array_sort(keyword_scores(text, keywords)), clear)
 
 
 def clauses(text: t.Text) -> Column:

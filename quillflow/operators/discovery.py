@@ -48,11 +48,14 @@ def names_law(title: str, snippet: str, names: list[str]) -> Column:
     """Title or snippet has one of the names, without regard to case and accents; no names: true."""
     if not names:
         return F.lit(True)
-    folded = t.fold(F.concat_ws(" ", t.text(title), t.text(snippet)))
-    hit = F.lit(False)
-    for name in names:
-        hit = hit | F.contains(folded, F.lit(t.fold_text(name)))
-    return hit
+
+    def any_name(folded: Column) -> Column:
+        hit = F.lit(False)
+        for name in names:
+            hit = hit | F.contains(folded, F.lit(t.fold_text(name)))
+        return hit
+
+    return t.let(t.fold(F.concat_ws(" ", t.text(title), t.text(snippet))), any_name)
 
 
 def found_links(hits: DataFrame, allowed: dict[str, list[str]], denied: list[str], names: list[str], source_order: list[str], this_year: int) -> DataFrame:

@@ -24,8 +24,7 @@ def has_any(folded: Column, phrases: list[str]) -> Column:
 
 
 def is_artifact(c: Column, phrases: list[str]) -> Column:
-    folded = t.fold(c)
-    return (F.length(folded) < 3) | has_any(folded, phrases) | (F.startswith(folded, F.lit("tai ve")) & (F.length(folded) < 120))
+    return t.let(t.fold(c), lambda folded: (F.length(folded) < 3) | has_any(folded, phrases) | (F.startswith(folded, F.lit("tai ve")) & (F.length(folded) < 120)))
 
 
 def clean_lines(text: t.Text, blacklist: list[str] = ()) -> Column:
@@ -52,24 +51,26 @@ def clean_lines(text: t.Text, blacklist: list[str] = ()) -> Column:
 
 def is_valid(text: t.Text, min_length: int, required: list[str], blacklist: list[str]) -> Column:
     """Not empty, long enough, with one of the required phrases and none of the others, case and accents aside."""
-    folded, own = t.fold(text), t.text(text)
-    fine = (own != "") & (F.length(own) >= min_length)
-    if required:
-        fine = fine & has_any(folded, [t.fold_text(x) for x in required])
-    return fine & ~has_any(folded, [t.fold_text(x) for x in blacklist])
+    own = t.text(text)
+    wanted, barred = ([t.fold_text(x) for x in xs] for xs in (required, blacklist))
+    return (own != "") & (F.length(own) >= min_length) & t.let(t.fold(text), lambda folded: (has_any(folded, wanted) if wanted else F.lit(True)) & ~has_any(folded, barred))
 
 
 def has_structure(text: t.Text) -> Column:
-    return has_any(t.fold(text), STRUCTURE)
+    return t.let(t.fold(text), lambda folded: has_any(folded, STRUCTURE))
 
 
 def canonical_law(title: t.Text, laws: list[tuple[str, list[str]]]) -> Column:
     """First law, in the order of the configuration, whose name or alias the title has; null if none."""
-    folded, out = t.fold(title), None
-    for name, aliases in laws:
-        hit = has_any(folded, [t.fold_text(x) for x in (name, *aliases)])
-        out = F.when(hit, name) if out is None else out.when(hit, name)
-    return out if out is not None else F.lit(None).cast("string")
+
+    def first(folded: Column) -> Column:
+        out = None
+        for name, aliases in laws:
+            hit = has_any(folded, [t.fold_text(x) for x in (name, *aliases)])
+            out = F.when(hit, name) if out is None else out.when(hit, name)
+        return out if out is not None else F.lit(None).cast("string")
+
+    return t.let(t.fold(title), first)
 
 
 def source_rank(domain: t.Text, order: list[str]) -> Column:
