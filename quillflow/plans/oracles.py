@@ -198,6 +198,8 @@ def oracle_sql() -> dict[str, str]:
         "mark_processed": f"""
             WITH {LINKS_SQL}, q AS (SELECT ord, link, CASE ord % 5 WHEN 0 THEN true WHEN 1 THEN false END AS p, link IN (SELECT link FROM links WHERE ord % 3 = 0) AS done FROM links)
             SELECT ord, coalesce(p, false) OR done AS is_processed, done AND NOT coalesce(p, false) AS updated, done AND NOT coalesce(p, false) AS stamped FROM q""",
+        "stream_dedup": f"WITH {LINKS_SQL} SELECT DISTINCT {dedup_key('link')} AS dedup_key FROM links",
+        "event_windows": "SELECT strftime(date_trunc('hour', ts), '%Y-%m-%d %H:%M:%S') AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
         "canonical_law_match": f"WITH {LINKS_SQL}, {_GROUPED} SELECT ord, law FROM g WHERE law IS NOT NULL",
         "unmatched_links": f"WITH {LINKS_SQL}, {_GROUPED} SELECT ord, url FROM g WHERE law IS NULL",
         "law_groups": f"WITH {LINKS_SQL}, {_GROUPED} SELECT law, count(*) AS urls, min(ord) AS first_ord, count(DISTINCT source_domain) AS domains FROM g WHERE law IS NOT NULL GROUP BY law",

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import text as t
 from ..functions.markup import clean_markup, extract_content
 from ..operators import audit, chunking, discovery, health, scraping
+from ..streaming import links as streams
 from . import settings as s
 from .derive import NOW, contracts, laws, links, read
 
@@ -199,6 +200,17 @@ def mark_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return discovery.mark_processed(queue, done, _now()).select("ord", "is_processed", "updated", F.col("processed_at").isNotNull().alias("stamped"))
 
 
+def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The streaming deduplication over a finished table."""
+    return streams.first_seen(links(spark, sf_dir).withColumnRenamed("link", "url"), s.REFRESH_DAYS).select("dedup_key")
+
+
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of each hour and type: beyond the original's abilities, shown on the event table."""
+    got = streams.windowed_counts(read(spark, sf_dir, "events"), "ts", "event_type")
+    return got.select(F.date_format("start", "yyyy-MM-dd HH:mm:ss").alias("start"), "event_type", "n")
+
+
 # ------------------------------------------------------------------- scraping
 
 _PAIRS = [(name, aliases) for name, aliases, _ in s.LAWS]
@@ -357,7 +369,7 @@ def queries() -> dict:
         for f in (
             law_stats, article_sort, source_tier_override, reconstruct_text, article_segments, chapter_asof, merge_short, pack_clauses, chunk_pipeline, chunk_overlap_lag, chunk_ids,
             document_prefix, chunk_nested_projection, fold_text, text_counts, clean_lines, clean_fields, validate_content, safe_names, url_domain, url_dedup_key, allowlist_filter,
-            denylist_filter, name_match_filter, law_id_extract, date_extract, task_plan, found_links, batch_dedup, history_antijoin, history_diagnostics, mark_processed,
+            denylist_filter, name_match_filter, law_id_extract, date_extract, task_plan, found_links, batch_dedup, history_antijoin, history_diagnostics, mark_processed, stream_dedup, event_windows,
             canonical_law_match, unmatched_links, law_groups, priority_rule_match, priority_chain, auto_prioritize, first_success, html_title, html_extract, scraped_content, run_summary,
             domain_classify, clause_split, vector_topk, context_dedup, positional_context_join, finding_required_keys, confidence_score, template_report, catalog_counts, overall_health,
             label_histogram, vector_collections,

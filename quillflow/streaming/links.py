@@ -16,7 +16,7 @@ def first_seen(links: DataFrame, days: int, at: str = "discovered_at", url: str
     State holds one entry for each URL and forgets it once the watermark has
     passed; works on a batch too, where it keeps one link for each URL.
     """
-    keyed = links.withColumn("dedup_key", t.canonical_url(url)).withColumn(at, F.col(at).cast("timestamp"))
+    keyed = links.withColumn("dedup_key", t.canonical_url(url)).withColumn(at, F.col(at).try_cast("timestamp"))
     if not links.isStreaming:
         return keyed.dropDuplicates(["dedup_key"])
     return keyed.withWatermark(at, f"{days} days").dropDuplicatesWithinWatermark(["dedup_key"])
