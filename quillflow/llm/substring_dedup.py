@@ -13,9 +13,12 @@ that the windows which chose it cover, and of where the anchor lies in them),
 ``n`` copies, and one place where it stands.
 
 *Runs.*  The index is a set of immutable runs (``Index``), Parquet tables that
-are dealt by anchor and sorted by it.  ``add`` turns a batch into a run;
-``Index.lookup`` joins a batch's entries with all runs by anchor (a sort-merge
-join); ``compact`` merges runs of a like size, so there are few.
+are dealt by anchor and sorted by it.  ``add`` turns a batch into a run and
+``compact`` merges runs of a like size, so there are few.  ``repeated`` merges
+the runs by anchor, new batch and history alike, and finds the anchors that
+stand more than once; the entries of all batches are then joined with the
+outcome (sort-merge joins), so a document of an earlier batch loses what a later
+one repeats.
 
 *Verification.*  A span with two copies or more has only repeated windows.  An
 anchor with two different spans may have some: their windows are hashed one by
