@@ -4,10 +4,12 @@ A bidirectional window network predicts every word from the two words on either
 side of it; the conditional log-probabilities of a text's words, summed, score
 it.
 
-*Vocabulary.*  Words are counted over all texts.  The ``VOCABULARY`` most
-frequent ones have a probability of their own, the rest share what is left and
-are spelt out (``LETTER_COST`` nats a letter).  Each word has one of
-``CLASSES`` classes: the most frequent words one each, others by hash.
+*Vocabulary.*  Words are counted over all texts, and every counted word has a
+probability of its own.  The counts stay a distributed table, which grows with
+the corpus: texts are packed into blocks once, each block's different words are
+dealt out to shards by hash, summed there, and dealt back to their blocks
+(``totals``).  Each word has one of ``CLASSES`` classes: the most frequent words one each, others
+by hash.
 
 *Network.*  The classes of the four neighbours are embedded, one table for each
 place, added, and passed through tanh; a softmax gives the class in the middle.
@@ -26,6 +28,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,21 +40,25 @@ CLASSES = 128
 SINGLE = 64
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
-VOCABULARY = 20_000
+#: For words that no text of the corpus has.
 LETTER_COST = 3.3
 START_ROWS = 1000
 BATCH = 8192
+PACKED_BYTES = 2 << 20
+#: Shards of keys: so many at least, and none of many more entries than this.
+LEAST_SHARDS = 256
+SHARD_ENTRIES = 1 << 20
 _SLOTS = 1 << 17
 
 
 class Counts(NamedTuple):
-    """Statistics of the whole corpus; of fixed size."""
+    """Statistics of the whole corpus by class; of fixed size, while words' own counts stay distributed."""
 
-    keys: np.ndarray  # hashes of the vocabulary, sorted
+    keys: np.ndarray  # hashes of the words listed here, sorted
     counts: np.ndarray
-    classes: np.ndarray  # class of each word of the vocabulary
+    classes: np.ndarray  # class of each of these words
     totals: np.ndarray  # words of each class
-    rare: np.ndarray  # of these, words outside the vocabulary
+    rare: np.ndarray  # of these, words that aren't listed
 
 
 def _words(block: Block) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -79,9 +86,144 @@ def hashed_class(keys: np.ndarray) -> np.ndarray:
     return SINGLE + (keys >> np.uint64(20)).astype(np.int64) % (CLASSES - SINGLE)
 
 
-def corpus_counts(docs: DataFrame, vocabulary: int = VOCABULARY) -> Counts:
-    """Vocabulary and class totals; sums of bounded size come to the driver."""
-    counts = staged(word_counts(docs), "word-counts")
+def _squeezed(values: np.ndarray, kind: type) -> bytes:
+    """Bytes of small integers, by planes, compressed."""
+    raw = np.ascontiguousarray(values, dtype=kind)
+    return pa.compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes(), "zstd", asbytes=True) if len(raw) else b""
+
+
+def _released(data: bytes, kind: type, n: int) -> np.ndarray:
+    if not n:
+        return np.zeros(0, dtype=kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
+
+
+def packed(docs: DataFrame) -> DataFrame:
+    """Texts in blocks of about ``PACKED_BYTES``: ids, words of each row, the block's different words with their counts, and which of them stands where."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
+        for batch in batches:
+            for block in text_blocks(batch.column("text"), PACKED_BYTES):
+                keys, _, first = _words(block)
+                words, at, n = np.unique(keys, return_inverse=True, return_counts=True)
+                rank = np.empty(len(words), dtype=np.int32)
+                rank[_by_count(n)] = np.arange(len(words))  # small places are frequent, which packs well
+                ids = pa.ListArray.from_arrays(pa.array([0, block.rows], pa.int32()), batch.column("doc_id").slice(block.lo, block.rows))
+                parts = [_squeezed(np.diff(first), np.int32), words.tobytes(), _squeezed(n, np.int32), _squeezed(rank[at], np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, pa.array([len(keys)]), *(pa.array([x]) for x in parts)], ["block", "ids", "length", "rows", "words", "n", "at"])
+                number += 1
+
+    return docs.mapInArrow(run, "block long, ids array<long>, length long, rows binary, words binary, n binary, at binary")
+
+
+def _by_count(n: np.ndarray) -> np.ndarray:
+    return np.argsort(-n, kind="stable")
+
+
+class Packed:
+    """A row of ``packed``: bounds of the texts, different words (hashes, sorted) and which of them stands where."""
+
+    COLUMNS = ("ids", "length", "rows", "words", "n", "at")
+
+    def __init__(self, batch: pa.RecordBatch, r: int):
+        own = {c: batch.column(c)[r] for c in self.COLUMNS}
+        self.words = np.frombuffer(own["words"].as_py(), dtype=np.uint64)
+        n = _released(own["n"].as_py(), np.int32, len(self.words))
+        self.at = _by_count(n)[_released(own["at"].as_py(), np.int32, own["length"].as_py())]
+        self.ids = own["ids"].values
+        self.first = np.concatenate([[0], np.cumsum(_released(own["rows"].as_py(), np.int32, len(self.ids)), dtype=np.int64)])
+
+
+def shard_bits(blocks: DataFrame) -> int:
+    """So many upper bits of a key name its shard."""
+    positions = blocks.agg(F.sum("length")).collect()[0][0] or 0
+    return max(LEAST_SHARDS, positions // SHARD_ENTRIES).bit_length()
+
+
+def sharded(block: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
+    """A block's sorted different keys and their counts, a row for each shard."""
+    cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
+    own = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
+    columns = [[k for k, _, _ in own], [block] * len(own), [keys[lo:hi].tobytes() for _, lo, hi in own], [n[lo:hi].astype(np.int32).tobytes() for _, lo, hi in own]]
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "keys", "n"])
+
+
+def word_entries(blocks: DataFrame, bits: int) -> DataFrame:
+    """Every different word of every block, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, words, n in zip(*(batch.column(c).to_pylist() for c in ("block", "words", "n")), strict=True):
+                keys = np.frombuffer(words, dtype=np.uint64)
+                yield sharded(number, keys, _released(n, np.int32, len(keys)), bits)
+
+    return blocks.select("block", "words", "n").mapInArrow(run, "shard int, block long, keys binary, n binary")
+
+
+def _runs(batches: Iterator[pa.RecordBatch], by: str, *columns: str) -> Iterator[tuple[int, list[tuple]]]:
+    """Rows that follow each other and agree in ``by``."""
+    held, own = [], None
+    for batch in batches:
+        for k, *row in zip(*(batch.column(c).to_pylist() for c in (by, *columns)), strict=True):
+            if held and k != own:
+                yield own, held
+                held = []
+            own = k
+            held.append(row)
+    if held:
+        yield own, held
+
+
+def summed(entries: DataFrame) -> DataFrame:
+    """How often the keys of each block and shard stand in all blocks; under a null block, a shard's different keys and their totals.
+
+    A shard is one task's work at a time; there are more of them for more
+    entries, so a shard's size is bounded.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for shard, rows in _runs(batches, "shard", "block", "keys", "n"):
+            keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
+            own, inverse = np.unique(keys, return_inverse=True)
+            total = np.bincount(inverse, weights=np.frombuffer(b"".join(r[2] for r in rows), dtype=np.int32)).astype(np.int64)
+            cuts = np.cumsum([0] + [len(r[1]) // 8 for r in rows])
+            each = [_squeezed(total[inverse[lo:hi]], np.int64) for lo, hi in zip(cuts, cuts[1:], strict=False)]
+            columns = [[r[0] for r in rows] + [None], [shard] * (len(rows) + 1), np.append(np.diff(cuts), len(own)), each + [_squeezed(total, np.int64)], [None] * len(rows) + [own.tobytes()]]
+            kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["block", "shard", "size", "total", "keys"])
+
+    return entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "block long, shard int, size int, total binary, keys binary")
+
+
+def totals(sums: DataFrame, name: str) -> DataFrame:
+    """``name`` of every block: how often each of its keys, in their order, stands in all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for block, rows in _runs(batches, "block", "size", "total"):
+            every = np.concatenate([_released(total, np.int64, size) for size, total in rows])
+            yield pa.RecordBatch.from_arrays([pa.array([block]), pa.array([_squeezed(every, np.int64)])], ["block", name])
+
+    dealt = sums.filter("block is not null").select("block", "shard", "size", "total").repartition("block")
+    return dealt.sortWithinPartitions("block", "shard").mapInArrow(run, f"block long, {name} binary")
+
+
+def listed(sums: DataFrame) -> DataFrame:
+    """``word`` and ``n`` of all blocks."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size, total, keys in zip(*(batch.column(c).to_pylist() for c in ("size", "total", "keys")), strict=True):
+                yield pa.RecordBatch.from_arrays([pa.array(np.frombuffer(keys, dtype=np.int64)), pa.array(_released(total, np.int64, size))], ["word", "n"])
+
+    return sums.filter("block is null").select("size", "total", "keys").mapInArrow(run, "word long, n long")
+
+
+def corpus_counts(docs: DataFrame, vocabulary: int = SINGLE, counts: DataFrame | None = None) -> Counts:
+    """The words with a class of their own (at least) and class totals; sums of bounded size come to the driver."""
+    counts = counts or staged(word_counts(docs), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(vocabulary).collect()
     keys = np.array([r.word for r in top], dtype=np.int64).view(np.uint64)
     n = np.array([r.n for r in top], dtype=np.float64)
@@ -97,7 +239,7 @@ def corpus_counts(docs: DataFrame, vocabulary: int = VOCABULARY) -> Counts:
     by_hash = np.zeros(CLASSES)
     for k, total in counts.mapInArrow(run, "class long, n long").groupBy("class").agg(F.sum("n")).collect():
         by_hash[k] = total
-    # Rare words are in the class of their hash: all of it but the vocabulary's words that fall there.
+    # Rare words are in the class of their hash: all of it but the listed words that fall there.
     rare = by_hash - np.bincount(hashed_class(keys), weights=n, minlength=CLASSES) if len(keys) else by_hash
     totals = rare + np.bincount(classes, weights=n, minlength=CLASSES) if len(keys) else by_hash
     order = np.argsort(keys)
@@ -116,6 +258,9 @@ class Lexicon:
             self.log_share = np.log(counts.counts) - np.log(counts.totals[counts.classes]) if len(slot) else np.zeros(0)
             self.log_rare = np.log(counts.rare + 1) - np.log(counts.totals + 1)
 
+    def classes(self, keys: np.ndarray) -> np.ndarray:
+        return self(keys, np.zeros(len(keys)))[0]
+
     def __call__(self, keys: np.ndarray, letters: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         classes = hashed_class(keys)
         inside = self.log_rare[classes] - LETTER_COST * letters
@@ -200,16 +345,24 @@ def neighbours(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _positions(blocks: Iterator[Block], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+def _positions(blocks: Iterator[Block], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for block in blocks:
         keys, letters, first = _words(block)
-        classes, inside = lexicon(keys, letters)
-        yield neighbours(classes, first), classes, inside, first
+        classes, _ = lexicon(keys, letters)
+        yield neighbours(classes, first), classes
+
+
+def _packed_positions(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    for batch in batches:
+        for r in range(batch.num_rows):
+            own = Packed(batch, r)
+            classes = lexicon.classes(own.words)[own.at]
+            yield neighbours(classes, own.first), classes
 
 
-def _pass(net: Network, blocks: Iterator[Block], lexicon: Lexicon, rate: float) -> int:
+def _pass(net: Network, positions: Iterator[tuple[np.ndarray, np.ndarray]], rate: float) -> int:
     n = 0
-    for around, middle, _, _ in _positions(blocks, lexicon):
+    for around, middle in positions:
         order = np.random.default_rng(len(middle)).permutation(len(middle))
         for i in range(0, len(order), BATCH):
             own = order[i : i + BATCH]
@@ -218,24 +371,24 @@ def _pass(net: Network, blocks: Iterator[Block], lexicon: Lexicon, rate: float)
     return n
 
 
-def train(docs: DataFrame, counts: Counts) -> np.ndarray:
+def train(docs: DataFrame, blocks: DataFrame, counts: Counts) -> np.ndarray:
     """Weights of the network: a start from at most ``START_ROWS`` texts, then the mean of one pass over all."""
 
-    def begin(blocks: list[Block], labels: list) -> np.ndarray:
+    def begin(sample: list[Block], labels: list) -> np.ndarray:
         net, lexicon = Network.start(counts.totals), Lexicon(counts)
         for rate in (0.1, 0.05):
-            _pass(net, iter(blocks), lexicon, rate)
+            _pass(net, _positions(iter(sample), lexicon), rate)
         return net.vector
 
     start = fitted(plain_sample(docs, START_ROWS), begin)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, lexicon = Network(start), Lexicon(counts)
-        n = sum(_pass(net, text_blocks(batch.column("text")), lexicon, 0.02) for batch in batches)
+        n = _pass(net, _packed_positions(batches, lexicon), 0.02)
         if n:
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(Network.SIZE, dtype=np.int32)), pa.array(net.vector.astype(np.float64) * n), pa.array(np.full(Network.SIZE, n))], ["place", "weighted", "n"])
 
-    sums = docs.select("text").mapInArrow(run, "place int, weighted double, n long").groupBy("place").agg((F.sum("weighted") / F.sum("n")).alias("weight"))
+    sums = blocks.select(*Packed.COLUMNS).mapInArrow(run, "place int, weighted double, n long").groupBy("place").agg((F.sum("weighted") / F.sum("n")).alias("weight"))
     out = np.array(start, dtype=np.float32)
     for place, weight in sums.collect():
         out[place] = weight
@@ -250,22 +403,29 @@ def scores(docs: DataFrame) -> DataFrame:
     and ``text`` are read.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    counts = corpus_counts(own)
-    weights = train(own, counts)
+    blocks = staged(packed(own), "blocks")
+    sums = staged(summed(word_entries(blocks, shard_bits(blocks))), "word-sums")
+    counts = corpus_counts(own, counts=listed(sums))
+    weights = train(own, blocks, counts)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, lexicon = Network(weights), Lexicon(counts)
         for batch in batches:
-            done = 0
-            for around, middle, inside, first in _positions(text_blocks(batch.column("text")), lexicon):
+            for r in range(batch.num_rows):
+                own = Packed(batch, r)
+                times = _released(batch.column("word_total")[r].as_py(), np.int64, len(own.words))
+                kinds = lexicon.classes(own.words)
+                middle, inside = kinds[own.at], (np.log(times) - np.log(counts.totals[kinds]))[own.at]
+                around = neighbours(middle, own.first)
                 parts = [net.log_probabilities(around[:, i : i + BATCH], middle[i : i + BATCH]) for i in range(0, len(middle), BATCH)]
-                total = _sums(np.concatenate(parts) + inside if parts else inside, first)
-                n = np.diff(first)
+                total = _sums(np.concatenate(parts) + inside if parts else inside, own.first)
+                n = np.diff(own.first)
                 perplexity = np.exp(np.minimum(-total / np.maximum(n, 1), 700))
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(done, len(n)), pa.array(n), pa.array(total), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log_prob", "perplexity"])
-                done += len(n)
+                yield pa.RecordBatch.from_arrays([own.ids, pa.array(n), pa.array(total), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log_prob", "perplexity"])
 
-    return own.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
+    # A block without a word has no totals.
+    whole = blocks.join(totals(sums, "word_total"), "block", "left").select(*Packed.COLUMNS, "word_total")
+    return whole.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
 
 
 def _sums(values: np.ndarray, first: np.ndarray) -> np.ndarray:

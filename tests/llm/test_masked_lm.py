@@ -67,5 +67,28 @@ def test_scores_tell_order_from_noise(spark):
     assert len(twins) == 2 and math.isclose(*twins, rel_tol=1e-9)
 
 
+def test_every_counted_word_has_its_own_count(spark, monkeypatch):
+    monkeypatch.setattr(M, "PACKED_BYTES", 1 << 16)
+    text = [" ".join(f"w{k}" for k in range(i * 1000, i * 1000 + 2000)) for i in range(25)]  # 26,000 words
+    docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(3)
+    blocks = M.staged(M.packed(docs), "blocks")
+    sums = M.staged(M.summed(M.word_entries(blocks, M.shard_bits(blocks))), "sums")
+    seen = {}
+    for r in blocks.join(M.totals(sums, "word_total"), "block").collect():
+        words = np.frombuffer(r.words, np.uint64)
+        seen |= dict(zip(words.tolist(), M._released(bytes(r.word_total), np.int64, len(words)).tolist(), strict=True))
+    assert {r.word & (1 << 64) - 1: r.n for r in M.listed(sums).collect()} == seen
+    keys = M._words(next(iter(text_blocks(pa.array([" ".join(f"w{k}" for k in range(26_000))])))))[0]
+    assert [seen[k] for k in keys.tolist()] == [1] * 1000 + [2] * 24_000 + [1] * 1000
+
+
+def test_long_words_are_not_spelt_out(spark):
+    # Beyond 20,000 words, a word's own count scores it, not its length.
+    rare = [" ".join(f"{'x' * 200 * long}r{i:02d}q{k:04d}" for k in range(1000)) for long in (0, 1) for i in range(12)]
+    docs = spark.createDataFrame(list(enumerate(rare)), "doc_id long, text string").repartition(2)
+    by = {r.doc_id: r.log_prob / r.n_words for r in M.scores(docs).collect()}
+    assert abs(np.mean([by[i] for i in range(12)]) - np.mean([by[i] for i in range(12, 24)])) < 2
+
+
 def test_empty_table(spark):
     assert M.scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
