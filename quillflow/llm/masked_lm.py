@@ -11,9 +11,18 @@ dealt out to shards by hash, summed there, and dealt back to their blocks
 (``totals``).  Each word has one of ``CLASSES`` classes: the most frequent words one each, others
 by hash.
 
+*Pairs.*  How often each pair of neighbouring words stands in all texts is
+counted in the same way; the end of a text counts as a word here.  These counts
+tell the words of a class apart by their neighbours.  A word's probability is
+the mean of what its left and what its right neighbour say: ``(k + PRIOR * q) /
+(m + PRIOR)``, with k how often the neighbour stands beside this word elsewhere,
+m how often it stands elsewhere at all, and q what the network says.  So the
+place that is predicted never counts itself, and a pair that stands only once
+says nothing and isn't dealt back.
+
 *Network.*  The classes of the four neighbours are embedded, one table for each
 place, added, and passed through tanh; a softmax gives the class in the middle.
-A word's probability is that of its class times its share of the class in the
+q is the class's probability times the word's share of the class in the
 counts.  The network is trained in numpy in two steps: a start from a bounded
 sample in one task, then one pass over *all* words, each partition from that
 start, whose weights are averaged by the words that made them.  So everything
@@ -32,23 +41,26 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLANKS, LOWER, Block, byte_hash, text_blocks
-from .tables import staged
+from .blocks import BLANKS, LOWER, Block, byte_hash, mix, row_of, text_blocks
+from .tables import dropped, staged
 from .training import fitted, plain_sample
 
 CLASSES = 128
 SINGLE = 64
 HIDDEN = 24
 OFFSETS = (-2, -1, 1, 2)
+#: Of the network, against a neighbour's pairs, in places.
+PRIOR = 20.0
 #: For words that no text of the corpus has.
 LETTER_COST = 3.3
 START_ROWS = 1000
 BATCH = 8192
 PACKED_BYTES = 2 << 20
 #: Shards of keys: so many at least, and none of many more entries than this.
-LEAST_SHARDS = 256
-SHARD_ENTRIES = 1 << 20
+LEAST_SHARDS = 64
+SHARD_ENTRIES = 1 << 19
 _SLOTS = 1 << 17
+_END = np.uint64(0x5EED0FE2D0F7E875)
 
 
 class Counts(NamedTuple):
@@ -113,10 +125,10 @@ def packed(docs: DataFrame) -> DataFrame:
                 rank[_by_count(n)] = np.arange(len(words))  # small places are frequent, which packs well
                 ids = pa.ListArray.from_arrays(pa.array([0, block.rows], pa.int32()), batch.column("doc_id").slice(block.lo, block.rows))
                 parts = [_squeezed(np.diff(first), np.int32), words.tobytes(), _squeezed(n, np.int32), _squeezed(rank[at], np.int32)]
-                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, pa.array([len(keys)]), *(pa.array([x]) for x in parts)], ["block", "ids", "length", "rows", "words", "n", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array([number]), ids, pa.array([len(keys)]), pa.array([np.count_nonzero(np.diff(first))]), *(pa.array([x]) for x in parts)], ["block", "ids", "length", "ends", "rows", "words", "n", "at"])
                 number += 1
 
-    return docs.mapInArrow(run, "block long, ids array<long>, length long, rows binary, words binary, n binary, at binary")
+    return docs.mapInArrow(run, "block long, ids array<long>, length long, ends long, rows binary, words binary, n binary, at binary")
 
 
 def _by_count(n: np.ndarray) -> np.ndarray:
@@ -163,11 +175,54 @@ def word_entries(blocks: DataFrame, bits: int) -> DataFrame:
     return blocks.select("block", "words", "n").mapInArrow(run, "shard int, block long, keys binary, n binary")
 
 
+class Pairs:
+    """Neighbouring words of a packed block, ends of texts included.
+
+    ``keys`` are the different pairs, sorted, without those that can't stand
+    twice as one of their words stands once; ``left[i]`` and ``right[i]`` are
+    places in it of word i with its neighbours (its length: not in it).
+    """
+
+    def __init__(self, own: Packed, times: np.ndarray):
+        end = len(own.words)
+        self.words = np.full(len(own.at) + len(own.first), end, dtype=np.int64)
+        self.place = np.arange(len(own.at)) + row_of(own.first) + 1
+        self.words[self.place] = own.at
+        once, hashes = np.append(times < 2, False), np.append(own.words, _END)
+        a, b = self.words[:-1], self.words[1:]
+        may = np.flatnonzero(~(once[a] | once[b] | ((a == end) & (b == end))))
+        keys = mix(hashes[a[may]] * np.uint64(0x9E3779B97F4A7C15) + mix(hashes)[b[may]])
+        self.keys, inverse, self.n = np.unique(keys, return_inverse=True, return_counts=True)
+        which = np.full(len(a), len(self.keys), dtype=np.int64)
+        which[may] = inverse
+        self.left, self.right = which[self.place - 1], which[self.place]
+
+
+def pair_entries(texts: DataFrame, bits: int) -> DataFrame:
+    """Every different pair of every block, by shard."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in range(batch.num_rows):
+                own = Packed(batch, r)
+                pairs = Pairs(own, _released(batch.column("word_total")[r].as_py(), np.int64, len(own.words)))
+                yield sharded(batch.column("block")[r].as_py(), pairs.keys, pairs.n, bits)
+
+    return texts.select("block", *Packed.COLUMNS, "word_total").mapInArrow(run, "shard int, block long, keys binary, n binary")
+
+
+def mixed(own: Packed, times: np.ndarray, pairs: Pairs, pair_times: np.ndarray, ends: int, network: np.ndarray) -> np.ndarray:
+    """Log-probability of every word, given the network's."""
+    prior, seen, m = PRIOR * np.exp(network), np.append(pair_times, 1) - 1, np.append(times, ends) - 1
+    before, after = m[pairs.words[pairs.place - 1]], m[pairs.words[pairs.place + 1]]
+    return np.log(((seen[pairs.left] + prior) / (before + PRIOR) + (seen[pairs.right] + prior) / (after + PRIOR)) / 2)
+
+
 def _runs(batches: Iterator[pa.RecordBatch], by: str, *columns: str) -> Iterator[tuple[int, list[tuple]]]:
     """Rows that follow each other and agree in ``by``."""
     held, own = [], None
     for batch in batches:
-        for k, *row in zip(*(batch.column(c).to_pylist() for c in (by, *columns)), strict=True):
+        for k, *row in zip(*((x.as_py() for x in batch.column(c)) for c in (by, *columns)), strict=True):
             if held and k != own:
                 yield own, held
                 held = []
@@ -177,8 +232,8 @@ def _runs(batches: Iterator[pa.RecordBatch], by: str, *columns: str) -> Iterator
         yield own, held
 
 
-def summed(entries: DataFrame) -> DataFrame:
-    """How often the keys of each block and shard stand in all blocks; under a null block, a shard's different keys and their totals.
+def summed(entries: DataFrame, bits: int, keep: bool = True) -> DataFrame:
+    """How often the keys of each block and shard stand in all blocks; under a null block, if kept, a shard's different keys and their totals.
 
     A shard is one task's work at a time; there are more of them for more
     entries, so a shard's size is bounded.
@@ -193,9 +248,10 @@ def summed(entries: DataFrame) -> DataFrame:
             each = [_squeezed(total[inverse[lo:hi]], np.int64) for lo, hi in zip(cuts, cuts[1:], strict=False)]
             columns = [[r[0] for r in rows] + [None], [shard] * (len(rows) + 1), np.append(np.diff(cuts), len(own)), each + [_squeezed(total, np.int64)], [None] * len(rows) + [own.tobytes()]]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
-            yield pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["block", "shard", "size", "total", "keys"])
+            yield pa.RecordBatch.from_arrays([pa.array(x if keep else x[:-1], kind) for x, kind in zip(columns, kinds, strict=True)], ["block", "shard", "size", "total", "keys"])
 
-    return entries.repartition("shard").sortWithinPartitions("shard").mapInArrow(run, "block long, shard int, size int, total binary, keys binary")
+    # As many partitions as shards, so that a task's share is bounded too.
+    return entries.repartition(1 << bits, "shard").sortWithinPartitions("shard").mapInArrow(run, "block long, shard int, size int, total binary, keys binary")
 
 
 def totals(sums: DataFrame, name: str) -> DataFrame:
@@ -324,9 +380,11 @@ class Network:
         tables, bias, output, out_bias = np.split(gradient, np.cumsum([self.tables.size, HIDDEN, self.output.size]))
         tables = tables.reshape(self.tables.shape)
         for k in range(len(OFFSETS)):
-            hot = np.zeros((CLASSES + 1, n), dtype=np.float32)
-            hot[around[k], np.arange(n)] = 1
-            tables[k] = hot @ back
+            own = around[k].astype(np.uint8)
+            order = np.argsort(own, kind="stable")
+            begin = np.flatnonzero(np.diff(own[order], prepend=np.uint8(CLASSES + 1)))
+            tables[k] = 0
+            tables[k][own[order[begin]]] = np.add.reduceat(back[order], begin)
         bias[:], output[:], out_bias[:] = back.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0)
         self.squares += gradient * gradient
         self.vector -= rate * gradient / np.sqrt(self.squares)
@@ -404,9 +462,18 @@ def scores(docs: DataFrame) -> DataFrame:
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = staged(packed(own), "blocks")
-    sums = staged(summed(word_entries(blocks, shard_bits(blocks))), "word-sums")
-    counts = corpus_counts(own, counts=listed(sums))
-    weights = train(own, blocks, counts)
+    bits = shard_bits(blocks)
+    sums = staged(summed(word_entries(blocks, bits), bits), "word-sums")
+    dropped()
+    words = staged(listed(sums), "word-counts")
+    counts = corpus_counts(own, counts=words)
+    # A block without a word has no totals.
+    texts = staged(blocks.join(totals(sums, "word_total"), "block", "left").select("block", "ends", *Packed.COLUMNS, "word_total"), "texts")
+    dropped(blocks, sums, words)
+    ends = texts.agg(F.sum("ends")).collect()[0][0] or 0
+    weights = train(own, texts, counts)
+    pair_sums = staged(summed(pair_entries(texts, bits), bits, keep=False), "pair-sums")
+    dropped()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         net, lexicon = Network(weights), Lexicon(counts)
@@ -414,17 +481,18 @@ def scores(docs: DataFrame) -> DataFrame:
             for r in range(batch.num_rows):
                 own = Packed(batch, r)
                 times = _released(batch.column("word_total")[r].as_py(), np.int64, len(own.words))
+                pairs = Pairs(own, times)
+                pair_times = _released(batch.column("pair_total")[r].as_py(), np.int64, len(pairs.keys))
                 kinds = lexicon.classes(own.words)
                 middle, inside = kinds[own.at], (np.log(times) - np.log(counts.totals[kinds]))[own.at]
                 around = neighbours(middle, own.first)
                 parts = [net.log_probabilities(around[:, i : i + BATCH], middle[i : i + BATCH]) for i in range(0, len(middle), BATCH)]
-                total = _sums(np.concatenate(parts) + inside if parts else inside, own.first)
+                total = _sums(mixed(own, times, pairs, pair_times, ends, np.concatenate(parts) + inside) if parts else inside, own.first)
                 n = np.diff(own.first)
                 perplexity = np.exp(np.minimum(-total / np.maximum(n, 1), 700))
                 yield pa.RecordBatch.from_arrays([own.ids, pa.array(n), pa.array(total), pa.array(perplexity, mask=n == 0)], ["doc_id", "n_words", "log_prob", "perplexity"])
 
-    # A block without a word has no totals.
-    whole = blocks.join(totals(sums, "word_total"), "block", "left").select(*Packed.COLUMNS, "word_total")
+    whole = texts.join(totals(pair_sums, "pair_total"), "block", "left").select(*Packed.COLUMNS, "word_total", "pair_total")
     return whole.mapInArrow(run, "doc_id long, n_words long, log_prob double, perplexity double")
 
 

@@ -72,7 +72,7 @@ def test_every_counted_word_has_its_own_count(spark, monkeypatch):
     text = [" ".join(f"w{k}" for k in range(i * 1000, i * 1000 + 2000)) for i in range(25)]  # 26,000 words
     docs = spark.createDataFrame(list(enumerate(text)), "doc_id long, text string").repartition(3)
     blocks = M.staged(M.packed(docs), "blocks")
-    sums = M.staged(M.summed(M.word_entries(blocks, M.shard_bits(blocks))), "sums")
+    sums = M.staged(M.summed(M.word_entries(blocks, M.shard_bits(blocks)), M.shard_bits(blocks)), "sums")
     seen = {}
     for r in blocks.join(M.totals(sums, "word_total"), "block").collect():
         words = np.frombuffer(r.words, np.uint64)
@@ -90,5 +90,46 @@ def test_long_words_are_not_spelt_out(spark):
     assert abs(np.mean([by[i] for i in range(12)]) - np.mean([by[i] for i in range(12, 24)])) < 2
 
 
+def test_neighbours_tell_words_of_a_class_apart(spark):
+    # Each partner follows its own word only; swapped partners have the same classes, counts and lengths wherever their hashes share a bucket.
+    words = [f"v{k:05d}" for k in range(4000)]
+    keys = M._words(next(iter(text_blocks(pa.array([" ".join(words)])))))[0]
+    bucket = [w for w, c in zip(words, M.hashed_class(keys).tolist(), strict=True) if c == M.SINGLE + 5]
+    heads, tails = bucket[:20], bucket[20:40]
+    filler = [f"f{k}" for k in range(M.SINGLE)]  # have the classes of their own
+    rng = random.Random(4)
+
+    def text(shift):
+        return " ".join(f"{' '.join(rng.sample(filler, 4))} {heads[k]} {tails[(k + shift) % 20]}" for k in rng.sample(range(20), 20))
+
+    rows = [(i, text(0)) for i in range(60)] + [(1000 + i, text(7 + i)) for i in range(3)]
+    by = {r.doc_id: r.log_prob / r.n_words for r in M.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    assert min(by[i] for i in range(60)) > max(by[1000 + i] for i in range(3)) + 0.3
+
+
+def test_words_probabilities_add_up(spark):
+    texts = ["a b a c", "b a", "", "c c a b"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").coalesce(1)
+    batch = M.packed(docs).toArrow().to_batches()[0]
+    own = M.Packed(batch, 0)
+    times = np.bincount(own.at)
+    pairs = M.Pairs(own, np.full(3, 2))  # as if no word stood once, so that every pair is there
+    flat = [["^", *t.split(), "^"] for t in texts if t]
+    count = lambda a, b: sum(x == a and y == b for t in flat for x, y in zip(t, t[1:], strict=False))
+    got = np.exp(M.mixed(own, times, pairs, pairs.n, 3, np.log(np.full(len(own.at), 1 / 3))))
+    alone = {"^": 3} | {w: sum(t.split().count(w) for t in texts) for w in "abc"}
+
+    def want(left, w, right, word):
+        l, r = count(left, w) - (w == word), count(w, right) - (w == word)
+        return ((l + M.PRIOR / 3) / (alone[left] - 1 + M.PRIOR) + (r + M.PRIOR / 3) / (alone[right] - 1 + M.PRIOR)) / 2
+
+    places = [(t[i - 1], t[i], t[i + 1]) for t in flat for i in range(1, len(t) - 1)]
+    assert np.allclose(got, [want(a, w, b, w) for a, w, b in places])
+    # Over all words and the end of a text, which the network never predicts, this is one.
+    left, word, right = places[0]
+    rest = (count(left, "^") / (alone[left] - 1 + M.PRIOR) + count("^", right) / (alone[right] - 1 + M.PRIOR)) / 2
+    assert math.isclose(sum(want(left, w, right, word) for w in "abc") + rest, 1, rel_tol=1e-9)
+
+
 def test_empty_table(spark):
     assert M.scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []
