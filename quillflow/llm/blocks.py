@@ -18,10 +18,11 @@ import pyarrow.compute as pc
 BLOCK_BYTES = 1 << 20
 
 U64 = np.uint64
-_MULT = U64(0x9E3779B97F4A7C15)
-_INV = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_ALT_MULT = U64(0xD1342543DE82EF95)
-_ALT_INV = U64(pow(0xD1342543DE82EF95, -1, 1 << 64))
+_LENGTH, _PLACE, _JOIN = U64(0x9E3779B97F4A7C15), U64(0xD1342543DE82EF95), U64(0xA24BAED4963EE407)
+#: Sets the second hash apart from the first.
+_ALTERNATE = U64(0x9FB21C651E98DF25)
+#: Keeps the first 0 to 8 bytes of a little-endian word.
+_FIRST_BYTES = np.array([(1 << 8 * k) - 1 for k in range(9)], dtype=U64)
 
 
 def separators(*ranges: tuple[int, int]) -> np.ndarray:
@@ -50,44 +51,109 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class _Powers:
-    """Powers of an odd multiplier and of its inverse modulo 2**64."""
+def joined(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Hash of two hashes, in this order."""
+    return mix(a * _JOIN + b)
 
-    def __init__(self, base: np.uint64, inverse: np.uint64):
-        self.base, self.inverse = base, inverse
-        self.up = self.down = np.ones(1, dtype=U64)
 
-    def get(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        if len(self.up) < n:
-            size = max(n, BLOCK_BYTES + 1)
-            self.up, self.down = (np.empty(size, dtype=U64) for _ in range(2))
-            for out, factor in ((self.up, self.base), (self.down, self.inverse)):
-                out[:] = factor
-                out[0] = 1
-                np.multiply.accumulate(out, out=out)
-        return self.up, self.down
+class Spans:
+    """Hash of any span ``[s, e)`` of bytes.
 
+    The sum of a span's words of 8 bytes, each mixed with its place; no step is
+    linear in the bytes.  A span of up to 8 bytes is mixed one to one.
+    """
 
-_POWERS = _Powers(_MULT, _INV)
-_ALT_POWERS = _Powers(_ALT_MULT, _ALT_INV)
-_BYTE_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0xA24BAED4963EE407))
-_ALT_CODES = mix(np.arange(1, 257, dtype=U64) * U64(0x9FB21C651E98DF25))
+    def __init__(self, data: np.ndarray, alternate: bool = False):
+        padded = np.concatenate([data, np.zeros(8, dtype=np.uint8)])
+        self.words = np.ndarray(len(data) + 1, "<u8", padded, 0, (1,))
+        self.seed = _ALTERNATE if alternate else U64(0)
 
-
-class Rolling:
-    """Hash of any span ``[s, e)`` of a sequence, from one prefix sum."""
-
-    def __init__(self, values: np.ndarray, alternate: bool = False):
-        up, self.down = (_ALT_POWERS if alternate else _POWERS).get(len(values) + 1)
-        self.sums = np.zeros(len(values) + 1, dtype=U64)
-        np.cumsum(values * up[: len(values)], out=self.sums[1:])
+    def _rest(self, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of spans longer than 8 bytes: which they are, where each one's further words begin, each word's offset in its span, and its mask."""
+        long = np.flatnonzero(n > 8)
+        more = (n[long] - 1) >> 3
+        first = np.cumsum(more) - more
+        offset = (ragged(np.zeros(len(long), dtype=np.int64), more) + 1) << 3
+        return long, first, offset, _FIRST_BYTES[np.minimum(np.repeat(n[long], more) - offset, 8)]
 
     def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-        return mix((self.sums[ends] - self.sums[starts]) * self.down[starts])
+        n = ends - starts
+        out = mix((self.words[starts] & _FIRST_BYTES[np.minimum(n, 8)]) ^ (n.astype(U64) * _LENGTH + self.seed))
+        long, first, offset, mask = self._rest(n)
+        if len(long):
+            at = np.repeat(starts[long], (n[long] - 1) >> 3) + offset
+            parts = mix((self.words[at] & mask) + offset.astype(U64) * _PLACE ^ self.seed)
+            out[long] = joined(out[long], np.add.reduceat(parts, first))
+        return out
+
+    def equal(self, starts: np.ndarray, ends: np.ndarray, others: np.ndarray, other_ends: np.ndarray) -> np.ndarray:
+        """Whether each span has the bytes of another."""
+        n = ends - starts
+        out = (n == other_ends - others) & ((self.words[starts] ^ self.words[others]) & _FIRST_BYTES[np.minimum(n, 8)] == 0)
+        own = np.flatnonzero(out & (n > 8))
+        long, first, offset, mask = self._rest(n[own])
+        if len(long):
+            more = (n[own] - 1) >> 3
+            unlike = (self.words[np.repeat(starts[own], more) + offset] ^ self.words[np.repeat(others[own], more) + offset]) & mask
+            out[own] = np.bitwise_or.reduceat(unlike, first) == 0
+        return out
+
+
+def byte_hash(data: np.ndarray, alternate: bool = False) -> Spans:
+    return Spans(data, alternate)
+
+
+def distinct(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Index of one span of each different string of bytes, and the place in that list of every span's string.
+
+    Hashes propose the groups and bytes decide: a span that is unlike the one
+    that stands for its group gets a group of its own bytes.
+    """
+    spans = byte_hash(data)
+    _, example, inverse = np.unique(spans.span(starts, ends), return_index=True, return_inverse=True)
+    which = example[inverse]
+    wrong = np.flatnonzero(~spans.equal(starts, ends, starts[which], ends[which])).tolist()
+    own: dict[bytes, int] = {}
+    extra = []
+    for i in wrong:
+        word = data[starts[i] : ends[i]].tobytes()
+        if word not in own:
+            own[word] = len(example) + len(own)
+            extra.append(i)
+        inverse[i] = own[word]
+    return np.concatenate([example, np.array(extra, dtype=example.dtype)]), inverse
+
+
+class Sequence:
+    """Hash of any span ``[s, e)`` of one or more hashes.
+
+    A run of a power of two is hashed from its two halves, level by level; a
+    span by the two such runs that cover it, and its length.
+    """
+
+    def __init__(self, values: np.ndarray):
+        self.levels = [values]
+
+    def _level(self, k: int) -> np.ndarray:
+        while len(self.levels) <= k:
+            below, half = self.levels[-1], 1 << (len(self.levels) - 1)
+            self.levels.append(joined(below[: max(0, len(below) - half)], below[half:]))
+        return self.levels[k]
 
-
-def byte_hash(data: np.ndarray, alternate: bool = False) -> Rolling:
-    return Rolling((_ALT_CODES if alternate else _BYTE_CODES)[data], alternate)
+    def span(self, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = ends - starts
+        size = np.frexp(n.astype(np.float64))[1] - 1
+        out = np.empty(len(n), dtype=U64)
+        for k in np.unique(size).tolist():
+            own, level = np.flatnonzero(size == k), self._level(k)
+            out[own] = joined(level[starts[own]] ^ n[own].astype(U64), level[ends[own] - (1 << k)])
+        return out
+
+    def runs(self, n: int) -> np.ndarray:
+        """``span(i, i + n)`` for every i, up to a factor that all share."""
+        k = n.bit_length() - 1
+        level, rest = self._level(k), n - (1 << k)
+        return joined(level[: len(level) - rest], level[rest:]) if rest else level
 
 
 class Block:

@@ -16,7 +16,6 @@ from __future__ import annotations
 import base64
 import heapq
 import unicodedata
-from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import Block, byte_hash, ragged, text_blocks
+from .blocks import Block, byte_hash, distinct, ragged, text_blocks
 
-MEMO_TOKENS = 500_000
+MEMO_TOKENS = 200_000
 
 
 # ------------------------------------------------------------------ pre-tokens
@@ -250,35 +249,37 @@ class Codec:
 
     def forget(self) -> None:
         self.memo: dict[bytes, int] = {}
-        self.memo_ids, self.memo_starts, self.memo_lengths = array("i"), array("q"), array("i")
+        self.memo_ids = np.zeros(1 << 16, dtype=np.int32)
+        self.memo_bounds = np.zeros(1 << 14, dtype=np.int64)
 
     def _misses(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Ids, starts and lengths of the merged words."""
-        memo = self.memo
-        for w in words:
-            if w not in memo:
-                got = merge(w, self.ranks)
-                memo[w] = len(self.memo_starts)
-                self.memo_starts.append(len(self.memo_ids))
-                self.memo_lengths.append(len(got))
-                self.memo_ids.extend(got)
-        slots = np.fromiter((memo[w] for w in words), dtype=np.int64, count=len(words))
-        if not len(slots):
-            return slots, slots, slots
-        # Copies: an array that numpy looks at can't grow.
-        lengths = np.array(self.memo_lengths, dtype=np.int64)[slots]
-        ids = np.array(self.memo_ids, dtype=np.int64)[ragged(np.array(self.memo_starts, dtype=np.int64)[slots], lengths)]
-        return ids, np.cumsum(lengths) - lengths, lengths
+        memo, known = self.memo, len(self.memo)
+        new = [w for w in words if w not in memo]
+        if new:
+            got = [merge(w, self.ranks) for w in new]
+            memo.update(zip(new, range(known, known + len(new)), strict=True))
+            ends = self.memo_bounds[known] + np.cumsum([len(x) for x in got])
+            while len(self.memo_bounds) <= len(memo):
+                self.memo_bounds = np.concatenate([self.memo_bounds, np.zeros_like(self.memo_bounds)])
+            while len(self.memo_ids) < ends[-1]:
+                self.memo_ids = np.concatenate([self.memo_ids, np.zeros_like(self.memo_ids)])
+            self.memo_ids[self.memo_bounds[known] : ends[-1]] = np.concatenate([np.array(x, dtype=np.int32) for x in got])
+            self.memo_bounds[known + 1 : len(memo) + 1] = ends
+        slots = np.fromiter(map(memo.__getitem__, words), dtype=np.int64, count=len(words))
+        lengths = self.memo_bounds[slots + 1] - self.memo_bounds[slots]
+        return self.memo_ids[ragged(self.memo_bounds[slots], lengths)].astype(np.int64), np.cumsum(lengths) - lengths, lengths
 
     def encode(self, block: Block) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the rows one after another, and the rows' bounds in them."""
         lo, hi, first = self.pre.spans(block)
         if not len(lo):
             return np.zeros(0, dtype=np.int64), first
-        if len(self.memo) > MEMO_TOKENS or len(self.memo_ids) > 8 * MEMO_TOKENS:
+        if len(self.memo) > MEMO_TOKENS or self.memo_bounds[len(self.memo)] > 8 * MEMO_TOKENS:
             self.forget()
-        keys, example, inverse = np.unique(byte_hash(block.data).span(lo, hi), return_index=True, return_inverse=True)
+        example, inverse = distinct(block.data, lo, hi)
         starts, lengths = lo[example], (hi - lo)[example]
+        keys = byte_hash(block.data).span(starts, starts + lengths)
         token = self.used[self.hash.lookup(keys)]
         hit = (self.keys[token] == keys) & (self.lengths[token] == lengths)
         at = np.flatnonzero(hit)
@@ -387,7 +388,12 @@ def round_trip(docs: DataFrame, path: str, text: str = "text", ids: str = "ids",
 
 
 def digests(docs: DataFrame, path: str) -> DataFrame:
-    """Per row: ``doc_id``, ``n_tokens``, and the digests of the ids and of the bytes decoded from them."""
+    """Per row: ``doc_id``, ``n_tokens``, and the digests of the ids and of the bytes decoded from them.
+
+    Null and empty texts have no ids.  Rows are taken one by one: repeats and
+    ties come out alike, an empty table stays empty, and only ``doc_id`` and
+    ``text`` are read.
+    """
     import hashlib
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -6,11 +6,11 @@ into it, so a linear score is a sum of means and needs no sparse matrix.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 
-from .blocks import BLANKS, LOWER, Block, Rolling, byte_hash, mix, row_of, sums_by_row
+from .blocks import BLANKS, LOWER, Block, Sequence, byte_hash, mix, row_of, sums_by_row
 
 BITS = 16
 CHAR_ORDERS = (1, 2, 3, 4)
@@ -74,7 +74,7 @@ class Counts:
         if not len(at):
             return np.zeros(self.block.rows, dtype=np.int64)
         at = at[row[at] == row[at + window - 1]]
-        key = mix(Rolling(self.word_hash).span(at, at + window) ^ mix(row[at].astype(np.uint64) + np.uint64(1)))
+        key = mix(Sequence(self.word_hash).runs(window)[at] ^ mix(row[at].astype(np.uint64) + np.uint64(1)))
         order = np.argsort(key)
         same = key[order][1:] == key[order][:-1]
         twice = np.zeros(len(at), dtype=bool)
@@ -143,45 +143,82 @@ def linear(counts: Counts, weights: np.ndarray, dense_weights: np.ndarray, bias:
     return out
 
 
+def slope_sums(counts: Counts, slope: np.ndarray) -> np.ndarray:
+    """Gradient of a block's loss: of all weights, of the dense ones and of the bias, in one vector."""
+    out = np.zeros(WEIGHTS + DENSE + 1)
+    for kind, bucket, bounds in grams(counts):
+        n = np.diff(bounds)
+        out[kind << BITS : (kind + 1) << BITS] = np.bincount(bucket, np.repeat(slope / np.maximum(n, 1), n), minlength=1 << BITS)
+    out[WEIGHTS:-1], out[-1] = dense(counts).T @ slope, slope.sum()
+    return out
+
+
 class Matrix:
-    """Sparse feature rows for training."""
+    """Sparse feature rows for training: 8 bytes an entry, in runs of one row each."""
 
-    def __init__(self, blocks: Iterator[Block]):
-        rows, columns, values, dense_rows = [], [], [], []
+    STEP = 1 << 21
+
+    def __init__(self, blocks: Iterable[Block]):
+        columns, values, rows, lengths, dense_rows = [], [], [], [], []
         n = 0
         for block in blocks:
             counts = Counts(block)
             dense_rows.append(dense(counts))
             for kind, bucket, bounds in grams(counts):
-                row = row_of(bounds)
-                key, times = np.unique(row << BITS | bucket, return_counts=True)
-                rows.append((key >> BITS) + n)
-                columns.append((key & ((1 << BITS) - 1)) + (kind << BITS))
-                values.append(times / np.diff(bounds)[key >> BITS])
+                key, times = np.unique(row_of(bounds) << BITS | bucket, return_counts=True)
+                row = key >> BITS
+                begin = np.flatnonzero(np.diff(row, prepend=-1))
+                rows.append(row[begin] + n)
+                lengths.append(np.diff(np.append(begin, len(row))))
+                columns.append(((key & ((1 << BITS) - 1)) + (kind << BITS)).astype(np.int32))
+                values.append((times / np.diff(bounds)[row]).astype(np.float32))
             n += block.rows
+
+        def all_of(parts: list[np.ndarray], kind: type) -> np.ndarray:
+            return np.concatenate(parts).astype(kind, copy=False) if parts else np.zeros(0, dtype=kind)
+
         self.n = n
-        self.rows = np.concatenate(rows) if rows else np.zeros(0, dtype=np.int64)
-        self.columns = np.concatenate(columns) if columns else np.zeros(0, dtype=np.int64)
-        self.values = np.concatenate(values).astype(np.float32) if values else np.zeros(0, dtype=np.float32)
+        self.columns, self.values = all_of(columns, np.int32), all_of(values, np.float32)
+        self.rows, self.lengths = all_of(rows, np.int64), all_of(lengths, np.int64)
+        self.bounds = np.concatenate([[0], np.cumsum(self.lengths)])
         self.dense = np.concatenate(dense_rows) if dense_rows else np.zeros((0, DENSE))
+        # Runs are taken some at a time, which bounds what a step holds besides.
+        cuts = np.searchsorted(self.bounds, np.arange(0, int(self.bounds[-1]) + self.STEP, self.STEP))
+        self.pieces = [(lo, hi) for lo, hi in zip(np.unique(cuts).tolist(), np.unique(cuts).tolist()[1:], strict=False)] if len(self.rows) else []
+        if self.pieces:
+            self.pieces[-1] = (self.pieces[-1][0], len(self.rows))
 
     def scores(self, weights: np.ndarray, dense_weights: np.ndarray, bias: float) -> np.ndarray:
-        return np.bincount(self.rows, self.values * weights[self.columns], minlength=self.n) + self.dense @ dense_weights + bias
+        out = self.dense @ dense_weights + bias
+        for lo, hi in self.pieces:
+            own = slice(self.bounds[lo], self.bounds[hi])
+            sums = np.add.reduceat(self.values[own] * weights[self.columns[own]], self.bounds[lo:hi] - self.bounds[lo])
+            out += np.bincount(self.rows[lo:hi], sums, minlength=self.n)
+        return out
 
     def gradient(self, residual: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-        return np.bincount(self.columns, self.values * residual[self.rows], minlength=WEIGHTS), self.dense.T @ residual, float(residual.sum())
+        out = np.zeros(WEIGHTS)
+        for lo, hi in self.pieces:
+            own = slice(self.bounds[lo], self.bounds[hi])
+            out += np.bincount(self.columns[own], self.values[own] * np.repeat(residual[self.rows[lo:hi]], self.lengths[lo:hi]), minlength=WEIGHTS)
+        return out, self.dense.T @ residual, float(residual.sum())
+
 
+def descend(matrix: Matrix, loss_slope, steps: int, rate: float = 0.3, decay: float = 1e-6, start=None, tilt=None) -> tuple[np.ndarray, np.ndarray, float]:
+    """Weights by full-batch Adam; ``loss_slope(scores, theta)`` is d loss / d score of every row.
 
-def descend(matrix: Matrix, loss_slope, steps: int, rate: float = 0.3, decay: float = 1e-6) -> tuple[np.ndarray, np.ndarray, float]:
-    """Weights by full-batch Adam; ``loss_slope(scores)`` is d loss / d score of every row."""
-    theta = [np.zeros(WEIGHTS), np.zeros(DENSE), np.zeros(1)]
+    ``start`` is where it begins and what decay pulls to; ``tilt(theta)`` is
+    added to the gradient.
+    """
+    theta = [np.zeros(WEIGHTS), np.zeros(DENSE), np.zeros(1)] if start is None else [start[0].astype(np.float64), start[1].copy(), np.array([start[2]])]
+    origin = [x.copy() for x in theta]
     rates = [rate * 10, rate, rate]  # shares are small numbers
     first = [np.zeros_like(x) for x in theta]
     second = [np.zeros_like(x) for x in theta]
     for step in range(1, steps + 1):
-        slope = loss_slope(matrix.scores(theta[0], theta[1], theta[2][0]))
-        g = matrix.gradient(slope)
-        for k, gradient in enumerate((g[0] + decay * theta[0], g[1] + 1e-4 * theta[1], np.array([g[2]]))):
+        g = matrix.gradient(loss_slope(matrix.scores(theta[0], theta[1], theta[2][0]), theta))
+        more = tilt(theta) if tilt else (0, 0, 0)
+        for k, gradient in enumerate((g[0] + more[0] + decay * (theta[0] - origin[0]), g[1] + more[1] + 1e-4 * (theta[1] - origin[1]), np.array([g[2]]) + more[2])):
             first[k] += 0.1 * (gradient - first[k])
             second[k] += 0.01 * (gradient**2 - second[k])
             size = np.sqrt(second[k] / (1 - 0.99**step)) + 1e-9

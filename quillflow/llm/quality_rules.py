@@ -23,7 +23,7 @@ from .training import SAMPLE_ROWS, fitted, fold, labelled_sample
 KEEP_AT = 0.5
 MIN_WORDS = 20
 REPEAT_PERCENT = 30
-STEPS = 120
+STEPS = 60
 
 
 def fit(blocks: list[Block], labels: list[int]) -> tuple[np.ndarray, np.ndarray, float, tuple[float, float]]:
@@ -33,7 +33,7 @@ def fit(blocks: list[Block], labels: list[int]) -> tuple[np.ndarray, np.ndarray,
     matrix, y = Matrix(iter(blocks)), np.array(labels, dtype=np.float64)
     apart = np.arange(len(y)) % 5 == 4
     share = np.where(apart, 0.0, 1.0) / max(1, (~apart).sum())
-    weights, dense_weights, bias = descend(matrix, lambda s: (sigmoid(s) - y) * share, STEPS)
+    weights, dense_weights, bias = descend(matrix, lambda s, _: (sigmoid(s) - y) * share, STEPS)
     scores = matrix.scores(weights, dense_weights, bias)
     return weights.astype(np.float32), dense_weights, bias, platt(scores[apart], y[apart])
 
@@ -49,7 +49,7 @@ def probabilities(counts: Counts, model) -> np.ndarray:
     return sigmoid(slope * linear(counts, weights, dense_weights, bias) + intercept)
 
 
-OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, probability double, kept boolean"
+OUT = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, probability double"
 
 
 def quality_rules(docs: DataFrame, model, keep_at: float = KEEP_AT) -> DataFrame:
@@ -66,7 +66,7 @@ def quality_rules(docs: DataFrame, model, keep_at: float = KEEP_AT) -> DataFrame
                 c = Counts(block)
                 failed = (c.words < MIN_WORDS) | (100 * c.repeat_words > REPEAT_PERCENT * c.words)
                 p = probabilities(c, model)
-                columns = [c.words, c.word_chars, c.symbols, c.dup_lines, c.repeat_words, failed, p, ~failed & (p >= keep_at)]
+                columns = [c.words, c.word_chars, c.symbols, c.dup_lines, c.repeat_words, failed, ~failed & (p >= keep_at), p]
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id").slice(block.lo, block.rows), *map(pa.array, columns)], OUT.replace(",", "").split()[::2])
 
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .blocks import BLANKS, Block, Rolling, byte_hash, mix, ragged, row_of, text_blocks
+from .blocks import BLANKS, Block, Sequence, byte_hash, mix, ragged, row_of, text_blocks
 from .tables import carried, shared_dir, shuffle_width, staged
 
 WINDOW = 35
@@ -63,8 +63,8 @@ class Words:
 
     def __init__(self, block: Block):
         self.starts, self.ends, self.first = block.words(BLANKS)
-        self.a = Rolling(byte_hash(block.data).span(self.starts, self.ends))
-        self.b = Rolling(byte_hash(block.data, alternate=True).span(self.starts, self.ends), alternate=True)
+        self.a = Sequence(byte_hash(block.data).span(self.starts, self.ends))
+        self.b = Sequence(byte_hash(block.data, alternate=True).span(self.starts, self.ends))
 
 
 def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -79,8 +79,7 @@ def anchors(words: Words, window: int, anchor: int) -> tuple[np.ndarray, np.ndar
         none = np.zeros(0, dtype=np.int64)
         return none, none, none, none
     total = len(words.starts)
-    runs = np.arange(total - anchor + 1)
-    h = words.a.span(runs, runs + anchor)
+    runs, h = np.arange(total - anchor + 1), words.a.runs(anchor)
     # Least hash of the next `width` runs, with its place: doubling, the left one on ties.
     width, reach = window - anchor + 1, 1
     best = runs

@@ -44,7 +44,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLANKS, LOWER, Block, byte_hash, ragged, text_blocks
+from .blocks import BLANKS, LOWER, Block, distinct, ragged, text_blocks
 from .tables import shared_dir, shuffle_width
 
 BLOCK = 128
@@ -52,7 +52,7 @@ PERCENTILE = 0.9
 SEGMENT_IDS = 1 << 20
 END_ID = 2
 
-MEMO_RUNS = 600_000
+MEMO_RUNS = 300_000
 
 
 # ---------------------------------------------------------------- the format
@@ -179,9 +179,10 @@ class WordTokenizer:
 
     The tokenizer drops white space, never matches across it and lowers case.
     So the ids of a text are those of its words in order, and in a word of
-    ASCII letters and marks those of its runs of either.  The library gets each
-    distinct run once (its model, as normalising would change nothing) and each
-    distinct word of another kind once (whole).  A bounded memo keeps the ids
+    ASCII letters and marks those of its runs of either, unless it has ``<|``,
+    with which added tokens begin.  The library gets each distinct run once (its
+    model, as normalising would change nothing) and each distinct word of
+    another kind once (whole).  A bounded memo keeps the ids
     of what was seen before.
     """
 
@@ -189,7 +190,6 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
         self.forget()
 
     def forget(self) -> None:
@@ -229,6 +229,9 @@ class WordTokenizer:
         whole = np.zeros(len(kind) + 1, dtype=np.int64)
         np.cumsum(kind == _WHOLE, out=whole[1:])
         odd = whole[ends] > whole[starts]
+        # A word that may hold an added token, which is matched inside words too, is the library's.
+        opening = np.flatnonzero((block.data[:-1] == 0x3C) & (block.data[1:] == 0x7C))
+        odd[np.searchsorted(starts, opening, side="right") - 1] = True
         kind[ragged(starts[odd], (ends - starts)[odd])] = _WHOLE
         data = np.where(kind == _WHOLE, block.data, LOWER[block.data])
         cut = np.zeros(len(kind) + 1, dtype=bool)
@@ -245,7 +248,7 @@ class WordTokenizer:
         data, starts, ends, first = self.runs(block)
         if len(self.slots) > MEMO_RUNS or self.used > 8 << 20:
             self.forget()
-        _, example, inverse = np.unique(byte_hash(data).span(starts, ends), return_index=True, return_inverse=True)
+        example, inverse = distinct(data, starts, ends)
         raw = data.tobytes()
         runs = [raw[s:e] for s, e in zip(starts[example].tolist(), ends[example].tolist(), strict=True)]
         new = [w for w in runs if w not in self.slots]
@@ -328,6 +331,8 @@ def write_ids(docs: DataFrame, tokenizer_path: str, path: str, end_id: int | Non
 def read_ids(spark, path: str) -> DataFrame:
     """Documents of a written table: ``doc_id``, ``start``, ``n_tokens``, ``ids`` (binary, little-endian uint32).
 
+    One row for each document that was written, null ids, empty texts and
+    repeated rows included; none for a table without segments.
     What is gathered on the driver is one count for each shard.
     """
     table = spark.read.schema(SEGMENT_SCHEMA).parquet(path)

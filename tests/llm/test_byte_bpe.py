@@ -8,6 +8,7 @@ import pytest
 
 from quillflow.llm.blocks import text_blocks
 from quillflow.llm.byte_bpe import PerfectHash, codec, decode, digests, encode, round_trip
+from tests.llm import thue_morse
 
 tiktoken = pytest.importorskip("tiktoken")
 P = pytest.importorskip("public_tokenizers")
@@ -25,7 +26,7 @@ POOL = ["don't", "'s", "'ve", "'v", "''ll", "'", " '", "\n'd", " 't", "I'm", "x
 
 def texts():
     rng = random.Random(5)
-    return ["".join(rng.choice(POOL) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["", "x" * 20_000, " " * 5000, "ab'" * 3000]
+    return ["".join(rng.choice(POOL) for _ in range(rng.randrange(30))) for _ in range(3000)] + ["", *thue_morse(1024), *thue_morse(4096), " ".join(thue_morse(2048)), "x" * 20_000, " " * 5000, "ab'" * 3000]
 
 
 def test_ids_are_the_library_s(library):

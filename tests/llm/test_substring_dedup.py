@@ -6,6 +6,7 @@ from collections import Counter
 import pytest
 
 from quillflow.llm.substring_dedup import deduplicate, digests
+from tests.llm import thue_morse
 
 
 def brute(texts, window):
@@ -34,6 +35,8 @@ def texts(seed):
         copy = list(near)
         copy[rng.randrange(300)] = f"edit{i}"
         out.append(" ".join(copy))
+    out += [" ".join(text[i : i + 64] for i in range(0, len(text), 64)) for n in (1024, 4096) for text in thue_morse(n)]
+    out += [" ".join(text) for text in thue_morse(64)] + [f"{x} " * 20 + " ".join(map(str, range(30))) for x in thue_morse(1024)]
     return out + [None, "", " ", "same " * 500, "one two"] + [out[0]] * 5 + ["a b " * 400]
 
 

@@ -4,7 +4,9 @@ import zlib
 import numpy as np
 import pytest
 
+from quillflow.llm import blocks
 from quillflow.llm.token_binary import BLOCK, Segment, digests, token_file, write_segment
+from tests.llm import thue_morse
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -33,7 +35,6 @@ def test_outliers_do_not_widen_a_block():
 
 def expected(rows):
     library = tokenizers.Tokenizer.from_file(P.path("word_bpe_49k.json"))
-    library.encode_special_tokens = True
     out, start = [], 0
     for doc_id, text in sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0)):
         ids = library.encode(text or "", add_special_tokens=False).ids + [2]
@@ -46,6 +47,8 @@ def test_like_the_library(spark):
     rng = random.Random(3)
     pool = ["don't", "It's", "<|endoftext|>", "\x01", "a\x01b", "é", "é", "́", "12345", "x" * 3000, "　", " ", "Ärger!!", "\n", "%%%", "Σ", "ΑΣ", "日本語", "🙂🙂", "\x00", "\x1f", "\u0085", "we'LL", "''s"]
     rows = [(i, "".join(rng.choice(pool) + rng.choice(["", " ", "\n", "\t"]) for _ in range(rng.randrange(40)))) for i in range(200)]
+    rows += [(800 + i, t) for i, t in enumerate(thue_morse(1024) + thue_morse(4096))]
+    rows += [(810, "a<|endoftext|>b <|startoftext|><|ENDOFTEXT|> <|x <|endoftext |> y<|"), (811, "<"), (812, "|endoftext|>")]
     rows += [(None, "no id"), (900, None), (901, ""), (902, "word " * 40_000)]
     rng.shuffle(rows)
     docs = spark.createDataFrame([(t, i, "x", -1) for i, t in rows], "text string, doc_id long, ids string, start long").repartition(5)
@@ -62,3 +65,12 @@ def test_repeated_rows(spark):
     docs = spark.createDataFrame([(1, "same text")] * 3, "doc_id long, text string")
     got = sorted(tuple(r) for r in digests(token_file(docs, P.path("word_bpe_49k.json"))).collect())
     assert [r[1] for r in got] == [0, got[0][2], 2 * got[0][2]]
+
+
+def test_bytes_decide_where_hashes_collide(monkeypatch):
+    monkeypatch.setattr(blocks.Spans, "span", lambda self, starts, ends: np.zeros(len(starts), dtype=np.uint64))
+    data = np.frombuffer(b"one two one twofold two threefold_ threefold-", dtype=np.uint8)
+    starts, ends, _ = blocks.Block(0, 1, data, np.array([0, len(data)])).words(blocks.BLANKS)
+    example, which = blocks.distinct(data, starts, ends)
+    words = data.tobytes().split()
+    assert [words[i] for i in example[which].tolist()] == words and len(example) == len(set(words))
