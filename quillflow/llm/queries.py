@@ -38,7 +38,7 @@ def op5_pu_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .pu_quality import scores, train
 
     docs = table(spark, sf_dir, "documents")
-    return scores(docs, train(docs, table(spark, sf_dir, "labels")))
+    return scores(docs, train(docs, table(spark, sf_dir, "labels"))[0])
 
 
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,26 +1,31 @@
 """Toxicity by weak supervision.
 
 *Voters.*  Each is a word of a lexicon or a pattern (words that begin with a
-given run of letters) and votes "toxic" where it occurs, else abstains; that it occurs at all is one voter, that
-it occurs once or again and as a notable share of the words or not is another.  They are mined from labelled rows: words and beginnings that many more toxic than
-other rows have.
+given run of letters) and votes "toxic" where it occurs, else abstains; that it
+occurs at all is one voter, that it occurs once or again and as a notable share
+of the words or not is another.  They are mined from a bounded sample of
+labelled rows: words and beginnings that many more toxic than other rows have.
+All that pass the limits of evidence vote; those that occur in the very same
+labelled rows (a word and its beginnings, mostly) are one voter, which votes
+where any of them does.
 
 *Label model.*  A generative model says how often each voter votes in either
 class.  Expectation and maximisation fit these rates and the class share to
-unlabelled text, from a start that the labelled rows give.  Voters are not
+*all* documents, from a start that the labelled rows give.  Voters are not
 independent (a word and its beginning vote together), so their correlations
 within the classes are estimated too, and the weight of a vote is divided by
 the number of votes that it goes along with.  A voter that abstains says
-nothing; that all of them do counts as a vote of its own.  The posterior of each
-text is its training label.
+nothing; that all of them do counts as a vote of its own.  The documents' votes
+are found once and kept as a table of patterns with counts (``patterns``); a
+round sums statistics of fixed size over it.
 
 *Classifier.*  A linear model over votes, their rate and the text's length is
-trained on the posteriors; it alone scores.
+trained on the posteriors of the labelled sample's texts; it alone scores.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import numpy as np
@@ -30,19 +35,22 @@ from pyspark.sql import functions as F
 
 from .blocks import LOWER, Block, byte_hash, mix, row_of, separators, text_blocks
 from .features import sigmoid
-from .training import SAMPLE_ROWS, fitted, fold, labelled_sample, plain_sample
+from .tables import staged
+from .training import SAMPLE_BYTES, SAMPLE_ROWS, fitted, fold, labelled_sample, summed
 
 PREDICT_AT = 0.7
-VOTERS = 256
 #: Letters of the beginnings that patterns may have.
 PREFIXES = (3, 4, 5, 6, 7, 8)
 #: In nats: a token of no meaning gets as far once in e**12 = 160,000 times.
 MIN_EVIDENCE = 12.0
-MIN_RATIO = 8.0
-#: For a voter that doesn't ask how often.
-MIN_RATIO_AT_ALL = 50.0
+#: Of the rates in toxic and in clean rows.
+MIN_RATIO = 50.0
 DENSE_SHARE = 0.005
-ROUNDS = 30
+ROUNDS = 12
+#: Rounds that estimate the correlations.
+CORRELATED = (1, 4)
+#: Keys that mining holds at a time.
+MINED_KEYS = 1 << 23
 
 #: Words are runs of letters, digits and all that isn't ASCII.
 _MARKS = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
@@ -50,7 +58,8 @@ _MARKS = separators((0x00, 0x2F), (0x3A, 0x40), (0x5B, 0x60), (0x7B, 0x7F))
 
 class Model(NamedTuple):
     tokens: np.ndarray  # sorted keys of the words and beginnings that voters look at
-    voters: np.ndarray  # sorted keys
+    keys: np.ndarray  # sorted; of what voters look for
+    voters: np.ndarray  # voter of each key
     prior: float  # posterior share of toxic texts
     toxic_rate: np.ndarray
     clean_rate: np.ndarray
@@ -98,27 +107,54 @@ def voter_keys(row: np.ndarray, key: np.ndarray, words: np.ndarray) -> tuple[np.
     return np.tile(row, 2), np.tile(key, 2), np.concatenate([mix(key), mix(key + level)])
 
 
-def mine(blocks: list[Block], labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Tokens and voters, both sorted, and the voters' rates in toxic and in clean labelled rows."""
-    toxic, clean = max(1, int((labels == 1).sum())), max(1, int((labels == 0).sum()))
-    seen: list[np.ndarray] = []
-    base = 0
-    for block in blocks:
-        row, token, voter = voter_keys(*tokens(block))
-        seen.append(np.stack([voter, token, (labels[base + row] == 1).astype(np.uint64)], axis=1))
+def _counted(parts: Iterator[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Different keys of all parts and their numbers; parts are merged as they come."""
+    keys, n = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+    for part in parts:
+        own, times = np.unique(part, return_counts=True)
+        every = np.concatenate([keys, own])
+        keys, inverse = np.unique(every, return_inverse=True)
+        n = np.bincount(inverse, np.concatenate([n, times]), minlength=len(keys)).astype(np.int64)
+    return keys, n
+
+
+def mine(toxic: list[Block], clean: list[Block]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Tokens and keys, both sorted, the voter of each key, and the voters' rates in toxic and in clean labelled rows.
+
+    Evidence asks for a number of toxic rows, so those come first, a range of
+    keys at a time; of the clean ones only the keys that are left count.  Memory
+    thus follows ``MINED_KEYS`` and the largest block, not the texts.
+    """
+    n_toxic, n_clean = (max(1, sum(b.rows for b in x)) for x in (toxic, clean))
+    share = n_toxic / (n_toxic + n_clean)
+    least = max(2, int(np.ceil(MIN_EVIDENCE / -np.log(share))))
+    # A word has at most 7 tokens, each of two voters.
+    ranges = 1 << max(0, int(np.ceil(np.log2(max(1, 7 * sum(len(b.data) for b in toxic) / MINED_KEYS)))))
+    found = []
+    for k in range(ranges):
+        own = _counted(v[(v >> np.uint64(1)) % np.uint64(ranges) == k] if ranges > 1 else v for v in (voter_keys(*tokens(b))[2] for b in toxic))
+        found.append((own[0][own[1] >= least], own[1][own[1] >= least]))
+    keys, up = (np.concatenate(x) for x in zip(*found, strict=True))
+    order = np.argsort(keys)
+    keys, up = keys[order], up[order]
+    down = np.zeros(len(keys), dtype=np.int64)
+    for block in clean:
+        at, there = _find(keys, voter_keys(*tokens(block))[2])
+        down += np.bincount(at[there], minlength=len(keys))
+    token = np.zeros(len(keys), dtype=np.uint64)  # that each key looks at
+    rows, base = np.zeros(len(keys), dtype=np.uint64), 0  # sum of the hashes of a key's rows
+    for block in toxic + clean:
+        row, own, voter = voter_keys(*tokens(block))
+        at, there = _find(keys, voter)
+        token[at[there]] = own[there]
+        np.add.at(rows, at[there], mix((base + row[there] + 1).astype(np.uint64)))
         base += block.rows
-    every = np.concatenate(seen)
-    keys, example, inverse = np.unique(every[:, 0], return_index=True, return_inverse=True)
-    up = np.bincount(inverse, weights=every[:, 2].astype(np.float64))
-    down = np.bincount(inverse) - up
-    a, b = (up + 0.5) / (toxic + 1), (down + 0.5) / (clean + 1)
+    a, b = (up + 0.5) / (n_toxic + 1), (down + 0.5) / (n_clean + 1)
     # Log-likelihood ratio against a token that knows nothing of the classes.
-    share = toxic / (toxic + clean)
-    strength = up * np.log(np.maximum(up, 1) / ((up + down) * share)) + down * np.log(np.maximum(down, 1) / ((up + down) * (1 - share)))
-    ratio = np.where(keys == mix(every[example, 1]), MIN_RATIO_AT_ALL, MIN_RATIO)
-    good = np.flatnonzero((strength >= MIN_EVIDENCE) & (a / b >= ratio))
-    best = np.sort(good[np.argsort(-strength[good], kind="stable")[:VOTERS]])
-    return np.unique(every[example[best], 1]), keys[best], a[best], b[best]
+    strength = up * np.log(up / ((up + down) * share)) + down * np.log(np.maximum(down, 1) / ((up + down) * (1 - share)))
+    good = np.flatnonzero((strength >= MIN_EVIDENCE) & (a / b >= MIN_RATIO))
+    _, example, voters = np.unique(rows[good], return_index=True, return_inverse=True)
+    return np.unique(token[good]), keys[good], voters, a[good][example], b[good][example]
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -129,44 +165,79 @@ def _find(table: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return at, table[at] == keys
 
 
-def votes(block: Block, known: np.ndarray, voters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def votes(block: Block, known: np.ndarray, keys: np.ndarray, voters: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Matrix of votes (rows by voters), tokens with a voter, and words of each row."""
     row, key, words = tokens(block)
     hit = _find(known, key)[1]
     row, key = row[hit], key[hit]
-    out = np.zeros((block.rows, len(voters)), dtype=bool)
+    out = np.zeros((block.rows, int(voters.max(initial=-1)) + 1), dtype=bool)
     own, _, voter = voter_keys(row, key, words)
-    at, there = _find(voters, voter)
-    out[own[there], at[there]] = True
+    at, there = _find(keys, voter)
+    out[own[there], voters[at[there]]] = True
     return out, np.bincount(row, minlength=block.rows), words
 
 
-def label_model(fired: np.ndarray, toxic_rate: np.ndarray, clean_rate: np.ndarray, prior: float) -> tuple[np.ndarray, float, np.ndarray, np.ndarray]:
-    """Posterior of each text, class share and both rates of each voter."""
-    x = fired.astype(np.float64)
-    n, k = x.shape
-    alpha, beta = np.clip(toxic_rate, 1e-4, 0.99), np.clip(clean_rate, 1e-5, 0.5)
-    q, mute, none, none_clean = np.full(n, prior), ~fired.any(axis=1), 0.05, 0.9
-    for _ in range(ROUNDS if k and n else 0):
-        # Correlations within the classes, by the posterior so far.
+class Rates(NamedTuple):
+    """Parameters of the label model."""
+
+    prior: float
+    toxic: np.ndarray  # how often each voter votes in toxic texts
+    clean: np.ndarray
+    mute: tuple[float, float]  # how often none does, in either
+    along: np.ndarray  # votes that each goes along with, itself included
+
+    @classmethod
+    def start(cls, toxic: np.ndarray, clean: np.ndarray, prior: float) -> Rates:
+        return cls(prior, np.clip(toxic, 1e-4, 0.99), np.clip(clean, 1e-5, 0.5), (0.05, 0.9), np.ones(len(toxic)))
+
+    def posterior(self, x: np.ndarray) -> np.ndarray:
+        """Of the toxic class, for rows of votes."""
+        weight = np.log(self.toxic / self.clean) / self.along
+        none = np.log(self.mute[0] / self.mute[1])
+        return sigmoid(np.log(self.prior / (1 - self.prior)) + np.where(x.any(axis=1), x @ weight, none))
+
+
+def statistics(x: np.ndarray, n: np.ndarray, rates: Rates, pairs: bool) -> np.ndarray:
+    """Sums over rows of votes (each standing ``n`` times): texts, mute texts, votes and, if asked, pairs of votes, by the posterior of either class."""
+    q, mute = rates.posterior(x), ~x.any(axis=1)
+    out = []
+    for weight in (q * n, (1 - q) * n):
+        own = [weight.sum(), weight @ mute, *(weight @ x)]
+        out.append(np.concatenate([own, ((x * weight[:, None]).T @ x).ravel()]) if pairs else np.array(own))
+    return np.concatenate(out)
+
+
+def improved(rates: Rates, sums: np.ndarray, k: int, pairs: bool, seen: Rates) -> Rates:
+    """The next round's parameters.  Weak pseudo-counts hold each voter to where the labelled rows saw it (``seen``)."""
+    (mass, mute, votes, both), (clean_mass, clean_mute, clean_votes, clean_both) = ((x[0], x[1], x[2 : 2 + k], x[2 + k :]) for x in np.split(sums, 2))
+    along = rates.along
+    if pairs:
         along = np.ones(k)
-        for weight in (q, 1 - q) if _ else ():
-            mass = weight.sum()
-            if mass > 20:
-                mean = weight @ x / mass
-                cov = (x * weight[:, None]).T @ x / mass - np.outer(mean, mean)
+        for total, one, two in ((mass, votes, both), (clean_mass, clean_votes, clean_both)):
+            if total > 20:
+                mean = one / total
+                cov = two.reshape(k, k) / total - np.outer(mean, mean)
                 deviation = np.sqrt(np.maximum(np.diag(cov), 1e-9))
                 correlation = np.clip(cov / np.outer(deviation, deviation), 0, 1)
                 np.fill_diagonal(correlation, 0)
                 along = np.maximum(along, 1 + np.where(correlation > 0.5, correlation, 0).sum(axis=1))
-        logit = np.log(prior / (1 - prior)) + np.where(mute, np.log(none / none_clean), x @ (np.log(alpha / beta) / along))
-        q = sigmoid(logit)
-        # Weak pseudo-counts hold each voter to where the labelled rows saw it.
-        alpha = np.clip((q @ x + 100 * toxic_rate) / (q.sum() + 100), 1e-4, 0.99)
-        beta = np.clip(((1 - q) @ x + 100 * clean_rate) / ((1 - q).sum() + 100), 1e-6, 0.5)
-        none, none_clean = (q @ mute + 1) / (q.sum() + 20), ((1 - q) @ mute + 20) / ((1 - q).sum() + 20)
-        prior = float(np.clip((q.sum() + 1) / (n + 10), 1e-3, 0.5))
-    return q, prior, alpha, beta
+    return Rates(
+        float(np.clip((mass + 1) / (mass + clean_mass + 10), 1e-3, 0.5)), np.clip((votes + 100 * seen.toxic) / (mass + 100), 1e-4, 0.99), np.clip((clean_votes + 100 * seen.clean) / (clean_mass + 100), 1e-6, 0.5),
+        ((mute + 1) / (mass + 20), (clean_mute + 20) / (clean_mass + 20)), along,
+    )
+
+
+def label_model(start: Rates, sums: Callable[[Rates, bool], np.ndarray]) -> Rates:
+    """Rates by expectation and maximisation; ``sums`` are the ``statistics`` of all texts."""
+    rates, k = start, len(start.toxic)
+    for r in range(ROUNDS if k else 0):
+        pairs = r in CORRELATED
+        new = improved(rates, sums(rates, pairs), k, pairs, start)
+        done = abs(new.prior - rates.prior) < 1e-6 and np.abs(np.log(new.toxic / rates.toxic)).max() < 1e-3
+        rates = new
+        if done and r > CORRELATED[-1]:
+            break
+    return rates
 
 
 def _inputs(fired: np.ndarray, total: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -186,40 +257,83 @@ def train_linear(x: np.ndarray, q: np.ndarray, steps: int = 300) -> tuple[np.nda
     return w[:-1], float(w[-1])
 
 
-def fit(blocks: list[Block], labels: list[int | None]) -> Model:
-    """A model from labelled texts (voters) and unlabelled ones (label None; label model, classifier)."""
-    marks = np.array([-1 if x is None else int(x == 1) for x in labels], dtype=np.int64)
-    if not (marks == 1).any():
-        none = np.zeros(0)
-        return Model(none.astype(np.uint64), none.astype(np.uint64), 0.0, none, none, np.zeros(3), -5.0)
-    # Blocks of one kind only: split at the rows where labels begin and end.
-    known, unknown, base = [], [], 0
+class Mined(NamedTuple):
+    """What the labelled sample gives: voters, their rates there, and the sample's votes."""
+
+    tokens: np.ndarray
+    keys: np.ndarray
+    voters: np.ndarray
+    start: Rates
+    fired: np.ndarray  # rows by voters, packed to bits
+    total: np.ndarray
+    words: np.ndarray
+
+
+def fit(blocks: list[Block], labels: list[int]) -> Mined:
+    """Voters from labelled texts; memory follows the votes, a bit for each text and voter."""
+    marks, base = np.array([x == 1 for x in labels], dtype=bool), 0
+    toxic: list[Block] = []
+    clean: list[Block] = []
     for block in blocks:
         own = marks[base : base + block.rows]
-        for into, wanted in ((known, own >= 0), (unknown, own < 0)):
-            for r in np.flatnonzero(wanted).tolist():
-                into.append(Block(0, 1, block.data[block.offsets[r] : block.offsets[r + 1]], np.array([0, block.offsets[r + 1] - block.offsets[r]])))
         base += block.rows
-    looked_at, voters, a, b = mine(known, marks[marks >= 0])
-    parts = [votes(block, looked_at, voters) for block in unknown + known]
-    fired, total, words = (np.concatenate(x) for x in zip(*parts, strict=True))
-    share = float(np.clip((marks == 1).sum() / max(1, (marks >= 0).sum()), 1e-3, 0.5))
-    q, prior, alpha, beta = label_model(fired, a, b, share)
-    weights, bias = train_linear(_inputs(fired, total, words), q)
-    return Model(looked_at, voters, prior, alpha, beta, weights, bias)
+        for into, wanted in ((toxic, own), (clean, ~own)):
+            if wanted.any():
+                data = block.data[np.repeat(wanted, np.diff(block.offsets))]
+                into.append(Block(0, int(wanted.sum()), data, np.concatenate([[0], np.cumsum(np.diff(block.offsets)[wanted])])))
+    if not toxic:
+        none = np.zeros(0)
+        return Mined(none.astype(np.uint64), none.astype(np.uint64), none.astype(np.int64), Rates.start(none, none, 0.01), np.zeros((0, 0), dtype=np.uint8), none, none)
+    looked_at, keys, voters, a, b = mine(toxic, clean)
+    parts = [votes(block, looked_at, keys, voters) for block in toxic + clean]
+    total, words = (np.concatenate([p[k] for p in parts]) for k in (1, 2))
+    share = float(np.clip(marks.mean(), 1e-3, 0.5))
+    return Mined(looked_at, keys, voters, Rates.start(a, b, share), np.concatenate([np.packbits(p[0], axis=1) for p in parts]), total, words)
+
 
+def patterns(docs: DataFrame, mined: Mined) -> DataFrame:
+    """``votes`` (a bit for each voter) and ``n``: how many rows vote like that; one row for each pattern in a block."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block in text_blocks(batch.column("text")):
+                bits = np.packbits(votes(block, mined.tokens, mined.keys, mined.voters)[0], axis=1)
+                each, n = np.unique(bits, axis=0, return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in each], pa.binary()), pa.array(n)], ["votes", "n"])
 
-def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS) -> Model:
-    """A model from at most ``rows`` labelled and as many unlabelled rows.
+    return docs.select(F.col("text").cast("string").alias("text")).mapInArrow(run, "votes binary, n long")
+
+
+def train(docs: DataFrame, labels: DataFrame, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> Model:
+    """A model from at most ``rows`` labelled rows (of ``size`` bytes) and the votes over all of ``docs``.
 
     Labels come only from rows whose id is not in the held-out fold.  Without
     toxic labels no voter is found, and nothing is predicted to be toxic.
     """
-    return fitted(labelled_sample(docs, labels, "toxic", fold(3) != 1, rows).unionByName(plain_sample(docs, rows)), fit)
+    mined = fitted(labelled_sample(docs, labels, "toxic", fold(3) != 1, rows, size), fit)
+    k = len(mined.start.toxic)
+    if not k:
+        return Model(mined.tokens, mined.keys, mined.voters, 0.0, mined.start.toxic, mined.start.clean, np.zeros(3), -5.0)
+    seen = staged(patterns(docs, mined), "votes")
+
+    def sums(rates: Rates, pairs: bool) -> np.ndarray:
+        def vectors(batches: Iterator[pa.RecordBatch]) -> Iterator[np.ndarray]:
+            for batch in batches:
+                bits = np.frombuffer(b"".join(batch.column("votes").to_pylist()), dtype=np.uint8).reshape(batch.num_rows, -1)
+                for i in range(0, batch.num_rows, 2048):
+                    x = np.unpackbits(bits[i : i + 2048], axis=1, count=k).astype(np.float64)
+                    yield statistics(x, batch.column("n").to_numpy(zero_copy_only=False)[i : i + 2048], rates, pairs)
+
+        return summed(seen, 2 * (2 + k + (k * k if pairs else 0)), vectors)
+
+    rates = label_model(mined.start, sums)
+    fired = np.unpackbits(mined.fired, axis=1, count=k).astype(bool)
+    weights, bias = train_linear(_inputs(fired, mined.total, mined.words), rates.posterior(fired.astype(np.float64)))
+    return Model(mined.tokens, mined.keys, mined.voters, rates.prior, rates.toxic, rates.clean, weights, bias)
 
 
 def probabilities(block: Block, model: Model) -> np.ndarray:
-    return sigmoid(_inputs(*votes(block, model.tokens, model.voters)) @ model.weights + model.bias)
+    return sigmoid(_inputs(*votes(block, model.tokens, model.keys, model.voters)) @ model.weights + model.bias)
 
 
 def scores(docs: DataFrame, model: Model) -> DataFrame:
@@ -243,7 +357,12 @@ def scores(docs: DataFrame, model: Model) -> DataFrame:
 
 
 def clean(docs: DataFrame, model: Model) -> DataFrame:
-    """``docs`` without the rows that are predicted to be toxic; the others stay as they are."""
+    """``docs`` without the rows that are predicted to be toxic; the others stay as they are.
+
+    A null text counts as empty, so it stays; rows that repeat stay or go
+    together.  All columns are carried along, whatever their names; an empty
+    table stays empty.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

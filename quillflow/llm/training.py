@@ -1,19 +1,24 @@
-"""Bounded samples of rows, and models fitted to them in one task."""
+"""Bounded samples of labelled rows, models fitted to them in one task, and sums over all rows."""
 
 from __future__ import annotations
 
 import pickle
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import Block, text_blocks
 from .tables import staged
 
-#: A longer text among the rows that a model is fitted to would unbalance nothing but the memory of that task.
+#: Labelled rows that a model is fitted to: so many at most, of so many bytes in all.
 SAMPLE_ROWS = 4000
+SAMPLE_BYTES = 16 << 20
+#: Vectors that come to the driver from one sum over all rows.
+FAN = 4
 
 
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
@@ -21,37 +26,65 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(modulus))
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int) -> DataFrame:
-    """``text``, ``label`` of at most ``rows`` labelled rows: those whose id has the least hash.
+def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, allowed: Column, rows: int = SAMPLE_ROWS, size: int = SAMPLE_BYTES) -> DataFrame:
+    """``doc_id``, ``text``, ``label`` of labelled rows: those whose id has the least hash, at most ``rows`` of them and ``size`` bytes.
 
-    The sample's bound is what makes the broadcast safe.
+    Whole texts only; one of more than an eighth of ``size`` is not taken into
+    the sample.  Rows with equal id, text and label count once.  The tables are
+    read in parallel and the bounds are applied after the join, so an id that
+    many rows have takes no more than its share.
     """
-    wanted = labels.filter(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull())
-    least = wanted.select("doc_id", F.col(label).cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows)
-    chosen = staged(least, "sample")
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "label")
-
-
-def plain_sample(docs: DataFrame, rows: int) -> DataFrame:
-    """``text``, null ``label`` of at most ``rows`` rows: those with the least hash of id and text."""
-    ids = docs.select("doc_id").orderBy(F.xxhash64("doc_id", F.lit("plain")), "doc_id").limit(rows)
-    chosen = staged(ids.filter("doc_id is not null").distinct(), "sample")
-    return docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.lit(None).cast("int").alias("label"))
-
-
-def fitted(sample: DataFrame, fit: Callable[[list[tuple[list[Block], object]]], object]):
-    """What ``fit`` makes of the sample, in a single task that sees it in a fixed order.
-
-    ``fit`` gets the texts as blocks, and the labels (None: unlabelled).  Only
-    the model goes to the driver.
+    wanted = labels.filter(allowed & F.col(label).isNotNull() & F.col("doc_id").isNotNull()).select("doc_id", F.col(label).cast("int").alias("label")).distinct()
+    ids = staged(wanted.orderBy(F.xxhash64("doc_id"), "doc_id", "label").limit(rows), "sample-ids")
+    key = ["doc_id", "label", "key", "bytes"]
+    own = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    texts = own.join(F.broadcast(ids), "doc_id").withColumns({"key": F.xxhash64("text"), "bytes": F.octet_length("text")}).filter(F.col("bytes") <= size // 8)
+    found = staged(texts.dropDuplicates(key), "sample-texts")
+    order = [F.xxhash64("doc_id"), "doc_id", "label", "key"]
+    least = found.select(*key).orderBy(*order).limit(rows)
+    # A window over at most ``rows`` rows.
+    within = least.withColumn("upto", F.sum("bytes").over(Window.orderBy(*order))).filter(F.col("upto") <= size).drop("upto")
+    return staged(found.join(F.broadcast(staged(within, "sample-keys")), key).select("doc_id", "text", "label"), "sample")
+
+
+def fitted(sample: DataFrame, fit: Callable[[list[Block], list[int | None]], object]):
+    """What ``fit`` makes of a staged, bounded sample, in a single task that sees it in a fixed order.
+
+    ``fit`` gets the texts as blocks, and the labels.  Only the model goes to
+    the driver.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(list(batches)).combine_chunks() if (batches := list(batches)) else None
-        blocks = list(text_blocks(table.column("text"))) if table is not None else []
-        labels = table.column("label").to_pylist() if table is not None else []
+        blocks: list[Block] = []
+        labels: list[int | None] = []
+        for batch in batches:
+            blocks += text_blocks(batch.column("text"))
+            labels += batch.column("label").to_pylist()
         yield pa.RecordBatch.from_pydict({"model": pa.array([pickle.dumps(fit(blocks, labels))], pa.binary())})
 
     one = sample.select("doc_id", "text", "label").coalesce(1).sortWithinPartitions("doc_id", "label", F.xxhash64("text"))
     found = staged(one.mapInArrow(run, "model binary"), "model").collect()
     return pickle.loads(found[0][0]) if found else fit([], [])
+
+
+def summed(df: DataFrame, size: int, vectors: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
+    """Sum of the vectors (``size`` doubles) that ``vectors`` makes of the batches of each partition.
+
+    A partition adds up its own; those sums meet in ``FAN`` tasks, and the
+    driver adds as many vectors, whatever the number of partitions.
+    """
+
+    def total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+        out = np.zeros(size)
+        for x in arrays:
+            out += x
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN], pa.int32()), pa.array([out.tobytes()])], ["part", "sums"])
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total(vectors(batches))
+
+    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return total(np.frombuffer(x.as_py()) for batch in batches for x in batch.column("sums"))
+
+    parts = df.mapInArrow(first, "part int, sums binary").repartition(FAN, "part").mapInArrow(second, "part int, sums binary")
+    return np.sum([np.frombuffer(r.sums) for r in parts.collect()] or [np.zeros(size)], axis=0)
