@@ -23,11 +23,12 @@ says nothing and isn't dealt back.
 *Network.*  The classes of the four neighbours are embedded, one table for each
 place, added, and passed through tanh; a softmax gives the class in the middle.
 q is the class's probability times the word's share of the class in the
-counts.  The network is trained in numpy in two steps: a start from a bounded
-sample in one task, then one pass over *all* words, each partition from that
-start, whose weights are averaged by the words that made them.  So everything
-that is learnt from the corpus covers all of it, and only sums of fixed size
-come to the driver.
+counts.  The network is trained in numpy by passes over *all* words: in each,
+every partition trains from the same weights, and the outcomes are averaged by
+the words that made them (``PASSES``, with falling rates).  So everything that is
+learnt from the corpus covers all of it, and only sums of fixed size come to the
+driver.  As each partition trains by itself, weights, and with them scores,
+depend a little on how the rows are dealt to partitions.
 """
 
 from __future__ import annotations
@@ -43,7 +44,7 @@ from pyspark.sql import functions as F
 
 from .blocks import BLANKS, LOWER, Block, byte_hash, mix, row_of, text_blocks
 from .tables import dropped, staged
-from .training import fitted, plain_sample
+from .training import summed as summed_vectors
 
 CLASSES = 128
 SINGLE = 64
@@ -53,12 +54,17 @@ OFFSETS = (-2, -1, 1, 2)
 PRIOR = 20.0
 #: For words that no text of the corpus has.
 LETTER_COST = 3.3
-START_ROWS = 1000
-BATCH = 8192
+#: Learning rate of each pass over all words.
+PASSES = (0.1, 0.03)
+BATCH = 4096
+#: Rows of a matrix product at a time: small enough for one thread, as the other cores have tasks of their own.
+STRIP = 64
 PACKED_BYTES = 2 << 20
 #: Shards of keys: so many at least, and none of many more entries than this.
 LEAST_SHARDS = 64
 SHARD_ENTRIES = 1 << 19
+#: Bits of a pair's key beside those that name its shard: of a shard's entries, one in two million meets another.
+PAIR_BITS = 40
 _SLOTS = 1 << 17
 _END = np.uint64(0x5EED0FE2D0F7E875)
 
@@ -155,12 +161,21 @@ def shard_bits(blocks: DataFrame) -> int:
     return max(LEAST_SHARDS, positions // SHARD_ENTRIES).bit_length()
 
 
-def sharded(block: int, keys: np.ndarray, n: np.ndarray, bits: int) -> pa.RecordBatch:
-    """A block's sorted different keys and their counts, a row for each shard."""
+def sharded(block: int, keys: np.ndarray, n: np.ndarray, bits: int, width: int = 64) -> pa.RecordBatch:
+    """A block's sorted different keys, of which the upper ``width`` bits count, and their numbers, a row for each shard.
+
+    Keys are written as differences, compressed.
+    """
     cuts = np.searchsorted(keys, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)).tolist() + [len(keys)]
     own = [(k, lo, hi) for k, (lo, hi) in enumerate(zip(cuts, cuts[1:], strict=False)) if hi > lo]
-    columns = [[k for k, _, _ in own], [block] * len(own), [keys[lo:hi].tobytes() for _, lo, hi in own], [n[lo:hi].astype(np.int32).tobytes() for _, lo, hi in own]]
-    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, (pa.int32(), pa.int64(), pa.binary(), pa.binary()), strict=True)], ["shard", "block", "keys", "n"])
+    short = keys >> np.uint64(64 - width)
+    steps = [_squeezed(np.diff(short[lo:hi], prepend=np.uint64(0)), np.uint64) for _, lo, hi in own]
+    columns = [[k for k, _, _ in own], [block] * len(own), [hi - lo for _, lo, hi in own], steps, [_squeezed(n[lo:hi], np.int32) for _, lo, hi in own]]
+    kinds = (pa.int32(), pa.int64(), pa.int32(), pa.binary(), pa.binary())
+    return pa.RecordBatch.from_arrays([pa.array(x, kind) for x, kind in zip(columns, kinds, strict=True)], ["shard", "block", "size", "keys", "n"])
+
+
+ENTRIES = "shard int, block long, size int, keys binary, n binary"
 
 
 def word_entries(blocks: DataFrame, bits: int) -> DataFrame:
@@ -172,7 +187,7 @@ def word_entries(blocks: DataFrame, bits: int) -> DataFrame:
                 keys = np.frombuffer(words, dtype=np.uint64)
                 yield sharded(number, keys, _released(n, np.int32, len(keys)), bits)
 
-    return blocks.select("block", "words", "n").mapInArrow(run, "shard int, block long, keys binary, n binary")
+    return blocks.select("block", "words", "n").mapInArrow(run, ENTRIES)
 
 
 class Pairs:
@@ -180,10 +195,11 @@ class Pairs:
 
     ``keys`` are the different pairs, sorted, without those that can't stand
     twice as one of their words stands once; ``left[i]`` and ``right[i]`` are
-    places in it of word i with its neighbours (its length: not in it).
+    places in it of word i with its neighbours (its length: not in it).  Keys
+    have ``PAIR_BITS`` beside the ``bits`` of the shard.
     """
 
-    def __init__(self, own: Packed, times: np.ndarray):
+    def __init__(self, own: Packed, times: np.ndarray, bits: int):
         end = len(own.words)
         self.words = np.full(len(own.at) + len(own.first), end, dtype=np.int64)
         self.place = np.arange(len(own.at)) + row_of(own.first) + 1
@@ -192,6 +208,7 @@ class Pairs:
         a, b = self.words[:-1], self.words[1:]
         may = np.flatnonzero(~(once[a] | once[b] | ((a == end) & (b == end))))
         keys = mix(hashes[a[may]] * np.uint64(0x9E3779B97F4A7C15) + mix(hashes)[b[may]])
+        keys &= ~np.uint64((1 << max(0, 64 - bits - PAIR_BITS)) - 1)
         self.keys, inverse, self.n = np.unique(keys, return_inverse=True, return_counts=True)
         which = np.full(len(a), len(self.keys), dtype=np.int64)
         which[may] = inverse
@@ -205,10 +222,10 @@ def pair_entries(texts: DataFrame, bits: int) -> DataFrame:
         for batch in batches:
             for r in range(batch.num_rows):
                 own = Packed(batch, r)
-                pairs = Pairs(own, _released(batch.column("word_total")[r].as_py(), np.int64, len(own.words)))
-                yield sharded(batch.column("block")[r].as_py(), pairs.keys, pairs.n, bits)
+                pairs = Pairs(own, _released(batch.column("word_total")[r].as_py(), np.int64, len(own.words)), bits)
+                yield sharded(batch.column("block")[r].as_py(), pairs.keys, pairs.n, bits, min(64, bits + PAIR_BITS))
 
-    return texts.select("block", *Packed.COLUMNS, "word_total").mapInArrow(run, "shard int, block long, keys binary, n binary")
+    return texts.select("block", *Packed.COLUMNS, "word_total").mapInArrow(run, ENTRIES)
 
 
 def mixed(own: Packed, times: np.ndarray, pairs: Pairs, pair_times: np.ndarray, ends: int, network: np.ndarray) -> np.ndarray:
@@ -240,11 +257,11 @@ def summed(entries: DataFrame, bits: int, keep: bool = True) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard, rows in _runs(batches, "shard", "block", "keys", "n"):
-            keys = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint64)
+        for shard, rows in _runs(batches, "shard", "block", "size", "keys", "n"):
+            keys = np.concatenate([np.cumsum(_released(r[2], np.uint64, r[1])) for r in rows])
             own, inverse = np.unique(keys, return_inverse=True)
-            total = np.bincount(inverse, weights=np.frombuffer(b"".join(r[2] for r in rows), dtype=np.int32)).astype(np.int64)
-            cuts = np.cumsum([0] + [len(r[1]) // 8 for r in rows])
+            total = np.bincount(inverse, weights=np.concatenate([_released(r[3], np.int32, r[1]) for r in rows])).astype(np.int64)
+            cuts = np.cumsum([0] + [r[1] for r in rows])
             each = [_squeezed(total[inverse[lo:hi]], np.int64) for lo, hi in zip(cuts, cuts[1:], strict=False)]
             columns = [[r[0] for r in rows] + [None], [shard] * (len(rows) + 1), np.append(np.diff(cuts), len(own)), each + [_squeezed(total, np.int64)], [None] * len(rows) + [own.tobytes()]]
             kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
@@ -331,6 +348,22 @@ class Lexicon:
         return classes, inside
 
 
+def _product(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a @ b``, some rows at a time."""
+    out = np.empty((len(a), b.shape[1]), dtype=a.dtype)
+    whole = len(a) // STRIP * STRIP
+    np.matmul(a[:whole].reshape(-1, STRIP, a.shape[1]), b, out=out[:whole].reshape(-1, STRIP, b.shape[1]))
+    np.matmul(a[whole:], b, out=out[whole:])
+    return out
+
+
+def _crossed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """``a.T @ b``, some rows at a time."""
+    whole = len(a) // STRIP * STRIP
+    parts = np.matmul(a[:whole].reshape(-1, STRIP, a.shape[1]).transpose(0, 2, 1), b[:whole].reshape(-1, STRIP, b.shape[1]))
+    return parts.sum(axis=0) + a[whole:].T @ b[whole:]
+
+
 class Network:
     """Tables for the neighbours' classes, hidden bias, output weights and bias, in one vector."""
 
@@ -358,7 +391,7 @@ class Network:
         return np.tanh(total, out=total)
 
     def log_probabilities(self, around: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        logits = self.hidden(around) @ self.output
+        logits = _product(self.hidden(around), self.output)
         logits += self.out_bias
         logits -= logits.max(axis=1, keepdims=True)
         own = logits[np.arange(len(middle)), middle]
@@ -368,14 +401,14 @@ class Network:
         """One AdaGrad step on a batch of positions."""
         n = len(middle)
         h = self.hidden(around)
-        logits = h @ self.output
+        logits = _product(h, self.output)
         logits += self.out_bias
         logits -= logits.max(axis=1, keepdims=True)
         p = np.exp(logits, out=logits)
         p /= p.sum(axis=1, keepdims=True)
         p[np.arange(n), middle] -= 1
         p /= n
-        back = (p @ self.output.T) * (1 - h * h)
+        back = _product(p, np.ascontiguousarray(self.output.T)) * (1 - h * h)
         gradient = np.empty_like(self.vector)
         tables, bias, output, out_bias = np.split(gradient, np.cumsum([self.tables.size, HIDDEN, self.output.size]))
         tables = tables.reshape(self.tables.shape)
@@ -385,7 +418,7 @@ class Network:
             begin = np.flatnonzero(np.diff(own[order], prepend=np.uint8(CLASSES + 1)))
             tables[k] = 0
             tables[k][own[order[begin]]] = np.add.reduceat(back[order], begin)
-        bias[:], output[:], out_bias[:] = back.sum(axis=0), (h.T @ p).ravel(), p.sum(axis=0)
+        bias[:], output[:], out_bias[:] = back.sum(axis=0), _crossed(h, p).ravel(), p.sum(axis=0)
         self.squares += gradient * gradient
         self.vector -= rate * gradient / np.sqrt(self.squares)
 
@@ -403,13 +436,6 @@ def neighbours(classes: np.ndarray, first: np.ndarray) -> np.ndarray:
     return out
 
 
-def _positions(blocks: Iterator[Block], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for block in blocks:
-        keys, letters, first = _words(block)
-        classes, _ = lexicon(keys, letters)
-        yield neighbours(classes, first), classes
-
-
 def _packed_positions(batches: Iterator[pa.RecordBatch], lexicon: Lexicon) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     for batch in batches:
         for r in range(batch.num_rows):
@@ -429,28 +455,19 @@ def _pass(net: Network, positions: Iterator[tuple[np.ndarray, np.ndarray]], rate
     return n
 
 
-def train(docs: DataFrame, blocks: DataFrame, counts: Counts) -> np.ndarray:
-    """Weights of the network: a start from at most ``START_ROWS`` texts, then the mean of one pass over all."""
+def train(blocks: DataFrame, counts: Counts) -> np.ndarray:
+    """Weights of the network: after each pass over all words, the mean of the partitions' weights by their words."""
+    weights = Network.start(counts.totals).vector
+    for rate in PASSES:
 
-    def begin(sample: list[Block], labels: list) -> np.ndarray:
-        net, lexicon = Network.start(counts.totals), Lexicon(counts)
-        for rate in (0.1, 0.05):
-            _pass(net, _positions(iter(sample), lexicon), rate)
-        return net.vector
+        def vectors(batches: Iterator[pa.RecordBatch], start: np.ndarray = weights, rate: float = rate) -> Iterator[np.ndarray]:
+            net, lexicon = Network(start), Lexicon(counts)
+            n = _pass(net, _packed_positions(batches, lexicon), rate)
+            yield np.append(net.vector.astype(np.float64) * n, n)
 
-    start = fitted(plain_sample(docs, START_ROWS), begin)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        net, lexicon = Network(start), Lexicon(counts)
-        n = _pass(net, _packed_positions(batches, lexicon), 0.02)
-        if n:
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(Network.SIZE, dtype=np.int32)), pa.array(net.vector.astype(np.float64) * n), pa.array(np.full(Network.SIZE, n))], ["place", "weighted", "n"])
-
-    sums = blocks.select(*Packed.COLUMNS).mapInArrow(run, "place int, weighted double, n long").groupBy("place").agg((F.sum("weighted") / F.sum("n")).alias("weight"))
-    out = np.array(start, dtype=np.float32)
-    for place, weight in sums.collect():
-        out[place] = weight
-    return out
+        total = summed_vectors(blocks.select(*Packed.COLUMNS), Network.SIZE + 1, vectors)
+        weights = (total[:-1] / total[-1]).astype(np.float32) if total[-1] else weights
+    return weights
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -458,7 +475,8 @@ def scores(docs: DataFrame) -> DataFrame:
 
     A null or empty text has no words, ``log_prob`` 0 and a null perplexity.
     Rows that repeat score alike; an empty table stays empty.  Only ``doc_id``
-    and ``text`` are read.
+    and ``text`` are read.  Another partitioning of the rows gives slightly other
+    scores, as each partition trains by itself.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     blocks = staged(packed(own), "blocks")
@@ -471,7 +489,7 @@ def scores(docs: DataFrame) -> DataFrame:
     texts = staged(blocks.join(totals(sums, "word_total"), "block", "left").select("block", "ends", *Packed.COLUMNS, "word_total"), "texts")
     dropped(blocks, sums, words)
     ends = texts.agg(F.sum("ends")).collect()[0][0] or 0
-    weights = train(own, texts, counts)
+    weights = train(texts, counts)
     pair_sums = staged(summed(pair_entries(texts, bits), bits, keep=False), "pair-sums")
     dropped()
 
@@ -481,7 +499,7 @@ def scores(docs: DataFrame) -> DataFrame:
             for r in range(batch.num_rows):
                 own = Packed(batch, r)
                 times = _released(batch.column("word_total")[r].as_py(), np.int64, len(own.words))
-                pairs = Pairs(own, times)
+                pairs = Pairs(own, times, bits)
                 pair_times = _released(batch.column("pair_total")[r].as_py(), np.int64, len(pairs.keys))
                 kinds = lexicon.classes(own.words)
                 middle, inside = kinds[own.at], (np.log(times) - np.log(counts.totals[kinds]))[own.at]

@@ -113,7 +113,7 @@ def test_words_probabilities_add_up(spark):
     batch = M.packed(docs).toArrow().to_batches()[0]
     own = M.Packed(batch, 0)
     times = np.bincount(own.at)
-    pairs = M.Pairs(own, np.full(3, 2))  # as if no word stood once, so that every pair is there
+    pairs = M.Pairs(own, np.full(3, 2), 6)  # as if no word stood once, so that every pair is there
     flat = [["^", *t.split(), "^"] for t in texts if t]
     count = lambda a, b: sum(x == a and y == b for t in flat for x, y in zip(t, t[1:], strict=False))
     got = np.exp(M.mixed(own, times, pairs, pairs.n, 3, np.log(np.full(len(own.at), 1 / 3))))
