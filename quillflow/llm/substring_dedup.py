@@ -12,13 +12,20 @@ not for each window: ``anchor`` (hash of its words), ``span`` (hash of all words
 that the windows which chose it cover, and of where the anchor lies in them),
 ``n`` copies, and one place where it stands.
 
-*Runs.*  The index is a set of immutable runs (``Index``), Parquet tables that
-are dealt by anchor and sorted by it.  ``add`` turns a batch into a run and
-``compact`` merges runs of a like size, so there are few.  ``repeated`` merges
-the runs by anchor, new batch and history alike, and finds the anchors that
-stand more than once; the entries of all batches are then joined with the
-outcome (sort-merge joins), so a document of an earlier batch loses what a later
-one repeats.
+*Runs.*  The index is a set of immutable runs (``Index``): Parquet tables that
+are bucketed by anchor and sorted by anchor and span, one row for each span.  A
+manifest lists them, so an index can be opened again.  ``add`` takes a batch:
+
+1. the batch becomes a run of its own;
+2. its anchors are merge-joined with every run of the history, whose rows stay
+   where they are, and rows with an anchor that stands more than once, in the
+   batch or there, are the candidates;
+3. candidates are verified, which gives the spans, of the batch and of the
+   history, that now have repeated windows (``marks``);
+4. runs of a like size are compacted into one, so there are few.
+
+The entries of all documents are then joined with the marks, so a document of an
+earlier batch loses what a later one repeats.
 
 *Verification.*  A span with two copies or more has only repeated windows.  An
 anchor with two different spans may have some: their windows are hashed one by
@@ -26,16 +33,20 @@ one from the texts, from one place for each span, and the hashes counted, with
 a second, independent hash at their side (128 bits in all).  A bit mask over the
 windows of a span then says which ones repeat.
 
-The hash of a window never stands for a shortened text, hot anchors (a passage
-in a third of all documents) are counted before the shuffle, and no group of
-equal keys is gathered in one place.
+The hash of a window never stands for a shortened text.  Copies of a span (a
+passage in a third of all documents) are counted before the shuffle; an anchor
+with many different spans (a phrase in many contexts) is salted over several
+buckets of a run; no group of equal keys is gathered in one place.
 """
 
 from __future__ import annotations
 
 import hashlib
+import json
 import uuid
 from collections.abc import Iterator
+from functools import reduce
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -43,16 +54,22 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .blocks import BLANKS, Block, Sequence, byte_hash, mix, ragged, row_of, text_blocks
-from .tables import carried, shared_dir, shuffle_width, staged
+from .tables import carried, dropped, shared_dir, shuffle_width, staged
 
 WINDOW = 35
 ANCHOR = 12
-BATCHES = 2
-FAN_IN = 4
+BATCHES = 3
+FAN_IN = 2
+#: Rows of a bucket of a run, about; rows from which on an anchor is salted over several.
+BUCKET_ROWS = 1 << 20
+HOT_ROWS = 50_000
+#: Hot anchors that are broadcast; more are joined.
+BROADCAST_HOT = 100_000
 
 KEY = ["key_id", "key_text"]
 ENTRY = "key_id long, key_text long, anchor long, span long, lo int, n int"
-RUN = "anchor long, span long, copies long, key_id long, key_text long, lo int, n int"
+RUN = "anchor long, salt int, span long, copies long, key_id long, key_text long, lo int, n int"
+MARKS = "anchor long, span long, mask long"
 
 
 # ------------------------------------------------------------------- windows
@@ -121,70 +138,165 @@ def entries(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR) -> Data
 # --------------------------------------------------------------------- index
 
 
+class Run(NamedTuple):
+    """A run of level k holds ``FAN_IN ** k`` batches.  ``hot`` is a table of anchors and over how many salts each one's spans are dealt."""
+
+    level: int
+    path: str
+    buckets: int
+    hot: str
+    hot_anchors: int
+
+
 class Index:
-    """Immutable sorted runs of entries in the shared folder."""
+    """Immutable sorted runs in the shared folder; an existing ``path`` is opened as its manifest says."""
 
     def __init__(self, spark: SparkSession, path: str | None = None):
         self.spark, self.path = spark, path or f"{shared_dir(spark)}/fingerprints-{uuid.uuid4().hex}"
-        self.runs: list[tuple[int, str]] = []  # level and path: a run of level k holds FAN_IN ** k batches
-
-    def _write(self, rows: DataFrame, level: int) -> None:
-        path = f"{self.path}/level-{level}-{uuid.uuid4().hex}"
-        merged = rows.groupBy("anchor", "span").agg(F.sum("copies").alias("copies"), F.min(F.struct(*KEY, "lo")).alias("at"), F.first("n").alias("n"))
-        dealt = merged.repartition(shuffle_width(self.spark), "anchor").sortWithinPartitions("anchor", "span")
-        dealt.select("anchor", "span", "copies", "at.key_id", "at.key_text", "at.lo", "n").write.parquet(path)
-        self.runs.append((level, path))
-
-    def add(self, batch: DataFrame) -> None:
-        """Write the entries of a batch as a run of its own, then compact."""
-        self._write(batch.withColumn("copies", F.lit(1).cast("long")), 0)
+        self.version, self.runs, self.marked = 0, [], []
+        self._tables: dict[str, str] = {}
+        found = self._manifests()
+        if found:
+            self.version = found[-1]
+            read = json.loads(spark.read.text(self._manifest(self.version), wholetext=True).first()[0])
+            self.runs, self.marked = [Run(*r) for r in read["runs"]], read["marks"]
+
+    # The manifest: one small file for each version, complete before it has its name.
+
+    def _hadoop(self, path: str):
+        target = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return target, target.getFileSystem(self.spark._jsparkSession.sessionState().newHadoopConf())
+
+    def _manifest(self, version: int) -> str:
+        return f"{self.path}/manifest-{version:08d}"
+
+    def _manifests(self) -> list[int]:
+        target, fs = self._hadoop(f"{self.path}/manifest-*")
+        names = [x.getPath().getName() for x in (fs.globStatus(target) or [])]
+        return sorted(int(x.removeprefix("manifest-")) for x in names)
+
+    def _commit(self) -> None:
+        self.version += 1
+        draft, fs = self._hadoop(f"{self.path}/.draft-{uuid.uuid4().hex}")
+        out = fs.create(draft, False)
+        out.write(bytearray(json.dumps({"runs": self.runs, "marks": self.marked}).encode()))
+        out.close()
+        target, _ = self._hadoop(self._manifest(self.version))
+        if fs.exists(target) or not fs.rename(draft, target):
+            raise RuntimeError(f"{self.path} was changed by another writer")
+
+    def _deleted(self, *paths: str) -> None:
+        for path in paths:
+            if path in self._tables:
+                self.spark.sql(f"DROP TABLE IF EXISTS {self._tables.pop(path)}")
+            target, fs = self._hadoop(path)
+            fs.delete(target, True)
+
+    # Runs.
+
+    def _write(self, rows: DataFrame, level: int) -> Run:
+        path, name = f"{self.path}/level-{level}-{uuid.uuid4().hex}", f"fingerprints_{uuid.uuid4().hex}"
+        hot = rows.groupBy("anchor").count().filter(F.col("count") > HOT_ROWS).select("anchor", F.ceil(F.col("count") / HOT_ROWS).cast("int").alias("salts"))
+        hot.write.parquet(f"{path}-hot")
+        run = Run(level, path, max(shuffle_width(self.spark), -(-rows.count() // BUCKET_ROWS)), f"{path}-hot", self._hot(f"{path}-hot").count())
+        merged = _merged(rows)
+        if run.hot_anchors:
+            merged = merged.join(self._salts(run), "anchor", "left").withColumn("salt", F.pmod("span", F.coalesce("salts", F.lit(1))).cast("int"))
+        else:
+            merged = merged.withColumn("salt", F.lit(0))
+        dealt = merged.select(*(x.split()[0] for x in RUN.split(", "))).repartition(run.buckets, "anchor", "salt")
+        dealt.write.format("parquet").bucketBy(run.buckets, "anchor", "salt").sortBy("anchor", "salt", "span").option("path", path).saveAsTable(name)
+        self._tables[path] = name
+        return run
+
+    def _hot(self, path: str) -> DataFrame:
+        return self.spark.read.schema("anchor long, salts int").parquet(path)
+
+    def _salts(self, run: Run) -> DataFrame:
+        hot = self._hot(run.hot)
+        return F.broadcast(hot) if run.hot_anchors <= BROADCAST_HOT else hot
+
+    def read(self, run: Run) -> DataFrame:
+        """A run as a bucketed table."""
+        if run.path not in self._tables:
+            name = f"fingerprints_{uuid.uuid4().hex}"
+            columns = RUN.replace(" long", " BIGINT").replace(" int", " INT")
+            self.spark.sql(f"CREATE TABLE {name} ({columns}) USING parquet CLUSTERED BY (anchor, salt) SORTED BY (anchor, salt, span) INTO {run.buckets} BUCKETS LOCATION '{run.path}'")
+            self._tables[run.path] = name
+        return self.spark.table(self._tables[run.path])
+
+    def having(self, run: Run, anchors: DataFrame) -> DataFrame:
+        """Rows of a run whose anchor is among ``anchors`` (distinct): a merge join that leaves the run where it is."""
+        if run.hot_anchors:
+            salts = F.explode(F.sequence(F.lit(0), F.coalesce("salts", F.lit(1)) - 1))
+            wanted = anchors.join(self._salts(run), "anchor", "left").select("anchor", salts.alias("salt"))
+        else:
+            wanted = anchors.select("anchor", F.lit(0).alias("salt"))
+        return self.read(run).join(wanted, ["anchor", "salt"], "left_semi").drop("salt")
+
+    def add(self, batch: DataFrame, texts: DataFrame, window: int = WINDOW) -> DataFrame:
+        """Index the entries of a batch; the marks that it brings.
+
+        ``texts`` (the rows' keys and ``text``) has every text of the index, the
+        batch's included; only those with candidates are looked at.
+        """
+        run = self._write(batch.withColumn("copies", F.lit(1).cast("long")), 0)
+        own = self.read(run).groupBy("anchor").agg(F.sum("copies").alias("copies"))
+        none = self.spark.createDataFrame([], RUN).drop("salt")
+        history = staged(reduce(DataFrame.unionByName, [self.having(r, own.select("anchor")) for r in self.runs], none), "history-matches")
+        twice = own.filter("copies > 1").select("anchor").unionByName(history.select("anchor")).distinct()
+        candidates = staged(_merged(self.having(run, staged(twice, "repeated-anchors")).unionByName(history)), "candidates")
+        marks = f"{self.path}/marks-{uuid.uuid4().hex}"
+        verified(candidates, texts, window).write.parquet(marks)
+        self.runs, self.marked = [*self.runs, run], [*self.marked, marks]
+        self._commit()
+        dropped(history, candidates)
         self.compact()
+        return self.spark.read.schema(MARKS).parquet(marks)
 
-    def compact(self, all_runs: bool = False) -> None:
-        """Merge ``FAN_IN`` runs of one level, or all runs, into one of the next."""
+    def compact(self) -> None:
+        """Merge ``FAN_IN`` runs of one level into one of the next, for as long as there are so many."""
         while True:
-            levels = [k for k, _ in self.runs]
-            full = max(levels, default=0) if all_runs and len(levels) > 1 else next((k for k in sorted(set(levels)) if levels.count(k) >= FAN_IN), None)
+            levels = [r.level for r in self.runs]
+            full = next((k for k in sorted(set(levels)) if levels.count(k) >= FAN_IN), None)
             if full is None:
                 return
-            merged = [r for r in self.runs if all_runs or r[0] == full]
-            rows = self._read([p for _, p in merged])
-            self._write(rows, full + 1)
-            self.runs = [r for r in self.runs if r not in merged]
-
-    def _read(self, paths: list[str]) -> DataFrame:
-        return self.spark.read.schema(RUN).parquet(*paths) if paths else self.spark.createDataFrame([], RUN)
-
-    def rows(self) -> DataFrame:
-        """All entries, one for each anchor and span."""
-        own = self._read([p for _, p in self.runs])
-        if len(self.runs) < 2:
-            return own
-        merged = own.groupBy("anchor", "span").agg(F.sum("copies").alias("copies"), F.min(F.struct(*KEY, "lo")).alias("at"), F.first("n").alias("n"))
-        return merged.select("anchor", "span", "copies", "at.key_id", "at.key_text", "at.lo", "n")
-
-    def repeated(self, docs: DataFrame, window: int) -> DataFrame:
-        """``anchor``, ``span``, ``mask``: the windows of each span that stand anywhere else.
-
-        ``docs`` has the texts that the index was made from.
-        """
-        rows = self.rows()
-        known = rows.groupBy("anchor").agg(F.count("*").alias("spans"), F.sum("copies").alias("all_copies")).filter("all_copies > 1")
-        known = staged(known, "repeated-anchors")
-        found = staged(rows.join(known, "anchor"), "repeated-spans")
-        whole = found.filter("copies > 1").select("anchor", "span", F.lit((1 << 63) - 1).cast("long").alias("mask"))
-        unsure = found.filter("spans > 1")
-        single = hashed_windows(unsure, docs, window)
-        counts = single.groupBy("h1", "h2").agg(F.sum("copies").alias("times")).filter("times > 1").select("h1", "h2")
-        hits = single.filter("copies = 1").join(staged(counts, "repeated-windows"), ["h1", "h2"], "left_semi")
-        part = hits.groupBy("anchor", "span").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask"))
-        return staged(whole.unionByName(part), "repeated")
+            old = [r for r in self.runs if r.level == full]
+            new = self._write(reduce(DataFrame.unionByName, [self.read(r).drop("salt") for r in old]), full + 1)
+            self.runs = [r for r in self.runs if r.level != full] + [new]
+            self._commit()
+            self._deleted(*(p for r in old for p in (r.path, r.hot)))
+
+    def marks(self) -> DataFrame:
+        """``anchor``, ``span``, ``mask``: the windows of each span that stand anywhere else, of all batches."""
+        every = self.spark.read.schema(MARKS).parquet(*self.marked) if self.marked else self.spark.createDataFrame([], MARKS)
+        return every.groupBy("anchor", "span").agg(F.bit_or("mask").alias("mask"))
+
+    def drop(self) -> None:
+        self._deleted(*(p for r in self.runs for p in (r.path, r.hot)), self.path)
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    """One row for each anchor and span: copies added up, one place kept."""
+    merged = rows.groupBy("anchor", "span").agg(F.sum("copies").alias("copies"), F.min(F.struct(*KEY, "lo")).alias("at"), F.first("n").alias("n"))
+    return merged.select("anchor", "span", "copies", "at.key_id", "at.key_text", "at.lo", "n")
+
+
+def verified(candidates: DataFrame, texts: DataFrame, window: int) -> DataFrame:
+    """Marks of the candidates: spans whose windows, or some of them, stand more than once."""
+    known = candidates.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1")
+    whole = candidates.filter("copies > 1").select("anchor", "span", F.lit((1 << 63) - 1).cast("long").alias("mask"))
+    single = hashed_windows(candidates.join(known, "anchor", "left_semi"), texts, window)
+    counts = single.groupBy("h1", "h2").agg(F.sum("copies").alias("times")).filter("times > 1").select("h1", "h2")
+    hits = single.filter("copies = 1").join(counts, ["h1", "h2"], "left_semi")
+    return whole.unionByName(hits.groupBy("anchor", "span").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")))
 
 
 def hashed_windows(spans: DataFrame, docs: DataFrame, window: int) -> DataFrame:
     """One row for each window of ``spans``: two hashes of its words, its span, and ``i``, its place there."""
     wanted = spans.groupBy(*KEY).agg(F.collect_list(F.struct("lo", "n", "anchor", "span", "copies")).alias("spans"))
-    joined = docs.dropDuplicates(KEY).join(wanted, KEY).select("text", "spans")
+    # One row for each key, once those without candidates are gone.
+    joined = docs.join(wanted, KEY).groupBy(*KEY).agg(F.first("text").alias("text"), F.first("spans").alias("spans")).select("text", "spans")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -216,10 +328,11 @@ def marked(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches:
     keyed = carried(docs)
     texts = keyed.select(*KEY, F.coalesce("text", F.lit("")).alias("text"))
     found = staged(entries(texts, window, anchor), "entries")
-    index = Index(spark)
+    index, part = Index(spark), F.pmod("key_text", F.lit(batches))
     for b in range(batches):
-        index.add(found.filter(F.pmod("key_text", F.lit(batches)) == b))
-    masks = index.repeated(texts, window)
+        index.add(found.filter(part == b), texts.filter(part <= b), window)
+    masks = staged(index.marks(), "repeated")
+    index.drop()
     hits = found.join(masks, ["anchor", "span"]).select(*KEY, "lo", "mask", "n")
     own = hits.groupBy(*KEY).agg(F.collect_set(F.struct("lo", "n", "mask")).alias("spans"))
     return keyed.join(own, KEY, "left")
@@ -258,7 +371,12 @@ def _texts(batches: Iterator[pa.RecordBatch], window: int) -> Iterator[tuple[pa.
 
 
 def digests(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, batches: int = BATCHES) -> DataFrame:
-    """``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256`` of every row."""
+    """``doc_id``, ``n_words``, ``n_removed`` and ``kept_sha256`` of every row.
+
+    Null and empty texts have no words; texts of under ``window`` words lose
+    none.  Rows that repeat are each other's copies.  Only ``doc_id`` and
+    ``text`` are read; an empty table stays empty.
+    """
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, block, words, removed, kept in _texts(parts, window):

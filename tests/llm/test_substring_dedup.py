@@ -5,7 +5,9 @@ from collections import Counter
 
 import pytest
 
-from quillflow.llm.substring_dedup import deduplicate, digests
+from quillflow.llm import substring_dedup
+from quillflow.llm.substring_dedup import Index, deduplicate, digests, entries
+from quillflow.llm.tables import carried
 from tests.llm import thue_morse
 
 
@@ -62,3 +64,37 @@ def test_repeated_rows_and_empty_table(spark):
     twice = spark.createDataFrame([(1, text)] * 2 + [(2, "short text")] * 2, "doc_id long, text string")
     assert sorted(r.n_removed for r in digests(twice).collect()) == [0, 0, 40, 40]
     assert digests(spark.createDataFrame([], "doc_id long, text string")).collect() == []
+
+
+def test_reopened_index(spark, tmp_path, monkeypatch):
+    """Batch after batch, each to an index that is opened anew: after each, brute force over all so far."""
+    monkeypatch.setattr(substring_dedup, "HOT_ROWS", 20)
+    rng, phrase = random.Random(9), " ".join(f"hot{i}" for i in range(34))
+    data = texts(35) + [f"{' '.join(f'l{rng.randrange(10**6)}' for _ in range(30))} {phrase} {' '.join(f'r{rng.randrange(10**6)}' for _ in range(30))}" for _ in range(60)]
+    docs = spark.createDataFrame(list(enumerate(data)), "doc_id long, text string")
+    keyed = carried(docs).selectExpr("key_id", "key_text", "coalesce(text, '') as text", "row.doc_id as doc_id")
+    size = -(-len(data) // 5)
+    for b in range(5):
+        index = Index(spark, str(tmp_path / "index"))
+        assert index.version >= b
+        own, seen = keyed.filter(f"doc_id between {b * size} and {(b + 1) * size - 1}"), keyed.filter(f"doc_id < {(b + 1) * size}")
+        index.add(entries(own), seen)
+        assert len(index.runs) < 3 and len({r.level for r in index.runs}) == len(index.runs)
+        hits = entries(seen).join(Index(spark, str(tmp_path / "index")).marks(), ["anchor", "span"]).join(seen.select("key_id", "key_text", "doc_id"), ["key_id", "key_text"]).collect()
+        gone = {}
+        for r in hits:
+            for i in range(r.n):
+                if r.mask >> i & 1:
+                    gone.setdefault(r.doc_id, set()).update(range(r.lo + i, r.lo + i + 35))
+        want = {k: w[1] for k, w in enumerate(brute(data[: (b + 1) * size], 35)) if w[1]}
+        assert {k: len(x) for k, x in gone.items()} == want
+    assert max(r.hot_anchors for r in index.runs) > 0
+
+
+def test_history_is_merge_joined_where_it_lies(spark, tmp_path):
+    index = Index(spark, str(tmp_path / "index"))
+    keyed = carried(spark.createDataFrame(list(enumerate(texts(1))), "doc_id long, text string")).selectExpr("key_id", "key_text", "coalesce(text, '') as text")
+    index.add(entries(keyed), keyed)
+    with_join = index.having(index.runs[0], index.read(index.runs[0]).select("anchor").distinct().hint("merge"))
+    plan = with_join._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and plan.count("Exchange") <= 2
