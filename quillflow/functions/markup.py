@@ -7,6 +7,7 @@ import re
 import unicodedata
 from collections.abc import Iterable
 from html.parser import HTMLParser
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import functions as F
@@ -31,41 +32,59 @@ def clean_markup(values: pd.Series) -> pd.Series:
     return values.map(clean)
 
 
+class Selector(NamedTuple):
+    """Elements of a class (or ``<tag>``), inside an element of another class if one is named: the first, or every one."""
+
+    wanted: str
+    inside: str | None = None
+    every: bool = False
+
+
 class _Extractor(HTMLParser):
-    """Text inside the first element of a class, without some elements in it."""
+    """Texts of the elements that a selector means, without some elements in them.
+
+    An element that is inside another such element has its text in both.
+    """
 
-    def __init__(self, wanted: str, dropped: frozenset[str], dropped_classes: frozenset[str]):
+    def __init__(self, selector: Selector, dropped: frozenset[str], dropped_classes: frozenset[str]):
         super().__init__(convert_charrefs=True)
-        self.wanted, self.dropped, self.dropped_classes = wanted, dropped, dropped_classes
-        self.stack: list[tuple[str, bool]] = []
-        self.inside = self.skipped = 0
-        self.seen = False
-        self.parts: list[str] = []
+        self.selector, self.dropped, self.dropped_classes = selector, dropped, dropped_classes
+        self.stack: list[tuple[str, bool, bool, bool]] = []  # tag, and whether it opens an element, is left out, is what others must be inside of
+        self.open: list[list[str]] = []
+        self.around = self.skipped = 0
+        self.texts: list[list[str]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         if tag in _VOID:
             return
         classes = (dict(attrs).get("class") or "").split()
-        starts = not self.seen and (self.wanted in classes or self.wanted == f"<{tag}>")
-        self.seen |= starts
-        drop = bool(self.inside) and (tag in self.dropped or not self.dropped_classes.isdisjoint(classes))
-        self.stack.append((tag, starts, drop))
-        self.inside += starts
+        s = self.selector
+        starts = (s.wanted in classes or s.wanted == f"<{tag}>") and (s.inside is None or self.around > 0) and (s.every or not self.texts)
+        drop = bool(self.open) and (tag in self.dropped or not self.dropped_classes.isdisjoint(classes))
+        around = s.inside in classes if s.inside else False
+        self.stack.append((tag, starts, drop, around))
+        self.around += around
         self.skipped += drop
+        if starts:
+            self.texts.append([])
+            self.open.append(self.texts[-1])
 
     def handle_endtag(self, tag: str) -> None:
-        if not any(t == tag for t, _, _ in self.stack):
+        if not any(own[0] == tag for own in self.stack):
             return
         while self.stack:
-            name, started, drop = self.stack.pop()
-            self.inside -= started
+            name, started, drop, around = self.stack.pop()
+            self.around -= around
             self.skipped -= drop
+            if started:
+                self.open.pop()
             if name == tag:
                 return
 
     def handle_data(self, data: str) -> None:
-        if self.inside and not self.skipped and data.strip():
-            self.parts.append(data.strip())
+        if not self.skipped and data.strip():
+            for parts in self.open:
+                parts.append(data.strip())
 
 
 # What is left out of a page's content.
@@ -73,22 +92,23 @@ DROPPED_TAGS = ("script", "style", "nav", "footer", "noscript", "iframe")
 DROPPED_CLASSES = ("box-comment", "tools", "social-share", "advertisement", "ads", "banner")
 
 
-def content(page: str | None, selectors: Iterable[str], dropped_classes: Iterable[str] = DROPPED_CLASSES) -> str | None:
-    """Text of the first selector (a class, or ``<tag>``) that the page has; None if it has none of them."""
+def content(page: str | None, selectors: Iterable[Selector | str], dropped_classes: Iterable[str] = DROPPED_CLASSES) -> str | None:
+    """Text of the first selector that the page has elements for; None if it has none.  A string is a class or ``<tag>``."""
     for selector in selectors:
-        parser = _Extractor(selector, frozenset(DROPPED_TAGS), frozenset(dropped_classes))
+        parser = _Extractor(selector if isinstance(selector, Selector) else Selector(selector), frozenset(DROPPED_TAGS), frozenset(dropped_classes))
         parser.feed(page or "")
         parser.close()
-        if parser.seen:
-            return "\n".join(parser.parts)
+        if parser.texts:
+            return "\n".join("\n".join(parts) for parts in parser.texts if parts)
     return None
 
 
-def extract_content(*selectors: str):
+def extract_content(*selectors: Selector | str, dropped_classes: Iterable[str] = DROPPED_CLASSES):
     """Column function: ``content`` by the given selectors, in that order."""
+    left_out = tuple(dropped_classes)
 
     @F.pandas_udf(StringType())
     def extract(pages: pd.Series) -> pd.Series:
-        return pages.map(lambda page: content(page, selectors))
+        return pages.map(lambda page: content(page, selectors, left_out))
 
     return extract

@@ -51,9 +51,9 @@ def fold(c: Text) -> Column:
 
 
 def fold_text(value: str) -> str:
-    """``fold`` of a constant."""
-    bare = "".join(c for c in unicodedata.normalize("NFD", value) if unicodedata.category(c) != "Mn")
-    return bare.replace("đ", "d").replace("Đ", "D").lower()
+    """``fold`` of a constant, by the same table: letters that it leaves alone stay here too."""
+    source, target = _accents()
+    return "".join(c for c in value if unicodedata.category(c) != "Mn").translate(str.maketrans(source, target)).lower()
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -61,9 +61,41 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
+def collected(items: Column, state: dict[str, Column], step: Callable[[Column, Column], tuple[dict[str, Column], Column]], kind: str, finish: Callable[[Column, Column], Column] | None = None) -> Column:
+    """Array of what ``step(state, item)`` puts out for each item, besides the next state.
+
+    Values gather in short arrays inside a long one, so that appending to a long
+    result doesn't copy all of it each time.  ``finish(state, array)`` may change
+    the whole.
+    """
+    empty = F.expr(f"cast(array() as array<{kind}>)")
+
+    def struct(**fields: Column) -> Column:
+        return F.named_struct(*(x for name, value in fields.items() for x in (F.lit(name), value)))
+
+    def add(acc: Column, item: Column) -> Column:
+        following, out = step(acc, item)
+
+        def put(part: Column) -> Column:
+            full = F.size(part) >= 256
+            return struct(**following, part=F.when(full, empty).otherwise(part), done=F.when(full, F.array_append(acc["done"], part)).otherwise(acc["done"]))
+
+        return let(F.array_append(acc["part"], out), put)
+
+    def end(acc: Column) -> Column:
+        whole = F.flatten(F.array_append(acc["done"], acc["part"]))
+        return finish(acc, whole) if finish else whole
+
+    return F.aggregate(items, struct(**state, part=empty, done=F.expr(f"cast(array() as array<array<{kind}>>)")), add, end)
+
+
+#: White space as Unicode has it.
+BLANKS = "\t\n\x0b\f\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip(c: Text) -> Column:
-    """Without white space, of any script, at either end."""
-    return F.regexp_replace(text(c), r"(?U)^\s+|\s+$", "")
+    """Without white space, of any script, at either end; only the ends are looked at."""
+    return F.btrim(text(c), F.lit(BLANKS))
 
 
 def line(c: Text) -> Column:

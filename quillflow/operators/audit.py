@@ -65,18 +65,43 @@ def clauses(text: t.Text) -> Column:
     return F.when(F.size(by_heading) >= 2, by_heading).when(F.size(by_blank) > 0, by_blank).otherwise(F.array(t.strip(text)))
 
 
-def routed(contracts: DataFrame, model: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+def parsed_domain(answer: t.Text) -> Column:
+    """``domain`` of a model's answer in JSON; the default if there is none to read."""
+    return F.coalesce(F.get_json_object(t.col(answer), "$.domain"), F.lit(DEFAULT_DOMAIN))
+
+
+def parsed_clauses(answer: t.Text) -> Column:
+    """``clauses`` of a model's answer in JSON; null if there are none to read."""
+    read = F.from_json(F.get_json_object(t.col(answer), "$.clauses"), "array<string>")
+    return F.when(F.size(read) > 0, read)
+
+
+FEW_CLAUSES = 3
+
+
+def routed(contracts: DataFrame, ask: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
     """``domain``, ``clauses`` and ``error`` of every contract.
 
-    Blank contracts are errors.  Only contracts that keywords leave open go to
-    ``model`` (adds ``domain``): the frame is parted, since a function inside a
-    CASE would run for all rows.
+    Blank contracts are errors.  ``ask`` adds a model's ``answer`` to contracts,
+    for a ``"domain"`` that keywords leave open and for ``"clauses"`` where
+    patterns find fewer than three; an answer that can't be read changes
+    nothing.  Only such contracts go to it: the frame is parted, since a
+    function inside a CASE would run for all rows.
     """
+    own = contracts.columns
     read = contracts.withColumns({"error": F.when(t.strip("text") == "", "contract is empty"), "domain": classify("text"), "clauses": F.when(t.strip("text") != "", clauses("text"))})
-    clear = read.filter(F.col("error").isNotNull() | F.col("domain").isNotNull())
-    open_ = read.filter(F.col("error").isNull() & F.col("domain").isNull())
-    asked = model(open_.drop("domain")) if model else open_
-    return clear.unionByName(asked.withColumn("domain", F.coalesce("domain", F.lit(DEFAULT_DOMAIN))), allowMissingColumns=True)
+    fields = [*own, "error", "domain", "clauses"]
+
+    def asked(frame: DataFrame, wanted: Column, about: str, change: Callable[[], Column]) -> DataFrame:
+        if ask is None:
+            return frame
+        wanted = F.col("error").isNull() & wanted
+        answered = ask(frame.filter(wanted), about).withColumn(about, change()).select(*fields)
+        return frame.filter(~F.coalesce(wanted, F.lit(False))).select(*fields).unionByName(answered)
+
+    read = asked(read, F.col("domain").isNull(), "domain", lambda: parsed_domain("answer"))
+    read = asked(read, F.size("clauses") < FEW_CLAUSES, "clauses", lambda: F.coalesce(parsed_clauses("answer"), F.col("clauses")))
+    return read.withColumn("domain", F.when(F.col("error").isNull(), F.coalesce("domain", F.lit(DEFAULT_DOMAIN))))
 
 
 # -------------------------------------------------------------------- retrieval
@@ -133,6 +158,38 @@ def unique_context(results: DataFrame, keys: list[str]) -> DataFrame:
     return kept.select(*keys, F.col("_first.position").alias("position"), section.alias("section"))
 
 
+def section_texts(context: t.Text, cap: int = 3000) -> Column:
+    """Sections of a whole context, cut before each heading of theirs, stripped and capped."""
+    parts = F.split(t.text(context), r"(?=### Điều khoản \d)")
+    return F.transform(F.filter(F.transform(parts, t.strip), lambda x: x != ""), lambda x: F.left(x, F.lit(cap)))
+
+
+def whole_context(sections: DataFrame, keys: list[str]) -> DataFrame:
+    """``context`` of each contract: its sections in their order, one line apart."""
+    parts = F.array_sort(F.collect_list(F.struct("position", "section")))
+    return sections.groupBy(*keys).agg(F.array_join(F.transform(parts, lambda x: x["section"]), "\n").alias("context"))
+
+
+def hybrid_context(queries: DataFrame, vectors: DataFrame, chunks: DataFrame, edges: DataFrame, k: int = 5, chars: int = 1000) -> DataFrame:
+    """``query_id`` and ``result``: texts of the ``k`` nearest chunks of each query, then of the chunks that the graph links to them.
+
+    ``queries`` (``vec_id``, ``embedding``) are held against ``vectors``;
+    ``chunks`` (``vec_id``, ``text``) has the texts by key, ``edges`` (``a``,
+    ``b``) the graph.  Nearer chunks come first; of a chunk found both ways the
+    first place counts.  A query without any result has an empty one.
+    """
+    near = top_k(queries, vectors, k).select("query_id", "found_id", F.col("rank").cast("int").alias("place"))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    linked = near.join(both, near.found_id == both.a).select("query_id", F.col("b").alias("found_id"), (F.col("place") + k).alias("place")).filter("found_id <> query_id")
+    every = near.unionByName(linked).groupBy("query_id", "found_id").agg(F.min("place").alias("place"))
+    # Of the neighbours as many as of the nearest.
+    ranked = every.withColumn("r", F.row_number().over(Window.partitionBy("query_id").orderBy("place", "found_id"))).filter(F.col("r") <= 2 * k)
+    texts = ranked.join(chunks.select(F.col("vec_id").alias("found_id"), "text"), "found_id")
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("r", "text"))), lambda x: x["text"]), "\n")
+    found = texts.groupBy("query_id").agg(F.left(joined, F.lit(chars)).alias("result"))
+    return queries.select(F.col("vec_id").alias("query_id")).join(found, "query_id", "left").withColumn("result", F.coalesce("result", F.lit("")))
+
+
 def context_for_clauses(clauses_: DataFrame, sections: DataFrame, keys: list[str], cap: int = 3000, by_heading: bool = False) -> DataFrame:
     """``clauses_`` (``position`` from 1) and the ``context`` of each.
 
@@ -172,7 +229,7 @@ def findings(answers: DataFrame, raw: str = "answer") -> DataFrame:
 
     @F.pandas_udf(ArrayType(MapType(StringType(), StringType())))
     def parse(values: pd.Series) -> pd.Series:
-        text = lambda v: v if isinstance(v, str) else json.dumps(v, ensure_ascii=False)
+        text = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
         return values.map(lambda v: [{k: text(x) for k, x in f.items()} for f in first_list(v) if isinstance(f, dict)])
 
     each = answers.withColumn("_f", F.explode(parse(raw)))
@@ -180,16 +237,17 @@ def findings(answers: DataFrame, raw: str = "answer") -> DataFrame:
     return full.withColumn("finding", F.struct(*(F.col("_f")[k].alias(k) for k in REQUIRED))).drop("_f")
 
 
-def judged(found: DataFrame, keys: list[str], failed: str = "failed") -> DataFrame:
-    """``confidence`` and ``error`` of each contract from its clauses (``failed``, ``reference_law``: null where a clause had no finding).
+def judged(found: DataFrame, keys: list[str], failed: str = "failed", position: str = "position") -> DataFrame:
+    """``confidence`` and ``error`` of each contract, from one row or more for each clause (``position``): one for each finding, with its ``reference_law``, or one with a null.
 
     Confidence is the share of findings that name a law.  If more than half of
-    the clauses failed, it is 0 and an error.
+    the clauses failed, it is 0 and an error; a clause counts once, however much
+    was found in it.
     """
-    n, bad, named = F.count(F.lit(1)), F.count_if(F.col(failed)), F.count_if(F.col("reference_law") != "")
-    any_ = F.count("reference_law")
+    clause = found.groupBy(*keys, position).agg(F.bool_or(failed).alias("_bad"), F.count("reference_law").alias("_any"), F.count_if(F.col("reference_law") != "").alias("_named"))
+    n, bad, named, any_ = F.count(F.lit(1)), F.count_if("_bad"), F.sum("_named"), F.sum("_any")
     broken = bad > F.floor(n / 2)
-    return found.groupBy(*keys).agg(
+    return clause.groupBy(*keys).agg(
         n.alias("clauses"), bad.alias("failed"), any_.alias("findings"),
         F.when(broken, 0.0).otherwise(F.coalesce(named / F.nullif(any_, F.lit(0)), F.lit(0.0))).alias("confidence"),
         F.when(broken, F.concat(bad.cast("string"), F.lit("/"), n.cast("string"), F.lit(" clauses failed"))).alias("error"),

@@ -8,6 +8,7 @@ grows with the corpus.
 
 from __future__ import annotations
 
+import re
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -49,8 +50,25 @@ def pieces(c: Column, pattern: str) -> Column:
 
 
 def _last_heading(c: Column, pattern: str) -> Column:
-    """Last heading in a text; null if it has none."""
-    return F.get(F.reverse(F.regexp_extract_all(c, F.lit(pattern), F.lit(1))), F.lit(0))
+    """Last heading in a text; null if it has none.  Most texts don't have its first word and need no pattern."""
+    word = re.search(r"\w+", pattern.split("(", 2)[2]).group()
+    return F.when(F.contains(c, F.lit(word)), F.try_element_at(F.regexp_extract_all(c, F.lit(pattern), F.lit(1)), F.lit(-1)))
+
+
+def carried(texts: Column, pattern: str) -> Column:
+    """For each of an array of texts, the last heading in it or in those before; empty where there is none yet.
+
+    Each heading is repeated for as many texts as it holds.
+    """
+    found = F.transform(texts, lambda x, i: record(i=i, h=F.nullif(t.strip(_last_heading(x, pattern)), F.lit(""))))
+
+    def held(own: Column) -> Column:
+        starts = F.concat(F.transform(own, lambda x: x["i"]), F.array(F.size(texts)))
+        until = F.slice(starts, F.lit(2), F.size(own))
+        runs = F.zip_with(own, until, lambda x, end: F.array_repeat(x["h"], end - x["i"]))
+        return F.flatten(F.concat(F.array(F.array_repeat(F.lit(""), F.get(starts, F.lit(0)))), runs))
+
+    return t.let(F.filter(found, lambda x: x["h"].isNotNull()), held)
 
 
 def articles(docs: DataFrame, text: str = "text", out: str = "articles") -> DataFrame:
@@ -62,26 +80,20 @@ def articles(docs: DataFrame, text: str = "text", out: str = "articles") -> Data
     """
     cut = docs.withColumn("_pieces", pieces(t.text(text), ARTICLE))
     body = F.slice("_pieces", F.lit(2), F.greatest(F.size("_pieces") - 1, F.lit(0)))
-    # Headings inside piece i come before article i + 1.
-    start = record(chapter=F.lit(""), section=F.lit(""), out=F.expr("array()").cast("array<struct<chapter:string,section:string>>"))
-
-    def carry(acc: Column, piece: Column) -> Column:
-        chapter = F.coalesce(F.nullif(t.strip(_last_heading(piece, CHAPTER)), F.lit("")), acc["chapter"])
-        section = F.coalesce(F.nullif(t.strip(_last_heading(piece, SECTION)), F.lit("")), acc["section"])
-        return record(chapter=chapter, section=section, out=F.array_append(acc["out"], record(chapter=chapter, section=section)))
-
     # A heading without words of its own goes on over the next line, which may be the article's.
     following = F.slice("_pieces", F.lit(2), F.size("_pieces"))
     reach = F.zip_with("_pieces", following, lambda p, after: F.concat(p, F.coalesce(F.regexp_extract(after, r"^[^\n]*", 0), F.lit(""))))
-    held = F.slice(F.aggregate(reach, start, carry, lambda acc: acc["out"]), F.lit(1), F.greatest(F.size("_pieces") - 1, F.lit(0)))
+    # Headings inside piece i come before article i + 1.
+    held = F.zip_with(carried(reach, CHAPTER), carried(reach, SECTION), lambda c, s: record(chapter=c, section=s))
+    held = F.slice(held, F.lit(1), F.greatest(F.size("_pieces") - 1, F.lit(0)))
     heading = lambda x: F.regexp_extract(x, ARTICLE, 1)
 
     def article(piece: Column, above: Column) -> Column:
-        own = t.strip(piece)
-        return record(
-            number=F.regexp_extract(heading(piece), r"(?U)Điều\s+(\d+)", 1).cast("int"), title=t.strip(F.regexp_extract(t.strip(heading(piece)), r"(?U)Điều\s+\d+[\.:]\s*(.*)", 1)),
-            text=own, chapter=above["chapter"], section=above["section"], chars=F.length(own),
-        )
+        def of(x: Column) -> Column:
+            number, title = F.regexp_extract(x["head"], r"(?U)Điều\s+(\d+)", 1).cast("int"), t.strip(F.regexp_extract(x["head"], r"(?U)Điều\s+\d+[\.:]\s*(.*)", 1))
+            return record(number=number, title=title, text=x["own"], chapter=above["chapter"], section=above["section"], chars=F.length(x["own"]))
+
+        return t.let(record(head=t.strip(heading(piece)), own=t.strip(piece)), of)
 
     # Arrays meet by zip_with: a lambda that refers to another array would compute it anew for each element.
     numbered = F.transform(F.zip_with(body, held, article), lambda x, i: record(ord=i, **{k: x[k] for k in ("number", "title", "text", "chapter", "section", "chars")}))
@@ -96,30 +108,28 @@ def merge_short(sizes: Column, low: int) -> Column:
     gather until their sum is ``low``.  What is left over at the end joins the
     last group, if there is one.
     """
-    start = record(next=F.lit(0), open=F.lit(False), sum=F.lit(0), out=F.expr("cast(array() as array<int>)"))
+    state = {"next": F.lit(0), "open": F.lit(False), "sum": F.lit(0)}
 
-    def step(acc: Column, size: Column) -> Column:
+    def step(acc: Column, size: Column) -> tuple[dict[str, Column], Column]:
         long = size >= low
         group = F.when(long & acc["open"], acc["next"] + 1).otherwise(acc["next"])
         closes = long | (acc["sum"] + size >= low)
-        return record(next=F.when(closes, group + 1).otherwise(group), open=(~closes), sum=F.when(closes, 0).otherwise(acc["sum"] + size), out=F.array_append(acc["out"], group))
+        return {"next": F.when(closes, group + 1).otherwise(group), "open": ~closes, "sum": F.when(closes, 0).otherwise(acc["sum"] + size)}, group
 
-    def finish(acc: Column) -> Column:
-        return F.when(acc["open"] & (acc["next"] > 0), F.transform(acc["out"], lambda g: F.least(g, acc["next"] - 1))).otherwise(acc["out"])
+    def finish(acc: Column, groups: Column) -> Column:
+        return F.when(acc["open"] & (acc["next"] > 0), F.transform(groups, lambda g: F.least(g, acc["next"] - 1))).otherwise(groups)
 
-    return F.aggregate(sizes, start, step, finish)
+    return t.collected(sizes, state, step, "int", finish)
 
 
 def pack(sizes: Column, header: Column, high: int) -> Column:
     """Part number, from 0, of each of an array of sizes: a part starts with ``header`` and is closed before it exceeds ``high``."""
-    start = record(part=F.lit(0), count=F.lit(0), sum=header, out=F.expr("cast(array() as array<int>)"))
-
-    def step(acc: Column, size: Column) -> Column:
+    def step(acc: Column, size: Column) -> tuple[dict[str, Column], Column]:
         full = (acc["sum"] + size > high) & (acc["count"] > 0)
-        part = F.when(full, acc["part"] + 1).otherwise(acc["part"])
-        return record(part=part, count=F.when(full, 1).otherwise(acc["count"] + 1), sum=F.when(full, header + size).otherwise(acc["sum"] + size), out=F.array_append(acc["out"], part))
+        part = F.when(full, acc["no"] + 1).otherwise(acc["no"])
+        return {"no": part, "count": F.when(full, 1).otherwise(acc["count"] + 1), "sum": F.when(full, header + size).otherwise(acc["sum"] + size)}, part
 
-    return F.aggregate(sizes, start, step, lambda acc: acc["out"])
+    return t.collected(sizes, {"no": F.lit(0), "count": F.lit(0), "sum": header}, step, "int")
 
 
 def clause_parts(c: Column, high: int) -> Column:
@@ -127,28 +137,29 @@ def clause_parts(c: Column, high: int) -> Column:
     cut = pieces(c, CLAUSE)
     header = t.strip(F.get(cut, F.lit(0)))
     clauses = F.transform(F.slice(cut, F.lit(2), F.greatest(F.size(cut) - 1, F.lit(0))), t.strip)
-    start = record(head=header, sum=F.length(header), open=F.lit(""), count=F.lit(0), out=F.expr("cast(array() as array<string>)"))
 
-    def step(acc: Column, clause: Column) -> Column:
-        full = (acc["sum"] + F.length(clause) > high) & (acc["count"] > 0)
-        base = F.when(full | (acc["count"] == 0), acc["head"]).otherwise(acc["open"])
-        total = F.when(full, F.length(acc["head"])).otherwise(acc["sum"]) + F.length(clause)
-        done = F.when(full, F.array_append(acc["out"], t.strip(acc["open"]))).otherwise(acc["out"])
-        return record(head=acc["head"], sum=total, open=F.concat(base, F.lit("\n"), clause), count=F.when(full, 1).otherwise(acc["count"] + 1), out=done)
+    def texts(own: Column) -> Column:
+        part = pack(F.transform(own, F.length), F.length(header), high)
+        starts = t.let(part, lambda ps: F.filter(F.sequence(F.lit(0), F.size(ps) - 1), lambda i: (i == 0) | (F.get(ps, i) != F.get(ps, i - 1))))
+        until = lambda xs: F.concat(F.slice(xs, F.lit(2), F.size(xs)), F.array(F.size(own)))
+        one = lambda lo, hi: t.strip(F.concat_ws("\n", header, F.array_join(F.slice(own, lo + 1, hi - lo), "\n")))
+        return t.let(starts, lambda xs: F.zip_with(xs, until(xs), one))
 
-    texts = F.aggregate(clauses, start, step, lambda acc: F.array_append(acc["out"], t.strip(acc["open"])))
-    return F.when(F.size(cut) <= 2, F.array(c)).otherwise(texts)
+    return F.when(F.size(cut) <= 2, F.array(c)).otherwise(t.let(clauses, texts))
 
 
 def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: str = "text") -> DataFrame:
-    """One row for each chunk before overlaps: ``keys``, ``position`` (from 0), ``text``, ``articles`` (numbers), ``chapter``, ``section``, ``title``, ``part``."""
+    """One row for each chunk before overlaps: ``keys``, ``position`` (from 0), ``text``, ``articles`` (numbers), ``chapter``, ``section``, ``title``, ``part``.
+
+    ``keys`` tell the documents apart.  Articles become rows, of which a group
+    holds a few; one shuffle by ``keys`` serves the groups and their order.
+    """
     low, high = sizes.chars(sizes.low), sizes.chars(sizes.high)
     read = articles(docs, text).select(*keys, "articles")
     grouped = read.withColumn("_group", merge_short(F.transform("articles", lambda a: a["chars"]), low))
-    zipped = F.zip_with("articles", "_group", lambda a, g: record(group=g, a=a))
-    each = grouped.select(*keys, zipped.alias("_all"), F.explode(F.array_distinct("_group")).alias("_g"))
-    own = F.transform(F.filter("_all", lambda x: x["group"] == F.col("_g")), lambda x: x["a"])
-    each = each.select(*keys, "_g", own.alias("_own"))
+    # ``inline``, as the fields of an exploded column would be computed one by one.
+    rows = grouped.select(*keys, F.inline(F.zip_with("articles", "_group", lambda a, g: record(_g=g, a=a))))
+    each = rows.repartition(*keys).groupBy(*keys, "_g").agg(F.array_sort(F.collect_list("a")).alias("_own"))
     joined = F.array_join(F.transform("_own", lambda a: a["text"]), "\n\n")
     first = F.get("_own", F.lit(0))
     kind = "text string, articles array<int>, chapter string, section string, title string, part int"
@@ -174,7 +185,8 @@ def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: s
 def sentence_suffix(c: Column, budget: int) -> Column:
     """Sentences from the end of a text that fit a budget of characters, at least one; a text within it as it is.
 
-    A sentence ends at ``.``, ``!`` or ``?`` before white space.
+    A sentence ends at ``.``, ``!`` or ``?`` before white space.  Without any
+    sentence, the last characters.
     """
     sentences = F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), t.strip), lambda x: x != "")
     start = record(sum=F.lit(0), full=F.lit(False), out=F.expr("cast(array() as array<string>)"))
@@ -183,7 +195,7 @@ def sentence_suffix(c: Column, budget: int) -> Column:
         full = acc["full"] | ((acc["sum"] + F.length(s) > budget) & (F.size(acc["out"]) > 0))
         return record(sum=F.when(full, acc["sum"]).otherwise(acc["sum"] + F.length(s)), full=full, out=F.when(full, acc["out"]).otherwise(F.array_prepend(acc["out"], s)))
 
-    return F.when(F.length(c) <= budget, c).otherwise(F.aggregate(F.reverse(sentences), start, step, lambda acc: F.array_join(acc["out"], " ")))
+    return F.when(F.length(c) <= budget, c).otherwise(F.aggregate(F.reverse(sentences), start, step, lambda acc: F.when(F.size(acc["out"]) > 0, F.array_join(acc["out"], " ")).otherwise(F.right(c, F.lit(budget)))))
 
 
 def chunks(docs: DataFrame, keys: list[str], name: str, sizes: Sizes = Sizes(), text: str = "text") -> DataFrame:
@@ -201,6 +213,39 @@ def chunks(docs: DataFrame, keys: list[str], name: str, sizes: Sizes = Sizes(),
     return own.select(*keys, "position", F.col(name).alias("document_name"), chunk.alias("chunk_id"), "text", metadata.alias("metadata"))
 
 
+POINT = r"(?mUd)^\s*([a-zđ])\)\s+"
+
+
+def headings(docs: DataFrame, keys: list[str], text: str = "text", chars: int = 2000) -> DataFrame:
+    """Debug listing: every heading of each ``kind`` in the first ``chars`` characters, with its ``place`` there (from 0)."""
+    own = docs.select(*keys, F.left(t.text(text), F.lit(chars)).alias("_t"))
+    kinds = {"article": ARTICLE, "chapter": CHAPTER, "section": SECTION, "clause": CLAUSE, "point": POINT}
+
+    def listed(kind: str, pattern: str) -> Column:
+        found = F.regexp_extract_all("_t", F.lit(pattern), F.lit(0))
+        # Each match begins where the text between it and the one before ends.
+        between = F.split("_t", pattern)
+        start = record(at=F.lit(0), out=F.expr("cast(array() as array<struct<kind:string,place:int,heading:string>>)"))
+
+        def step(acc: Column, x: Column) -> Column:
+            place = acc["at"] + F.length(x["b"])
+            return record(at=place + F.length(x["m"]), out=F.array_append(acc["out"], record(kind=F.lit(kind), place=place, heading=t.strip(x["m"]))))
+
+        pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: record(m=m, b=b))
+        return F.aggregate(pairs, start, step, lambda acc: acc["out"])
+
+    return own.select(*keys, F.inline(F.concat(*(listed(k, p) for k, p in kinds.items()))))
+
+
+def document_log(chunked: DataFrame, keys: list[str], tokens: str, overlap: str, sizes: Sizes = Sizes()) -> DataFrame:
+    """What a run says of each document: chunks, least and most tokens, their floored mean and the floored percentage in range, and chunks with an overlap."""
+    n, total = F.count(F.lit(1)), F.sum(tokens)
+    inside = F.count_if(F.col(tokens).between(sizes.low, sizes.high))
+    return chunked.groupBy(*keys).agg(
+        n.alias("chunks"), F.min(tokens).alias("min_tokens"), F.max(tokens).alias("max_tokens"), F.floor(total / n).alias("avg_tokens"), F.floor(100 * inside / n).alias("pct_in_range"), F.count_if(overlap).alias("overlaps")
+    )
+
+
 def statistics(chunked: DataFrame, by: str, tokens: str, overlap: str, sizes: Sizes = Sizes()) -> DataFrame:
     """Chunks and tokens for each value of ``by``, and in all (``by`` null), in one pass."""
     n, total = F.count(F.lit(1)), F.sum(tokens)

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as t
@@ -112,17 +112,37 @@ def mark_processed(queue: DataFrame, done: DataFrame, now: Column) -> DataFrame:
     return joined.withColumns({"updated": hit, "processed_at": F.when(hit, now).otherwise(F.col("processed_at")), "is_processed": F.coalesce("is_processed", F.lit(False)) | hit}).drop("_hit")
 
 
-def replace_table(spark: SparkSession, rows: DataFrame, path: str, backup: bool = True) -> None:
-    """Replace the files of a table: written beside it, then renamed, so a reader sees one state or the other; the old one may stay as a backup."""
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs
-    target = hadoop.Path(path)
-    fs = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    stamp = jvm.java.lang.System.currentTimeMillis()
-    staging, old = hadoop.Path(f"{path}.new-{stamp}"), hadoop.Path(f"{path}.old-{stamp}")
-    rows.write.json(staging.toString())
-    if fs.exists(target):
-        fs.rename(target, old)
-    fs.rename(staging, target)
-    if not backup:
-        fs.delete(old, True)
+def updated_rows(marked: DataFrame) -> DataFrame:
+    """One row: links in all, and how many ``mark_processed`` changed."""
+    return marked.agg(F.count(F.lit(1)).alias("links"), F.count_if("updated").alias("updated"))
+
+
+def in_source_order(found: DataFrame) -> DataFrame:
+    """``found_links`` in the order of their source's rank, as found within a source."""
+    return found.orderBy("source_rank", "ord")
+
+
+def first_of_tasks(results: DataFrame) -> DataFrame:
+    """One link for each canonical URL over the results of many tasks (``task``, ``priority``, ``ord``): of the longest snippet in the first task that found it.
+
+    Tasks end in any order; their place in the plan decides.
+    """
+    best = F.min_by(F.struct(*results.columns), F.struct("priority", "task", -F.length(t.text("snippet")), "ord"))
+    return results.groupBy(t.canonical_url("url").alias("dedup_key")).agg(best.alias("_b")).select("dedup_key", "_b.*")
+
+
+def totals(raw: DataFrame, saved: DataFrame) -> DataFrame:
+    """One row: results found, and links that were new."""
+    both = raw.select(F.lit(1).alias("r"), F.lit(0).alias("s")).unionByName(saved.select(F.lit(0).alias("r"), F.lit(1).alias("s")))
+    return both.agg(F.coalesce(F.sum("r"), F.lit(0)).alias("raw"), F.coalesce(F.sum("s"), F.lit(0)).alias("saved"))
+
+
+def content_hash(*fields: str) -> Column:
+    """Digest of some fields, stripped and in lower case; nulls are left out."""
+    return F.md5(F.concat_ws(" ", *(F.when(F.col(f).isNotNull(), F.lower(t.strip(F.col(f).cast("string")))) for f in fields)))
+
+
+def aliased_rank(domain: t.Text, order: list[str], aliases: dict[str, str]) -> Column:
+    """Place of a domain in a list of sources that may go by an alias; the list's length if it isn't there."""
+    at = F.array_position(F.array(*(F.lit(aliases.get(x, x)) for x in order)), t.text(domain))
+    return F.when(at > 0, at - 1).otherwise(len(order)).cast("int")

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql.types import IntegerType, StringType, StructField, StructType
 
 from ..functions import text as t
 
@@ -23,8 +25,9 @@ def has_any(folded: Column, phrases: list[str]) -> Column:
     return hit
 
 
-def is_artifact(c: Column, phrases: list[str]) -> Column:
-    return t.let(t.fold(c), lambda folded: (F.length(folded) < 3) | has_any(folded, phrases) | (F.startswith(folded, F.lit("tai ve")) & (F.length(folded) < 120)))
+def is_artifact(folded: Column, phrases: list[str]) -> Column:
+    """A folded line is furniture: hardly a word, one of the phrases, or a short download link."""
+    return (F.length(folded) < 3) | has_any(folded, phrases) | (F.startswith(folded, F.lit("tai ve")) & (F.length(folded) < 120))
 
 
 def clean_lines(text: t.Text, blacklist: list[str] = ()) -> Column:
@@ -36,17 +39,26 @@ def clean_lines(text: t.Text, blacklist: list[str] = ()) -> Column:
     """
     phrases = list(dict.fromkeys([*ARTIFACTS, *map(t.fold_text, blacklist)]))
     normal = F.replace(F.regexp_replace(t.text(text), r"\r\n?", "\n"), F.lit("\xa0"), F.lit(" "))
-    lines = F.filter(F.transform(F.split(normal, "\n"), t.line), lambda x: (x == "") | ~is_artifact(x, phrases))
-    # A blank line doesn't reset the comparison: the fold holds the last line with words.
-    start = F.named_struct(F.lit("last"), F.lit(""), F.lit("out"), F.expr("cast(array() as array<string>)"))
 
-    def step(acc: Column, x: Column) -> Column:
-        kept = (x == "") | (x != acc["last"])
-        return F.named_struct(F.lit("last"), F.when(x == "", acc["last"]).otherwise(x), F.lit("out"), F.when(kept, F.array_append(acc["out"], x)).otherwise(acc["out"]))
+    def cut(whole: Column) -> Column:
+        # Folding changes no line end, so the whole text is folded once and both are cut alike.
+        lines, folded = F.transform(F.split(whole, "\n"), t.line), F.transform(F.split(t.fold(whole), "\n"), t.line)
+        kept = F.filter(F.zip_with(lines, folded, lambda x, f: F.named_struct(F.lit("x"), x, F.lit("f"), f)), lambda p: (p["x"] == "") | ~is_artifact(p["f"], phrases))
+        return F.transform(kept, lambda p, i: F.named_struct(F.lit("i"), i, F.lit("x"), p["x"]))
+
+    def joined(placed: Column) -> Column:
+        # A blank line doesn't come between two equal ones: lines with words are compared among themselves, then all are put in order.
+        def unlike_before(some: Column) -> Column:
+            before = F.concat(F.array(F.lit("")), F.transform(some, lambda p: p["x"]))
+            pairs = F.zip_with(some, F.slice(before, F.lit(1), F.size(some)), lambda p, x: F.when(p["x"] != x, p))
+            return F.filter(pairs, lambda p: p.isNotNull())
+
+        with_words = t.let(F.filter(placed, lambda p: p["x"] != ""), unlike_before)
+        every = F.array_sort(F.concat(with_words, F.filter(placed, lambda p: p["x"] == "")))
+        return F.array_join(F.transform(every, lambda p: p["x"]), "\n")
 
-    kept = F.aggregate(lines, start, step, lambda acc: acc["out"])
-    joined = F.regexp_replace(F.array_join(kept, "\n"), r"\n{3,}", "\n\n")
-    return t.strip(F.regexp_replace(joined, r"[ \t]{2,}", " "))
+    whole = t.let(t.let(normal, cut), joined)
+    return t.strip(F.regexp_replace(F.regexp_replace(whole, r"\n{3,}", "\n\n"), r"[ \t]{2,}", " "))
 
 
 def is_valid(text: t.Text, min_length: int, required: list[str], blacklist: list[str]) -> Column:
@@ -93,37 +105,68 @@ def matches_rule(rule: dict) -> Column:
     return fine
 
 
-def rule_chain(links: DataFrame, law: str, rules: list[dict], sources: list[str]) -> DataFrame:
-    """Winner of each rule, in the rules' order: ``links``' columns, ``law``, ``type``, ``rule``.
+def _order(rule: dict, sources: list[str]) -> Column:
+    """Sort key of a rule's candidates: by date and source, either way round together, or by source and address."""
+    rank = source_rank("source_domain", sources).cast("int")
+    date = F.coalesce(t.date_key(rule["sort_by"]).try_cast("long"), F.lit(0)) if rule.get("sort_by") else F.lit(0).cast("long")
+    way = 0 if not rule.get("sort_by") else -1 if rule.get("sort_order", "desc") == "desc" else 1
+    return F.struct((way * date).alias("date"), (rank if way < 1 else -rank).alias("rank"), (t.text("url") if way == 0 else F.lit("")).alias("url"), F.col("ord").alias("ord"))
+
+
+def rule_chains(links: DataFrame, rules: dict[str, list[dict]], sources: list[str]) -> DataFrame:
+    """Winner of each rule of each law: ``links``' columns, ``type``, ``rule`` and ``place``, its place among its law's winners.
+
+    ``links`` have ``law``, ``url``, ``title``, ``law_id``, ``source_domain``,
+    ``effective_date`` and ``ord``.  A rule's candidates are sorted by date and
+    source; the first that no earlier rule took wins, but among such of the
+    winner's number the best source decides.
 
-    The links (``url``, ``title``, ``law_id``, ``source_domain``,
-    ``effective_date``, ``ord``) are those of one law.  A rule's candidates are
-    sorted by date and source; the first that no earlier rule took wins, but
-    among such of the winner's number the best source decides.  There are a few
-    rules for each law; each is a job that brings one row to the driver, so that
-    the next rule's plan doesn't hold those before it.
+    Earlier rules take no more addresses than there are rules, so that many
+    candidates of each rule, and of each number there, are enough to name all
+    winners: they are cut before the shuffle, whatever the number of links, and
+    the winners follow from a law's few.
     """
-    spark, taken = links.sparkSession, []
-    for k, rule in enumerate(rules):
-        own = links.filter(matches_rule(rule))
-        if taken:
-            own = own.filter(~F.col("url").isin([r["url"] for r in taken]))
-        rank = source_rank("source_domain", sources)
-        if rule.get("sort_by"):
-            # Dates compare as digits; both keys turn round together.
-            down = rule.get("sort_order", "desc") == "desc"
-            key = [F.desc(t.date_key(rule["sort_by"])), F.asc(rank)] if down else [F.asc(t.date_key(rule["sort_by"])), F.desc(rank)]
-        else:
-            key = [F.asc(rank), F.asc("url")]
-        first = own.orderBy(*key, "ord").limit(1)
-        number = first.select(F.col("law_id").alias("_number"))
-        same = own.join(F.broadcast(number), (F.col("law_id") == F.col("_number")) & (t.text("law_id") != "")).drop("_number")
-        # Without a number the first candidate stays the winner.
-        winner = same.withColumn("_p", F.lit(0)).unionByName(first.withColumn("_p", F.lit(1))).orderBy("_p", rank, "url", "ord").limit(1).drop("_p")
-        taken += [r.asDict() | {"law": law, "type": rule["type"], "rule": k} for r in winner.collect()]
-    fields = [f for f in links.schema.fields if f.name not in ("law", "type", "rule")]
-    schema = StructType([*fields, StructField("law", StringType()), StructField("type", StringType()), StructField("rule", IntegerType())])
-    return spark.createDataFrame([tuple(r[f.name] for f in schema.fields) for r in taken], schema)
+    columns = [c for c in links.columns if c not in ("type", "rule", "place")]
+    most = max(map(len, rules.values()), default=0)
+    if not most:
+        return links.select(*columns).limit(0).withColumns({"type": F.lit("").cast("string"), "rule": F.lit(0), "place": F.lit(0)})
+
+    def by_rule(value: Callable[[dict], Column]) -> Column:
+        out = None
+        for law, own in rules.items():
+            for k, rule in enumerate(own):
+                case = (F.col("law") == law) & (F.col("rule") == k)
+                out = F.when(case, value(rule)) if out is None else out.when(case, value(rule))
+        return out
+
+    fits = [reduce(Column.__or__, [(F.col("law") == law) & matches_rule(own[k]) for law, own in rules.items() if len(own) > k]) for k in range(most)]
+    matched = F.filter(F.array(*(F.when(fit, k) for k, fit in enumerate(fits))), lambda k: k.isNotNull())
+    row = F.struct(*columns, by_rule(lambda rule: F.lit(rule["type"])).alias("type"), "rule")
+    each = links.select(*columns).withColumn("rule", F.explode(matched))
+    each = each.select("law", "rule", "url", "law_id", row.alias("row"), by_rule(lambda rule: _order(rule, sources)).alias("order"), F.struct(source_rank("source_domain", sources).cast("int").alias("rank"), "url", "ord").alias("source"))
+
+    def leading(of: list[str], order: str) -> DataFrame:
+        one = each.groupBy("law", "rule", *of, "url").agg(F.min_by("row", order).alias("row"), F.min(order).alias("order"))
+        place = F.row_number().over(Window.partitionBy("law", "rule", *of).orderBy("order"))
+        return one.withColumn("place", place).filter(F.col("place") <= most).select("law", *of, "rule", F.struct("rule", *of, "place", "row").alias("c"))
+
+    first, same = leading([], "order"), leading(["law_id"], "source")
+    numbers = first.select("law", "rule", F.col("c.row.law_id").alias("law_id")).filter(t.text("law_id") != "").distinct()
+    same = same.join(numbers, ["law", "rule", "law_id"], "left_semi")
+    both = first.groupBy("law").agg(F.array_sort(F.collect_list("c")).alias("first")).join(same.groupBy("law").agg(F.array_sort(F.collect_list("c")).alias("same")), "law", "left")
+
+    def free(c: Column, k: int) -> Column:
+        return reduce(Column.__and__, [~F.coalesce(F.col(f"w{j}.url") == c["row"]["url"], F.lit(False)) for j in range(k)], c["rule"] == k)
+
+    def first_free(candidates: str, k: int, of: Callable[[Column], Column] = lambda c: F.lit(True)) -> Column:
+        return F.get(F.filter(candidates, lambda c: free(c, k) & of(c)), F.lit(0))["row"]
+
+    for k in range(most):
+        both = both.withColumn("f", first_free("first", k))
+        both = both.withColumn("b", first_free("same", k, lambda c: c["law_id"] == F.col("f.law_id")))
+        both = both.withColumn(f"w{k}", F.coalesce("b", "f"))
+    won = F.filter(F.array(*(f"w{k}" for k in range(most))), lambda w: w.isNotNull())
+    return both.select(F.posexplode(won).alias("place", "w")).select("w.*", "place")
 
 
 def heuristic_chain(links: DataFrame, sources: list[str]) -> DataFrame:
@@ -141,11 +184,24 @@ def first_success(attempts: DataFrame) -> DataFrame:
     """
     tried = F.struct("place", "url")
     best, first = F.min(F.when(F.col("success"), tried)), F.min(tried)
+    failed = F.concat(F.lit("All "), F.col("attempts").cast("string"), F.lit(" URLs failed"))
     return attempts.groupBy("law").agg(best.alias("_b"), first.alias("_f"), F.count(F.lit(1)).alias("attempts")).select(
-        "law", F.col("_b").isNotNull().alias("success"), F.coalesce("_b.url", "_f.url").alias("url"), F.coalesce("_b.place", F.lit(0)).alias("fallback_level"), "attempts"
+        "law", F.col("_b").isNotNull().alias("success"), F.coalesce("_b.url", "_f.url").alias("url"), F.coalesce("_b.place", F.lit(0)).alias("fallback_level"), "attempts",
+        F.when(F.col("_b").isNull(), failed).alias("error"),
     )
 
 
+def grouped_links(links: DataFrame, fields: list[str]) -> DataFrame:
+    """``law`` and ``urls``: its links with some of their fields, as found.  A law's links are a bounded list; an unbounded one stays rows."""
+    own = F.array_sort(F.collect_list(F.struct("ord", *fields)))
+    return links.groupBy("law").agg(F.transform(own, lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("urls"))
+
+
+def summary(outcome: DataFrame) -> DataFrame:
+    """One row: laws that succeeded, that failed, and all."""
+    return outcome.agg(F.count_if("success").alias("success_count"), F.count_if(~F.col("success")).alias("fail_count"), F.count(F.lit(1)).alias("group_count"))
+
+
 def scraped(pages: DataFrame, min_length: int, required: list[str], blacklist: list[str]) -> DataFrame:
     """``pages`` (``html``, ``clean_text``, ``title``, ``law_id``) as scraped content: counts, structure, and the first thing that is wrong."""
     error = (

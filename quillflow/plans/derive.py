@@ -87,3 +87,49 @@ CONTRACTS_SQL = rf"""clauses AS (
          'Điều ' || (turn + 1) || '. ' || {_list(_PHRASES)}[(conv_id + turn // 2) % {len(_PHRASES)} + 1] || chr(10) || coalesce(text, '') AS text
   FROM conversations
 )"""
+
+
+def records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each order as a law: its lines are articles, some without a number, some without a body."""
+    line, law = F.col("l_linenumber").cast("string"), F.concat(F.lit("L"), F.col("l_orderkey").cast("string"))
+    article = F.concat(law, F.lit("__"), F.when(F.col("l_linenumber") % 7 == 0, F.concat(F.lit("x"), line)).otherwise(line))
+    body = F.when(F.col("l_partkey") % 5 > 0, F.concat(F.lit("1. "), F.col("l_linestatus"), F.lit("<br/>"), F.col("l_partkey").cast("string")))
+    return read(spark, sf_dir, "lineitem").select(law.alias("law_id"), article.alias("article_id"), F.concat(F.lit("Điều "), line, F.lit(". "), F.col("l_returnflag")).alias("title"), body.alias("text"))
+
+
+RECORDS_SQL = """records AS (
+  SELECT 'L' || l_orderkey AS law_id, CASE WHEN l_linenumber % 7 = 0 THEN 0 ELSE l_linenumber END AS n, 'L' || l_orderkey || '__' || CASE WHEN l_linenumber % 7 = 0 THEN 'x' ELSE '' END || l_linenumber AS article_id,
+         'Điều ' || l_linenumber || '. ' || l_returnflag || CASE WHEN l_partkey % 5 > 0 THEN chr(10) || '1. ' || l_linestatus || ' ' || l_partkey ELSE '' END AS part
+  FROM lineitem
+)"""
+
+
+def law_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each benchmark item as a page of one of two sites, or of neither; some have no content, or only a PDF."""
+    i, x = F.col("item_id"), F.trim(F.regexp_replace("text", "[^a-zA-Z ]", ""))
+    day = F.lpad((F.pmod(i, F.lit(28)) + 1).cast("string"), 2, "0")
+    join = lambda *parts: F.concat(*(F.lit(y) if isinstance(y, str) else y for y in parts))
+    library = join("<title> Luật &amp; số ", i.cast("string"), "</title><body>Số 59/2020/QH14<p>Ngày ", (F.pmod(i, F.lit(28)) + 1).cast("string"), " tháng 6 năm 2019</p><p>có hiệu lực thi hành từ ngày 1 tháng 12 năm 2020</p>")
+    year = F.when(F.pmod(i, F.lit(4)) == 0, "1900").otherwise("2020")
+    gazette = join("<h1>Khác</h1><title>Trang</title><h1 class='big title'>Tên <b>", i.cast("string"), "</b></h1><p>Ban hành: ", day, "/06/2019</p> Hiệu lực: 01/07/", year)
+    kind = F.pmod(i, F.lit(6))
+    html = (
+        F.when(kind == 0, join(library, '<div class="x content1"><p>', x, '</p><script>no</script><div class="ads">no</div><p> b </p></div><p>out</p>'))
+        .when(kind == 1, join(library, "<p>", x, "</p>"))
+        .when(kind == 2, join(gazette, '<div class="text">menu</div><div class="box-section--main"><div class="text"><p>', x, '</p><nav>no</nav><div class="ads">kept</div></div><div class="text">c</div></div>'))
+        .when(kind == 3, join(gazette, '<div class="box-section--main wide"><p>', x, "</p><style>no</style></div>"))
+        .when(kind == 4, join(gazette, '<div class="box-section--main"><a href="/a.PDF">file</a></div>'))
+        .otherwise(join("<title>Other</title><div class='content1'>", x, "</div>"))
+    )
+    domain = F.when(kind < 2, "thuvienphapluat.vn").when(kind < 5, "congbao.chinhphu.vn").otherwise("example.org")
+    url = join("https://", domain, "/van-ban/", F.when(kind.between(2, 4), "67/VBHN-VPQH/").otherwise(""), i.cast("string"))
+    link_law = F.when(F.pmod(i, F.lit(5)) == 0, "LINK/1").when(F.pmod(i, F.lit(5)) == 1, "")
+    return read(spark, sf_dir, "benchmark").select(i.alias("page_id"), domain.alias("source_domain"), url.alias("url"), html.alias("html"), link_law.alias("law_id"), F.when(F.pmod(i, F.lit(3)) == 0, "2018-01-01").alias("effective_date"))
+
+
+LAW_PAGES_SQL = """law_pages AS (
+  SELECT item_id AS i, item_id % 6 AS kind, trim(regexp_replace(text, '[^a-zA-Z ]', '', 'g')) AS x, CASE item_id % 5 WHEN 0 THEN 'LINK/1' WHEN 1 THEN '' END AS link_law, CASE WHEN item_id % 3 = 0 THEN '2018-01-01' END AS link_date FROM benchmark
+), meta AS (
+  SELECT i, link_law, link_date, CASE WHEN kind < 2 THEN 'Luật & số ' || i WHEN kind < 5 THEN 'Tên ' || i END AS title, CASE WHEN kind < 2 THEN '59/2020/QH14' WHEN kind < 5 THEN '67/VBHN-VPQH' END AS law,
+         CASE WHEN kind < 5 THEN '2019-06-' || lpad(CAST(i % 28 + 1 AS VARCHAR), 2, '0') END AS published, CASE WHEN kind < 2 THEN '2020-12-01' WHEN kind < 5 AND i % 4 > 0 THEN '2020-07-01' END AS effective FROM law_pages
+)"""

@@ -7,12 +7,16 @@ from functools import reduce
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions import pages
 from ..functions import text as t
-from ..functions.markup import clean_markup, extract_content
-from ..operators import audit, chunking, discovery, health, scraping
+from ..functions.markup import clean_markup
+from ..operators import audit, chunking, discovery, embedding, health, models, scraping
+from ..sinks import writers
+from ..sources import readers
 from ..streaming import links as streams
+from . import pipelines, prompts
 from . import settings as s
-from .derive import NOW, contracts, laws, links, read
+from .derive import NOW, contracts, law_pages, laws, links, read, records
 
 SIZES = chunking.Sizes(80, 160, 20)
 
@@ -31,11 +35,10 @@ def law_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Place of each document in its language by the number after the last ``__`` of its article id; no number counts as 0."""
-    key = F.concat_ws("__", "source", F.when(F.col("doc_id") % 7 == 0, F.lit("x")).otherwise((F.col("doc_id") * 7919 % 1009).cast("string")))
-    docs = read(spark, sf_dir, "documents").select("doc_id", key.alias("article_id"))
-    suffix = F.coalesce(F.element_at(F.split("article_id", "__"), -1).try_cast("int"), F.lit(0))
-    return docs.select("doc_id", "article_id", suffix.alias("sort_key"))
+    """Place of each article in its law by the number after the last ``__`` of its id; no number counts as 0."""
+    number = readers.article_number("article_id")
+    own = records(spark, sf_dir).select("law_id", "article_id").distinct()
+    return own.withColumn("place", F.row_number().over(Window.partitionBy("law_id").orderBy(number, "article_id")))
 
 
 def source_tier_override(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -43,12 +46,13 @@ def source_tier_override(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     first = docs.select("source", "doc_id", F.lit(1).alias("tier"), F.length("text").alias("chars"))
     second = docs.filter("lang = 'de'").select("source", "doc_id", F.lit(2).alias("tier"), (-F.length("text")).alias("chars"))
-    best = first.unionByName(second).groupBy("source", "doc_id").agg(F.max(F.struct("tier", "chars")).alias("b"))
-    return best.groupBy("source").agg(F.count_if(F.col("b.tier") == 1).alias("tier_1"), F.count_if(F.col("b.tier") == 2).alias("tier_2"), F.sum("b.chars").alias("chars"))
+    both = readers.override(first, second, "doc_id")
+    return both.groupBy("source").agg(F.count_if(F.col("tier") == 1).alias("tier_1"), F.count_if(F.col("tier") == 2).alias("tier_2"), F.sum("chars").alias("chars"))
 
 
 def reconstruct_text(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return laws(spark, sf_dir).select("doc_id", F.length("text").alias("chars"), F.floor(F.length("text") / 3500).cast("int").alias("pages"), F.md5("text").alias("digest"))
+    got = pipelines.law_documents(records(spark, sf_dir))
+    return got.select("law_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -56,12 +60,12 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    a = F.explode("articles").alias("a")
-    return _segments(spark, sf_dir).select("doc_id", a).select("doc_id", "a.ord", "a.number", F.md5("a.title").alias("title_md5"), "a.chars", t.tokens("a.text").alias("tokens"), F.md5("a.text").alias("text_md5"))
+    each = _segments(spark, sf_dir).select("doc_id", F.inline("articles"))
+    return each.select("doc_id", "ord", "number", F.md5("title").alias("title_md5"), "chars", t.tokens("text").alias("tokens"), F.md5("text").alias("text_md5"))
 
 
 def chapter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).select("doc_id", F.explode("articles").alias("a")).select("doc_id", "a.number", "a.chapter")
+    return _segments(spark, sf_dir).select("doc_id", F.inline("articles")).select("doc_id", "number", "chapter")
 
 
 def merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,9 +85,10 @@ def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_overlap_lag(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Last characters of the line before, within a document."""
+    """Last sentences of the line before, within a document."""
     lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("ord", "line"))
-    return lines.select("doc_id", "ord", F.md5(F.right(F.lag("line").over(Window.partitionBy("doc_id").orderBy("ord")), F.lit(40))).alias("overlap_md5"))
+    before = lines.select("doc_id", "ord", F.lag("line").over(Window.partitionBy("doc_id").orderBy("ord")).alias("before"))
+    return before.select("doc_id", "ord", F.md5(chunking.sentence_suffix(F.col("before"), 40)).alias("overlap_md5"))
 
 
 def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -98,9 +103,9 @@ def document_prefix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def chunk_nested_projection(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
-    meta = F.struct(F.col("source").alias("law_id"), t.tokens("text").alias("estimated_tokens"), (F.col("doc_id") > 0).alias("has_overlap"))
-    return d.select("doc_id", meta.alias("metadata")).select("doc_id", F.to_json("metadata").alias("metadata_json"))
+    """Nested metadata of each chunk of short laws, as JSON."""
+    own = chunking.chunks(laws(spark, sf_dir), ["doc_id"], "name", chunking.Sizes(1, 1_000_000, 1))
+    return own.select("doc_id", "position", F.to_json("metadata").alias("metadata_json"))
 
 
 # --------------------------------------------------------------------- texts
@@ -119,8 +124,10 @@ def clean_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clean_fields(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pages as plain text: entities, tags and control characters."""
-    return read(spark, sf_dir, "pages").select("page_id", clean_markup("html").alias("text")).select("page_id", F.length("text").alias("chars"), F.md5("text").alias("digest"))
+    """Fields as plain text: entities, tags, blanks, line ends and control characters."""
+    x = F.regexp_replace("text", "[^a-zA-Z ]", "")
+    field = F.concat(x, F.lit("<br/>&amp;amp;\t tail \r\n\r\n\r\n\r\n\x01end"))
+    return read(spark, sf_dir, "benchmark").select("item_id", clean_markup(field).alias("text"))
 
 
 def validate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,7 +136,7 @@ def validate_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def safe_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.safe_name(F.left("text", F.lit(60)))).alias("name_md5"))
+    return read(spark, sf_dir, "documents").select("doc_id", F.md5(t.safe_name("text")).alias("name_md5"))
 
 
 # ------------------------------------------------------------------ discovery
@@ -202,7 +209,8 @@ def mark_processed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The streaming deduplication over a finished table."""
-    return streams.first_seen(links(spark, sf_dir).withColumnRenamed("link", "url"), s.REFRESH_DAYS).select("dedup_key")
+    own = links(spark, sf_dir).withColumnRenamed("link", "url")
+    return streams.first_seen(own, s.REFRESH_DAYS).select("dedup_key", F.date_format("discovered_at", "yyyy-MM-dd").alias("day"))
 
 
 def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -231,7 +239,9 @@ def unmatched_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def law_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _grouped(spark, sf_dir).filter("law is not null").groupBy("law").agg(F.count(F.lit(1)).alias("urls"), F.min("ord").alias("first_ord"), F.count_distinct("source_domain").alias("domains"))
+    """Links of each law, as found: how many, and the first and the last of the list."""
+    own = scraping.grouped_links(_grouped(spark, sf_dir).filter("law is not null"), ["url", "title", "source_domain"])
+    return own.select("law", F.size("urls").alias("n"), F.element_at("urls", 1)["url"].alias("first_url"), F.element_at("urls", -1)["url"].alias("last_url"))
 
 
 def priority_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -242,7 +252,7 @@ def priority_rule_match(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def priority_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = _grouped(spark, sf_dir)
-    return reduce(DataFrame.unionByName, [scraping.rule_chain(own.filter(F.col("law") == law), law, rules, s.SOURCES) for law, rules in s.RULES.items()]).select("law", "rule", "type", "ord", "law_id")
+    return scraping.rule_chains(own, s.RULES, s.SOURCES).select("law", "rule", "place", "type", "ord", "law_id")
 
 
 def auto_prioritize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -255,14 +265,78 @@ def first_success(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scraping.first_success(own)
 
 
+def fallback_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Candidates of each law in the order in which they are tried, and the one that is accepted."""
+    own = _grouped(spark, sf_dir).filter("law is not null").filter(~F.contains(t.text("law_id"), F.lit("QH15")))
+    chain = pipelines.priority_chains(own.withColumn("law_id", F.when(~F.contains("law_id", F.lit("QH12")), F.col("law_id"))))
+    outcome = scraping.first_success(chain.withColumn("success", F.col("type") != "VBHN"))
+    return outcome.select("law", "success", "fallback_level", "attempts", "error")
+
+
+def source_alias_rank(spark: SparkSession, sf_dir: str) -> DataFrame:
+    aliases = {"tvpl": "thuvienphapluat.vn", "congbao": "congbao.chinhphu.vn"}
+    return links(spark, sf_dir).select("ord", discovery.aliased_rank(t.domain("link"), ["congbao", "tvpl"], aliases).alias("rank"))
+
+
+def task_results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that several search tasks found, each given to the first of them."""
+    own = links(spark, sf_dir).withColumnRenamed("link", "url").withColumns({"task": (F.col("ord") % 10).cast("int"), "priority": (F.col("ord") % 2 + 1).cast("int")})
+    return discovery.first_of_tasks(own).select("dedup_key", "task", "ord")
+
+
+def discovery_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = links(spark, sf_dir).withColumnRenamed("link", "url")
+    return discovery.totals(own, discovery.best_of_batch(own))
+
+
+def updated_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    queue = links(spark, sf_dir).select("ord", F.col("link").alias("url"), (F.col("ord") % 5 == 0).alias("is_processed"), F.lit(None).cast("timestamp").alias("processed_at"))
+    return discovery.updated_rows(discovery.mark_processed(queue, queue.filter("ord % 3 = 0").select("url"), _now()))
+
+
+def content_hashes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links(spark, sf_dir).withColumn("gone", F.lit(None).cast("string")).select("ord", discovery.content_hash("title", "gone", "snippet").alias("hash"))
+
+
+def output_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = links(spark, sf_dir).select("ord", F.coalesce(t.present("title"), F.lit("Luật Nhà ở")).alias("law"))
+    return own.select("ord", writers.file_name("law", {"Luật Nhà ở": "luat_nha_o.json"}).alias("file"))
+
+
+def heading_listing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Headings in the first 2,000 characters of each law."""
+    return chunking.headings(laws(spark, sf_dir), ["doc_id"]).filter("kind in ('article', 'chapter')").select("doc_id", "kind", "place", F.md5("heading").alias("heading_md5"))
+
+
+def document_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split(t.text("text"), "\n")).alias("line"))
+    own = lines.select("doc_id", t.tokens("line").alias("tokens"), F.startswith("line", F.lit("T")).alias("flag"))
+    return chunking.document_log(own, ["doc_id"], "tokens", "flag", chunking.Sizes(20, 100))
+
+
+def embedding_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Offline embeddings of texts: dimensions, and the length of each vector, one or (without words) zero."""
+    got = embedding.embedded(read(spark, sf_dir, "benchmark").select("item_id", "text"))
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0).cast("double"), lambda a, x: a + x * x))
+    return got.select("item_id", F.size("embedding").alias("dimensions"), F.round(norm, 3).alias("length"))
+
+
 def html_title(spark: SparkSession, sf_dir: str) -> DataFrame:
-    title = F.coalesce(t.found("html", r"(?is)<title[^>]*>(.*?)</title>"), t.found("html", r"(?is)<h1[^>]*>(.*?)</h1>"))
-    return read(spark, sf_dir, "pages").select("page_id", title.alias("title"))
+    return read(spark, sf_dir, "pages").select("page_id", pages.document_title("html").alias("title"))
 
 
 def html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    got = read(spark, sf_dir, "pages").select("page_id", extract_content("content1", "<article>")("html").alias("text"))
-    return got.select("page_id", F.length("text").alias("chars"), t.words("text").alias("words"), F.md5("text").alias("digest"))
+    """Content of pages of two sites, by their readers."""
+    return models.page_text(law_pages(spark, sf_dir)).select("page_id", "content")
+
+
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = pages.with_metadata(law_pages(spark, sf_dir))
+    return got.select("page_id", "page_title", "page_law_id", "published_at", "page_effective_date")
+
+
+def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pages.filled_in(pages.with_metadata(law_pages(spark, sf_dir))).select("page_id", "law_id", "effective_date")
 
 
 def scraped_content(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,8 +345,7 @@ def scraped_content(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = first_success(spark, sf_dir)
-    return found.agg(F.count_if("success").alias("success_count"), F.count_if(~F.col("success")).alias("fail_count"), F.count(F.lit(1)).alias("group_count"))
+    return scraping.summary(first_success(spark, sf_dir))
 
 
 # ---------------------------------------------------------------------- audit
@@ -285,7 +358,10 @@ def _contract_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def domain_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return audit.routed(_contract_texts(spark, sf_dir)).select("conv_id", "domain", F.size("clauses").alias("n_clauses"), "error")
+    """Contracts, some of them blank."""
+    text = F.when(F.pmod("conv_id", F.lit(50)) == 7, F.lit(" \n ")).otherwise(F.col("text"))
+    own = _contract_texts(spark, sf_dir).withColumn("text", text)
+    return audit.routed(own).select("conv_id", "domain", F.size("clauses").alias("n_clauses"), "error")
 
 
 def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -307,6 +383,30 @@ def context_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _sections(spark, sf_dir).select("conv_id", "position", F.md5("section").alias("section_md5"))
 
 
+def whole_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return audit.whole_context(_sections(spark, sf_dir), ["conv_id"]).select("conv_id", F.md5("context").alias("context_md5"))
+
+
+def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole context cut into its sections again."""
+    own = audit.whole_context(_sections(spark, sf_dir), ["conv_id"])
+    return own.select("conv_id", F.posexplode(audit.section_texts("context")).alias("pos", "section")).select("conv_id", "pos", F.md5("section").alias("section_md5"))
+
+
+def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fields and clauses in made-up answers of a model, some of which can't be read."""
+    kind = F.pmod(F.col("conv_id"), F.lit(4))
+    domain = F.when(kind == 0, '{"domain": "Lao động", "reason": "r"}').when(kind == 1, '{"reason": "r"}').when(kind == 2, "no JSON").otherwise('{"domain": null}')
+    clauses = F.when(kind == 0, '{"clauses": ["a", "b"]}').when(kind == 1, '{"clauses": []}').when(kind == 2, "[broken").otherwise("{}")
+    own = contracts(spark, sf_dir).select("conv_id", "position", domain.alias("d"), clauses.alias("c"))
+    return own.select("conv_id", "position", audit.parsed_domain("d").alias("domain"), F.size(F.coalesce(audit.parsed_clauses("c"), F.array().cast("array<string>"))).alias("n_clauses"))
+
+
+def prompt_filling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own = contracts(spark, sf_dir).select("conv_id", "position", prompts.filled("Clause {clause} under {legal_context}: {clause}", clause="text", legal_context=F.lit("{clause}")).alias("prompt"))
+    return own.select("conv_id", "position", F.md5("prompt").alias("prompt_md5"))
+
+
 def positional_context_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = contracts(spark, sf_dir).select("conv_id", "position")
     got = audit.context_for_clauses(own, _sections(spark, sf_dir), ["conv_id"])
@@ -325,8 +425,10 @@ def finding_required_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Clauses that fail, that have no finding, and that have several."""
     kind = F.pmod(F.col("conv_id") * 3 + F.col("position"), F.lit(4))
-    rows = contracts(spark, sf_dir).select("conv_id", (kind == 0).alias("failed"), F.when(kind == 1, "").when(kind > 1, "Luật 1").alias("reference_law"))
+    laws_ = F.when(kind == 1, F.array(F.lit(""), F.lit("Luật 1"), F.lit("Luật 2"))).when(kind == 2, F.array(F.lit("Luật 1")))
+    rows = contracts(spark, sf_dir).select("conv_id", "position", (kind == 0).alias("failed"), F.explode_outer(laws_).alias("reference_law"))
     return audit.judged(rows, ["conv_id"])
 
 
@@ -336,7 +438,7 @@ def confidence_score(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def template_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = contracts(spark, sf_dir)
-    finding = F.struct(F.col("position"), F.left("text", F.lit(200)).alias("clause"), F.lit("v").alias("violation"), F.when(F.col("position") % 2 == 0, "L").otherwise("").alias("reference_law"), F.lit("s").alias("suggested_fix"))
+    finding = F.struct(F.col("position"), F.col("text").alias("clause"), F.lit("v").alias("violation"), F.when(F.col("position") % 2 == 0, "L").otherwise("").alias("reference_law"), F.lit("s").alias("suggested_fix"))
     own = c.groupBy("conv_id").agg(F.count(F.lit(1)).alias("n"), F.sort_array(F.collect_list(F.when(F.col("role") == "assistant", finding))).alias("found"))
     scored = own.join(_judged(spark, sf_dir).select("conv_id", "confidence", "error"), "conv_id")
     text = audit.report(F.lit("Dân sự"), F.col("confidence"), F.col("n"), F.col("found"), F.col("error"), "2026-01-15 00:00 UTC")
@@ -360,7 +462,14 @@ def label_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def vector_collections(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "embeddings").groupBy("label").agg(F.count(F.lit(1)).alias("points"), F.max(F.size("embedding")).alias("dimensions"))
+    return health.collections(read(spark, sf_dir, "embeddings"), "label", "embedding")
+
+
+def graph_health(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Suppliers and parts as nodes, lines as edges."""
+    nodes = read(spark, sf_dir, "supplier").select(F.concat(F.lit("s"), F.col("s_suppkey").cast("string")).alias("id"), F.lit("supplier").alias("label"))
+    nodes = nodes.unionByName(read(spark, sf_dir, "part").select(F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("id"), F.lit("part").alias("label")))
+    return health.graph(nodes, read(spark, sf_dir, "lineitem"))
 
 
 def queries() -> dict:
@@ -370,7 +479,8 @@ def queries() -> dict:
             law_stats, article_sort, source_tier_override, reconstruct_text, article_segments, chapter_asof, merge_short, pack_clauses, chunk_pipeline, chunk_overlap_lag, chunk_ids,
             document_prefix, chunk_nested_projection, fold_text, text_counts, clean_lines, clean_fields, validate_content, safe_names, url_domain, url_dedup_key, allowlist_filter,
             denylist_filter, name_match_filter, law_id_extract, date_extract, task_plan, found_links, batch_dedup, history_antijoin, history_diagnostics, mark_processed, stream_dedup, event_windows,
-            canonical_law_match, unmatched_links, law_groups, priority_rule_match, priority_chain, auto_prioritize, first_success, html_title, html_extract, scraped_content, run_summary,
+            updated_count, discovery_totals, task_results, content_hashes, source_alias_rank, output_files, heading_listing, document_log, embedding_norms, fallback_chain, page_metadata, metadata_backfill,
+            whole_context, section_split, parsed_answers, prompt_filling, graph_health, canonical_law_match, unmatched_links, law_groups, priority_rule_match, priority_chain, auto_prioritize, first_success, html_title, html_extract, scraped_content, run_summary,
             domain_classify, clause_split, vector_topk, context_dedup, positional_context_join, finding_required_keys, confidence_score, template_report, catalog_counts, overall_health,
             label_histogram, vector_collections,
         )

@@ -10,10 +10,12 @@ from functools import reduce
 from xml.etree import ElementTree
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from ..functions import text as t
+
 RECORD = "law_id string, article_id string, title string, text string"
 LINK = "url string, title string, source_domain string, search_query string, discovered_at string, snippet string, is_processed boolean, query_id string, law_id string, effective_date string, processed_at string"
 
@@ -23,6 +25,11 @@ def corpus(spark: SparkSession, *paths: str, format: str = "parquet") -> DataFra
     return reduce(DataFrame.unionByName, [spark.read.schema(RECORD).format(format).load(p) for p in paths])
 
 
+def article_number(article_id: t.Text) -> Column:
+    """Number after the last ``__`` of an article's id; 0 without one."""
+    return F.coalesce(F.element_at(F.split(t.col(article_id), "__"), -1).try_cast("int"), F.lit(0))
+
+
 def select_laws(records: DataFrame, laws: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Records of the laws asked for (``law_id``, ``law_name``), and the laws that have none."""
     return records.join(laws, "law_id"), laws.join(records, "law_id", "left_anti")
@@ -51,7 +58,10 @@ def queue(spark: SparkSession, path: str) -> DataFrame:
 
 
 def history(spark: SparkSession, glob: str, current: str | None = None) -> DataFrame:
-    """Links of all earlier runs but the current file; corrupt files and lines are skipped."""
+    """Links of all earlier runs but the current file; corrupt files and lines are skipped.  Without any file, none."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(glob)
+    if not target.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).globStatus(target):
+        return spark.createDataFrame([], LINK)
     read = spark.read.schema(LINK).option("mode", "DROPMALFORMED").option("ignoreCorruptFiles", "true").json(glob)
     return read if current is None else read.filter(F.col("_metadata.file_name") != os.path.basename(current))
 
