@@ -135,7 +135,12 @@ def segments(turns: DataFrame, template: Template = CHAT) -> DataFrame:
 
 
 def digests(formatted: DataFrame, template: Template = CHAT) -> DataFrame:
-    """What the segments of each conversation say when they are read back."""
+    """What the segments of each conversation say when they are read back.
+
+    A row for each conversation, that without an id included; texts that were
+    null or empty are empty turns, and turns that repeat are as many turns.  Of
+    an empty table there is nothing.
+    """
     schema = "conv_id long, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long, valid boolean"
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

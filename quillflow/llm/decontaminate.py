@@ -11,9 +11,11 @@ joins must then pass, in this order, the positional bound (the window can't
 begin before the text), the length bound (nor end after it) and a comparison of
 the words themselves, so hashes decide nothing.
 
-The windows are broadcast if a count proves that they are few
-(``BROADCAST_WINDOWS``); otherwise the same join is shuffled, with the words
-around each shingle in place of the whole text.
+The windows are broadcast if counts prove that they are few and that their words
+and items are small (``BROADCAST_WINDOWS``, ``BROADCAST_BYTES``); otherwise the same join is shuffled, with the words
+around each shingle in place of the whole text, after places whose shingle is no
+prefix went by a broadcast of the prefixes' keys alone, if a count proves that
+those fit (``BROADCAST_KEYS``).
 """
 
 from __future__ import annotations
@@ -27,6 +29,9 @@ from .tables import carried, row_key, staged
 
 WINDOW = 8
 BROADCAST_WINDOWS = 100_000
+BROADCAST_BYTES = 32 << 20
+#: Of 8 bytes each.
+BROADCAST_KEYS = 4_000_000
 MIN_ITEMS = 2
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -83,7 +88,9 @@ def rarest(found: DataFrame, texts: DataFrame, singles: bool, broadcast: bool, w
 def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadcast_windows: int = BROADCAST_WINDOWS) -> DataFrame:
     """One row for each different row of ``docs``: its key, ``doc_id``, ``n_words``, ``copies`` (how often it stands), ``hits`` (start and size of the windows in it) and ``items``."""
     found = staged(windows(items, window), "windows")
-    few = found.count() <= broadcast_windows
+    size = F.sum(F.octet_length(F.array_join("words", " ")) + 16 * F.size("words") + F.octet_length(F.array_join(F.col("items").cast("array<string>"), " ")) + 16 * F.size("items"))
+    n, total = found.agg(F.count(F.lit(1)), size).first()
+    few = n <= broadcast_windows and (total or 0) <= BROADCAST_BYTES
     singles = not found.filter("size = 1").isEmpty()
     texts = docs.select(*row_key(), F.col("doc_id").cast("long").alias("doc_id"), words_of(F.col("text").cast("string")).alias("text_words"))
     prefixes = staged(rarest(found, texts, singles, few, window), "prefixes")
@@ -99,7 +106,9 @@ def occurrences(docs: DataFrame, items: DataFrame, window: int = WINDOW, broadca
         rows = joined.select(*base, "size", "items", begin.alias("start"))
     else:
         low = F.greatest(F.col("pos") - window, F.lit(0))
-        near = each.filter("word <> ''").select(*base, "pos", "shingle", low.alias("low"), F.slice("text_words", low + 1, 2 * window + 1).alias("near"))
+        keys = staged(prefixes.select("shingle").distinct(), "prefix-keys")
+        held = each.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, "shingle", "left_semi")
+        near = held.filter("word <> ''").select(*base, "pos", "shingle", low.alias("low"), F.slice("text_words", low + 1, 2 * window + 1).alias("near"))
         same = F.slice("near", F.greatest(begin - F.col("low"), F.lit(0)) + 1, F.col("size")) == F.col("words")
         joined = near.join(prefixes, "shingle").filter(fits & same).select(*base, "size", "items", begin.alias("start"))
         own = texts.select("key_id", "key_text", "doc_id", F.size("text_words").alias("n"))
@@ -141,12 +150,18 @@ def contamination(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_i
 
 
 def decontaminated(docs: DataFrame, items: DataFrame, window: int = WINDOW, min_items: int = MIN_ITEMS) -> DataFrame:
-    """``docs`` without the rows that are contaminated."""
+    """``docs`` without the rows that are contaminated.
+
+    Null and empty texts are clean, so their rows stay; rows that repeat stay or
+    go together.  Columns that clash with an operator's own are carried along
+    untouched.  Without items nothing goes; an empty table stays empty.
+    """
     bad = staged(contamination(docs, items, window, min_items).filter("contaminated").select("key_id", "key_text").distinct(), "contaminated")
     return carried(docs).drop("text").join(bad, ["key_id", "key_text"], "left_anti").select("row.*")
 
 
 def digests(docs: DataFrame, items: DataFrame) -> DataFrame:
+    """``contamination`` in numbers and a digest of the items; one row for each row of ``docs``, whatever its text."""
     found = contamination(docs, items)
     return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.concat_ws(",", "items"), 256).alias("items_sha256"), "contaminated")
 

@@ -263,5 +263,6 @@ def representatives(docs: DataFrame) -> DataFrame:
 
 
 def digests(docs: DataFrame) -> DataFrame:
+    """``near_duplicates`` with the fingerprint as 16 hexadecimal digits; one row for each row of ``docs``, null and empty texts included (all zeros)."""
     found = near_duplicates(docs)
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

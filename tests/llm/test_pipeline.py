@@ -51,3 +51,25 @@ def test_stages_keep_the_columns(spark):
         out = stage(spark, docs, DATA)
         assert out.columns == docs.columns, name
         assert "some text" in [r.text for r in out.collect()], name
+
+
+SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score double, spans string, row int"
+
+
+@pytest.mark.parametrize("name", [name for name, _ in corpus_pipeline.STAGES])
+def test_odd_tables(spark, name):
+    """Empty tables, long texts, repeated rows, and extra columns with the operators' own names."""
+    stage = dict(corpus_pipeline.STAGES)[name]
+    empty = spark.createDataFrame([], SCHEMA)
+    assert stage(spark, empty, DATA).collect() == []
+    passage = " ".join(f"passage{i}" for i in range(40))
+    rows = [(1, "long " * 50_000, "en", "s", 1, 0.5, "x", 7), (2, f"{passage} two", "en", "s", 2, None, None, None), (2, f"{passage} two", "en", "s", 2, None, None, None), (None, None, None, None, None, None, None, None), (3, "word " + "w" * 100_000, "de", "s", 3, 0.1, "y", 1)]
+    got = stage(spark, spark.createDataFrame(rows, SCHEMA), DATA).collect()
+    copies = sum(r.doc_id == 2 for r in got)
+    assert {r.doc_id for r in got} == {None, 1, 2, 3} and copies == (1 if name == "simhash near-dedup" else 2)
+    if name != "byte-level BPE":
+        by = {r.doc_id: r for r in got}
+        assert (by[3].score, by[3].spans, by[3].row) == (0.1, "y", 1) and by[None].text is None
+        assert by[2].text == ("" if name == "substring dedup" else f"{passage} two")
+    else:
+        assert all(r.intact for r in got)
