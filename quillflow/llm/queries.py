@@ -79,6 +79,6 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    from . import chat_format, decontaminate
+    from . import chat_format, decontaminate, substring_dedup
 
-    return {"op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat_format": chat_format.ORACLE_SQL}
+    return {"op3_substring_dedup": substring_dedup.ORACLE_SQL, "op4_decontaminate": decontaminate.ORACLE_SQL, "op9_chat_format": chat_format.ORACLE_SQL}

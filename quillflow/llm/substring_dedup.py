@@ -63,6 +63,8 @@ FAN_IN = 2
 #: Rows of a bucket of a run, about; rows from which on an anchor is salted over several.
 BUCKET_ROWS = 1 << 20
 HOT_ROWS = 50_000
+#: Parts of an anchor's candidates.
+SALTS = 16
 #: Hot anchors that are broadcast; more are joined.
 BROADCAST_HOT = 100_000
 
@@ -284,9 +286,9 @@ def _merged(rows: DataFrame) -> DataFrame:
 
 def verified(candidates: DataFrame, texts: DataFrame, window: int) -> DataFrame:
     """Marks of the candidates: spans whose windows, or some of them, stand more than once."""
-    known = candidates.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1")
+    known = candidates.groupBy("anchor").agg(F.count("*").alias("spans")).filter("spans > 1").select("anchor", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
     whole = candidates.filter("copies > 1").select("anchor", "span", F.lit((1 << 63) - 1).cast("long").alias("mask"))
-    single = hashed_windows(candidates.join(known, "anchor", "left_semi"), texts, window)
+    single = hashed_windows(candidates.withColumn("salt", F.pmod("span", F.lit(SALTS)).cast("int")).join(known, ["anchor", "salt"], "left_semi"), texts, window)
     counts = single.groupBy("h1", "h2").agg(F.sum("copies").alias("times")).filter("times > 1").select("h1", "h2")
     hits = single.filter("copies = 1").join(counts, ["h1", "h2"], "left_semi")
     return whole.unionByName(hits.groupBy("anchor", "span").agg(F.bit_or(F.expr("shiftleft(1L, i)")).alias("mask")))
@@ -411,3 +413,23 @@ def deduplicate(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR, bat
             yield pa.RecordBatch.from_arrays(columns, [f.name for f in schema.fields])
 
     return marked(docs, window, anchor, batches).select("text", "row", "spans").mapInArrow(run, schema)
+
+
+#: The same rows in DuckDB's SQL.
+ORACLE_SQL = r"""
+WITH d AS (
+  SELECT doc_id, row_number() OVER () AS rid, list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w FROM documents
+), win AS (
+  SELECT rid, s, md5(array_to_string(w[s : s + 34], ' ')) AS h FROM (SELECT rid, w, unnest(range(1, len(w) - 33)) AS s FROM d WHERE len(w) >= 35)
+), twice AS (
+  SELECT h FROM win GROUP BY h HAVING count(*) > 1
+), gone AS (
+  SELECT DISTINCT rid, unnest(range(s, s + 35)) AS p FROM win JOIN twice USING (h)
+), words AS (
+  SELECT rid, unnest(range(1, len(w) + 1)) AS p, unnest(w) AS word FROM d
+), kept AS (
+  SELECT rid, count(*) AS n, string_agg(word, ' ' ORDER BY p) AS text FROM words ANTI JOIN gone USING (rid, p) GROUP BY rid
+)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(kept.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept.text, '')) AS kept_sha256
+FROM d LEFT JOIN kept USING (rid)
+"""

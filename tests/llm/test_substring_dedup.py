@@ -42,7 +42,7 @@ def texts(seed):
     return out + [None, "", " ", "same " * 500, "one two"] + [out[0]] * 5 + ["a b " * 400]
 
 
-@pytest.mark.parametrize(("window", "anchor", "batches"), [(35, 12, 2), (35, 12, 9), (5, 2, 1), (3, 3, 2)])
+@pytest.mark.parametrize(("window", "anchor", "batches"), [(35, 12, 2), (35, 12, 4), (5, 2, 1), (3, 3, 2)])
 def test_against_brute_force(spark, window, anchor, batches):
     data = texts(window)
     docs = spark.createDataFrame([(t, i, "x") for i, t in enumerate(data)], "text string, doc_id long, lo string").repartition(6)
