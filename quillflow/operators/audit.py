@@ -232,7 +232,7 @@ def findings(answers: DataFrame, raw: str = "answer") -> DataFrame:
         text = lambda v: v if isinstance(v, str) else "" if v is None else json.dumps(v, ensure_ascii=False)
         return values.map(lambda v: [{k: text(x) for k, x in f.items()} for f in first_list(v) if isinstance(f, dict)])
 
-    each = answers.withColumn("_f", F.explode(parse(raw)))
+    each = answers.withColumn("_f", F.explode_outer(parse(raw))).filter("_f is not null")
     full = each.filter(F.size(F.array_except(F.array(*map(F.lit, REQUIRED)), F.map_keys("_f"))) == 0)
     return full.withColumn("finding", F.struct(*(F.col("_f")[k].alias(k) for k in REQUIRED))).drop("_f")
 

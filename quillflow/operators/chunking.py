@@ -157,8 +157,8 @@ def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: s
     low, high = sizes.chars(sizes.low), sizes.chars(sizes.high)
     read = articles(docs, text).select(*keys, "articles")
     grouped = read.withColumn("_group", merge_short(F.transform("articles", lambda a: a["chars"]), low))
-    # ``inline``, as the fields of an exploded column would be computed one by one.
-    rows = grouped.select(*keys, F.inline(F.zip_with("articles", "_group", lambda a, g: record(_g=g, a=a))))
+    # Outer, as there is always an article: for others Spark would infer a filter that computes them all once more.
+    rows = grouped.select(*keys, F.inline_outer(F.zip_with("articles", "_group", lambda a, g: record(_g=g, a=a))))
     each = rows.repartition(*keys).groupBy(*keys, "_g").agg(F.array_sort(F.collect_list("a")).alias("_own"))
     joined = F.array_join(F.transform("_own", lambda a: a["text"]), "\n\n")
     first = F.get("_own", F.lit(0))
@@ -175,7 +175,7 @@ def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: s
 
     chunks = F.when(F.length(joined) > high, F.flatten(F.transform("_own", parts_of)).cast(shape)).otherwise(together.cast(shape))
     # Groups of a document are in order in their row; the position within the document follows from the group and the place in it.
-    made = each.select(*keys, "_g", F.posexplode(chunks).alias("_i", "c"))
+    made = each.select(*keys, "_g", F.posexplode_outer(chunks).alias("_i", "c"))
     from pyspark.sql import Window
 
     position = F.row_number().over(Window.partitionBy(*keys).orderBy("_g", "_i")) - 1
@@ -234,7 +234,7 @@ def headings(docs: DataFrame, keys: list[str], text: str = "text", chars: int =
         pairs = F.zip_with(found, F.slice(between, F.lit(1), F.size(found)), lambda m, b: record(m=m, b=b))
         return F.aggregate(pairs, start, step, lambda acc: acc["out"])
 
-    return own.select(*keys, F.inline(F.concat(*(listed(k, p) for k, p in kinds.items()))))
+    return own.select(*keys, F.inline_outer(F.concat(*(listed(k, p) for k, p in kinds.items())))).filter("kind is not null")
 
 
 def document_log(chunked: DataFrame, keys: list[str], tokens: str, overlap: str, sizes: Sizes = Sizes()) -> DataFrame:

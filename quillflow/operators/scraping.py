@@ -142,7 +142,7 @@ def rule_chains(links: DataFrame, rules: dict[str, list[dict]], sources: list[st
     fits = [reduce(Column.__or__, [(F.col("law") == law) & matches_rule(own[k]) for law, own in rules.items() if len(own) > k]) for k in range(most)]
     matched = F.filter(F.array(*(F.when(fit, k) for k, fit in enumerate(fits))), lambda k: k.isNotNull())
     row = F.struct(*columns, by_rule(lambda rule: F.lit(rule["type"])).alias("type"), "rule")
-    each = links.select(*columns).withColumn("rule", F.explode(matched))
+    each = links.select(*columns).withColumn("rule", F.explode_outer(matched)).filter("rule is not null")
     each = each.select("law", "rule", "url", "law_id", row.alias("row"), by_rule(lambda rule: _order(rule, sources)).alias("order"), F.struct(source_rank("source_domain", sources).cast("int").alias("rank"), "url", "ord").alias("source"))
 
     def leading(of: list[str], order: str) -> DataFrame:
@@ -166,7 +166,7 @@ def rule_chains(links: DataFrame, rules: dict[str, list[dict]], sources: list[st
         both = both.withColumn("b", first_free("same", k, lambda c: c["law_id"] == F.col("f.law_id")))
         both = both.withColumn(f"w{k}", F.coalesce("b", "f"))
     won = F.filter(F.array(*(f"w{k}" for k in range(most))), lambda w: w.isNotNull())
-    return both.select(F.posexplode(won).alias("place", "w")).select("w.*", "place")
+    return both.select(F.posexplode_outer(won).alias("place", "w")).filter("w is not null").select("w.*", "place")
 
 
 def heuristic_chain(links: DataFrame, sources: list[str]) -> DataFrame:

@@ -131,6 +131,46 @@ judged AS (SELECT conv_id, clauses, failed, findings, CASE WHEN failed > clauses
   CASE WHEN failed > clauses // 2 THEN failed || '/' || clauses || ' clauses failed' END AS error FROM j)"""
 
 
+def _sentences(x: str) -> str:
+    return rf"list_filter(list_transform(string_split(regexp_replace({x}, '([.!?]){WHITE}+', '\1' || chr(1), 'g'), chr(1)), lambda q: {strip('q')}), lambda q: q <> '')"
+
+
+def _chunks(low: int, high: int, budget: int) -> str:
+    """Articles, short ones merged up to ``low`` characters, long groups cut into parts of ``high``, and overlaps of ``budget``."""
+    return rf"""
+        WITH RECURSIVE {LAWS_SQL}, {_PIECES},
+        art AS (SELECT doc_id, ord, {strip('piece')} AS txt, CAST(regexp_extract({_HEAD}, 'Điều\s+(\d+)', 1) AS INTEGER) AS number, {strip(rf"regexp_extract({strip(_HEAD)}, 'Điều\s+\d+[.:]\s*(.*)', 1)")} AS title, 'Chương ' || (ord // 10 + 1) || '. Phần' AS chapter FROM a),
+        n AS (SELECT doc_id, list(length(txt) ORDER BY ord) AS n FROM art GROUP BY doc_id),
+        r AS (
+          SELECT doc_id, 0 AS i, 0 AS grp, 0 AS nxt, false AS op, CAST(0 AS BIGINT) AS total, n FROM n
+          UNION ALL
+          SELECT doc_id, i + 1, g, CASE WHEN closes THEN g + 1 ELSE g END, NOT closes, CASE WHEN closes THEN 0 ELSE total + n[i + 1] END, n
+          FROM (SELECT *, CASE WHEN n[i + 1] >= {low} AND op THEN nxt + 1 ELSE nxt END AS g, n[i + 1] >= {low} OR total + n[i + 1] >= {low} AS closes FROM r WHERE i < len(n))
+        ), l AS (SELECT doc_id, op, nxt FROM r WHERE i = len(n)),
+        grp AS (SELECT r.doc_id, r.i - 1 AS ord, CASE WHEN l.op AND l.nxt > 0 THEN least(r.grp, l.nxt - 1) ELSE r.grp END AS grp FROM r JOIN l USING (doc_id) WHERE r.i > 0),
+        whole AS (SELECT doc_id, grp, min(ord) AS ord, string_agg(txt, chr(10) || chr(10) ORDER BY ord) AS txt, list(number ORDER BY ord) AS nums, CASE WHEN count(*) = 1 THEN min(title) ELSE '' END AS title, arg_min(chapter, ord) AS chapter FROM art JOIN grp USING (doc_id, ord) GROUP BY doc_id, grp),
+        cut AS (SELECT art.*, w.grp, string_split(regexp_replace(art.txt, '(?m)^({WHITE}*\d+\.{WHITE}+)', chr(1) || '\1', 'g'), chr(1)) AS c FROM art JOIN grp USING (doc_id, ord) JOIN whole w ON w.doc_id = art.doc_id AND w.grp = grp.grp WHERE length(w.txt) > {high}),
+        cl AS (SELECT *, {strip('c[1]')} AS head, list_transform(c[2:], lambda x: {strip('x')}) AS cs FROM cut),
+        k AS (
+          SELECT doc_id, ord, 0 AS i, 0 AS part, 0 AS items, length(head) AS total, list_transform(cs, lambda x: length(x)) AS n, length(head) AS h FROM cl WHERE len(c) > 2
+          UNION ALL
+          SELECT doc_id, ord, i + 1, CASE WHEN f THEN part + 1 ELSE part END, CASE WHEN f THEN 1 ELSE items + 1 END, CASE WHEN f THEN h + n[i + 1] ELSE total + n[i + 1] END, n, h FROM (SELECT *, total + n[i + 1] > {high} AND items > 0 AS f FROM k WHERE i < len(n))
+        ), parts AS (SELECT k.doc_id, k.ord, k.part, {strip("any_value(head) || chr(10) || string_agg(cs[k.i], chr(10) ORDER BY k.i)")} AS txt, any_value(cl.grp) AS grp, any_value(number) AS number, any_value(title) AS title, any_value(chapter) AS chapter
+          FROM k JOIN cl USING (doc_id, ord) WHERE k.i > 0 GROUP BY k.doc_id, k.ord, k.part),
+        every AS (
+          SELECT doc_id, grp, ord, 0 AS part, 0 AS shown, txt, nums, title, chapter FROM whole WHERE length(txt) <= {high}
+          UNION ALL SELECT doc_id, grp, ord, 0, 0, txt, [number], title, chapter FROM cl WHERE len(c) <= 2
+          UNION ALL SELECT doc_id, grp, ord, part, CASE WHEN max(part) OVER (PARTITION BY doc_id, ord) > 0 THEN part + 1 ELSE 0 END, txt, [number], title, chapter FROM parts
+        ), placed AS (SELECT *, row_number() OVER w - 1 AS position, lag(txt) OVER w AS before FROM every WINDOW w AS (PARTITION BY doc_id ORDER BY grp, ord, part)),
+        s AS (SELECT doc_id, position, unnest(range(len(q))) AS i, unnest(q) AS y FROM (SELECT doc_id, position, {_sentences('before')} AS q FROM placed WHERE length(before) > {budget})),
+        f AS (SELECT *, sum(length(y)) OVER (PARTITION BY doc_id, position ORDER BY i DESC) AS upto, max(i) OVER (PARTITION BY doc_id, position) AS last FROM s),
+        o AS (SELECT doc_id, position, string_agg(y, ' ' ORDER BY i) AS tail FROM f WHERE upto <= {budget} OR i = last GROUP BY doc_id, position),
+        made AS (SELECT p.*, CASE WHEN length(before) <= {budget} THEN before ELSE coalesce(tail, right(before, {budget})) END AS lap FROM placed p LEFT JOIN o ON o.doc_id = p.doc_id AND o.position = p.position),
+        done AS (SELECT *, CASE WHEN lap <> '' THEN '[...overlap...]' || chr(10) || lap || chr(10) || '[...end overlap...]' || chr(10) || chr(10) || txt ELSE txt END AS text FROM made)
+        SELECT doc_id, CAST(position AS INTEGER) AS position, 'ldn2020_dieu_' || printf('%03d', nums[1]) || CASE WHEN len(nums) > 1 THEN '_to_' || printf('%03d', nums[-1]) ELSE '' END || CASE WHEN shown > 0 THEN '_p' || shown ELSE '' END AS chunk_id,
+               nums[1] AS article_number, title AS article_title, chapter, CAST(floor(length(text) / 3.5) AS INTEGER) AS estimated_tokens, coalesce(lap <> '', false) AS has_overlap, md5(text) AS text_md5 FROM done"""
+
+
 def oracle_sql() -> dict[str, str]:
     now = f"TIMESTAMP '{NOW}'"
     recent = f"TRY_CAST(discovered_at AS TIMESTAMP) >= {now} - INTERVAL {s.REFRESH_DAYS} DAY"
@@ -174,10 +214,11 @@ def oracle_sql() -> dict[str, str]:
               SELECT doc_id, i + 1, CASE WHEN f THEN part + 1 ELSE part END, CASE WHEN f THEN 1 ELSE items + 1 END, CASE WHEN f THEN 25 + n[i + 1] ELSE total + n[i + 1] END, n
               FROM (SELECT *, total + n[i + 1] > 300 AND items > 0 AS f FROM r WHERE i < len(n))
             ) SELECT doc_id, i - 1 AS ord, part FROM r WHERE i > 0""",
+        "chunk_pipeline": _chunks(280, 560, 70),
         "chunk_overlap_lag": rf"""
             WITH l AS (SELECT doc_id, unnest(range(len(string_split(text, chr(10))))) AS ord, unnest(string_split(text, chr(10))) AS line FROM documents WHERE text IS NOT NULL),
             b AS (SELECT doc_id, ord, lag(line) OVER (PARTITION BY doc_id ORDER BY ord) AS x FROM l),
-            s AS (SELECT doc_id, ord, unnest(range(len(p))) AS i, unnest(p) AS y FROM (SELECT doc_id, ord, list_filter(list_transform(string_split(regexp_replace(x, '([.!?]){WHITE}+', '\1' || chr(1), 'g'), chr(1)), lambda q: {strip('q')}), lambda q: q <> '') AS p FROM b WHERE length(x) > 40)),
+            s AS (SELECT doc_id, ord, unnest(range(len(p))) AS i, unnest(p) AS y FROM (SELECT doc_id, ord, {_sentences('x')} AS p FROM b WHERE length(x) > 40)),
             c AS (SELECT *, sum(length(y)) OVER (PARTITION BY doc_id, ord ORDER BY i DESC) AS upto, max(i) OVER (PARTITION BY doc_id, ord) AS last FROM s),
             j AS (SELECT doc_id, ord, string_agg(y, ' ' ORDER BY i) AS t FROM c WHERE upto <= 40 OR i = last GROUP BY doc_id, ord)
             SELECT b.doc_id, CAST(b.ord AS INTEGER) AS ord, md5(CASE WHEN length(x) <= 40 THEN x ELSE coalesce(t, right(x, 40)) END) AS overlap_md5 FROM b LEFT JOIN j ON b.doc_id = j.doc_id AND b.ord = j.ord""",
@@ -187,7 +228,7 @@ def oracle_sql() -> dict[str, str]:
         "document_prefix": "SELECT doc_id, ['blds2015', 'lttm2010', 'ltm', 'lno2023', 'lkdbds', 'blld2019'][doc_id % 6 + 1] AS prefix FROM documents",
         "chunk_nested_projection": rf"""
             WITH {LAWS_SQL}, {_PIECES}, n AS (SELECT doc_id, ord, {strip('piece')} AS piece, {_HEAD} AS head, lag({strip('piece')}) OVER (PARTITION BY doc_id ORDER BY ord) AS before FROM a),
-            h AS (SELECT doc_id, ord, piece, CAST(regexp_extract(head, 'Điều\s+(\d+)', 1) AS INTEGER) AS number, {strip(r"regexp_extract(" + strip('head') + r", 'Điều\s+\d+[.:]\s*(.*)', 1)")} AS title, coalesce(list_filter(list_transform(string_split(regexp_replace(before, '([.!?]){WHITE}+', '\1' || chr(1), 'g'), chr(1)), lambda q: {strip('q')}), lambda q: q <> '')[-1], '') AS o FROM n)
+            h AS (SELECT doc_id, ord, piece, CAST(regexp_extract(head, 'Điều\s+(\d+)', 1) AS INTEGER) AS number, {strip(r"regexp_extract(" + strip('head') + r", 'Điều\s+\d+[.:]\s*(.*)', 1)")} AS title, coalesce({_sentences('before')}[-1], '') AS o FROM n)
             SELECT doc_id, CAST(ord AS INTEGER) AS position, CAST(to_json({{'law_id': doc_id, 'article_number': number, 'article_title': title, 'chapter': 'Chương ' || (ord // 10 + 1) || '. Phần', 'section': '',
                    'estimated_tokens': CAST(floor((length(piece) + CASE WHEN o <> '' THEN length(o) + length('[...overlap...].') + length('.[...end overlap...]..') ELSE 0 END) / 3.5) AS INTEGER), 'has_overlap': o <> ''}}) AS VARCHAR) AS metadata_json FROM h""",
         "fold_text": f"SELECT doc_id, md5({fold('text')}) AS digest FROM documents",

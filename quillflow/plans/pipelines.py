@@ -95,7 +95,7 @@ def audit_contracts(spark: SparkSession, contracts: DataFrame, retrieve: Callabl
         return models.asked(frame, prompt, make, failure="failure")
 
     routed = audit.routed(contracts, ask)
-    each = routed.filter("error is null").select("contract_id", "domain", F.posexplode("clauses").alias("p", "clause")).withColumn("position", F.col("p") + 1).drop("p")
+    each = routed.filter("error is null").select("contract_id", "domain", F.posexplode_outer("clauses").alias("p", "clause")).withColumn("position", F.col("p") + 1).drop("p")
     sections = audit.unique_context(retrieve(each).withColumn("result", F.left("result", F.lit(1000))), ["contract_id"])
     ready = audit.context_for_clauses(each, sections, ["contract_id"])
     answers = models.asked(ready, prompts.filled(prompts.JUDGE, clause="clause", legal_context="context"), make, pace=pace)

@@ -60,22 +60,22 @@ def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def article_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    each = _segments(spark, sf_dir).select("doc_id", F.inline("articles"))
+    each = _segments(spark, sf_dir).select("doc_id", F.inline_outer("articles"))
     return each.select("doc_id", "ord", "number", F.md5("title").alias("title_md5"), "chars", t.tokens("text").alias("tokens"), F.md5("text").alias("text_md5"))
 
 
 def chapter_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _segments(spark, sf_dir).select("doc_id", F.inline("articles")).select("doc_id", "number", "chapter")
+    return _segments(spark, sf_dir).select("doc_id", F.inline_outer("articles")).select("doc_id", "number", "chapter")
 
 
 def merge_short(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = laws(spark, sf_dir).select("doc_id", F.transform(F.split("text", "\n"), F.length).alias("n"))
-    return own.select("doc_id", F.posexplode(chunking.merge_short(F.col("n"), 200)).alias("ord", "group_no"))
+    return own.select("doc_id", F.posexplode_outer(chunking.merge_short(F.col("n"), 200)).alias("ord", "group_no"))
 
 
 def pack_clauses(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = laws(spark, sf_dir).select("doc_id", F.transform(F.split("text", "\n"), F.length).alias("n"))
-    return own.select("doc_id", F.posexplode(chunking.pack(F.col("n"), F.lit(25), 300)).alias("ord", "part"))
+    return own.select("doc_id", F.posexplode_outer(chunking.pack(F.col("n"), F.lit(25), 300)).alias("ord", "part"))
 
 
 def chunk_pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -365,7 +365,7 @@ def domain_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def clause_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = _contract_texts(spark, sf_dir).select("conv_id", F.posexplode(audit.clauses("text")).alias("pos", "clause"))
+    own = _contract_texts(spark, sf_dir).select("conv_id", F.posexplode_outer(audit.clauses("text")).alias("pos", "clause"))
     return own.select("conv_id", "pos", F.md5("clause").alias("clause_md5"))
 
 
