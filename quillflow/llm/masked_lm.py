@@ -43,7 +43,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLANKS, LOWER, Block, byte_hash, mix, row_of, text_blocks
-from .tables import dropped, staged
+from .tables import Bucketed, dropped, staged
 from .training import summed as summed_vectors
 
 CLASSES = 128
@@ -55,8 +55,10 @@ PRIOR = 20.0
 #: For words that no text of the corpus has.
 LETTER_COST = 3.3
 #: Learning rate of each pass over all words.
-PASSES = (0.1, 0.03)
+PASSES = (0.1,)
 BATCH = 4096
+#: The exponentials of as many classes add up to less than the largest float32.
+MOST_LOGIT = np.float32(80)
 #: Rows of a matrix product at a time: small enough for one thread, as the other cores have tasks of their own.
 STRIP = 64
 PACKED_BYTES = 2 << 20
@@ -385,30 +387,32 @@ class Network:
         return net
 
     def hidden(self, around: np.ndarray) -> np.ndarray:
-        total = self.bias + self.tables[0][around[0]]
+        total = np.take(self.tables[0], around[0], axis=0)
         for k in range(1, len(OFFSETS)):
-            total += self.tables[k][around[k]]
+            total += np.take(self.tables[k], around[k], axis=0)
+        total += self.bias
         return np.tanh(total, out=total)
 
-    def log_probabilities(self, around: np.ndarray, middle: np.ndarray) -> np.ndarray:
-        logits = _product(self.hidden(around), self.output)
+    def exponentials(self, h: np.ndarray) -> np.ndarray:
+        """Of the logits, each cut at a size that float32 holds."""
+        logits = _product(h, self.output)
         logits += self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        own = logits[np.arange(len(middle)), middle]
-        return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+        np.minimum(logits, MOST_LOGIT, out=logits)
+        return np.exp(logits, out=logits)
+
+    def log_probabilities(self, around: np.ndarray, middle: np.ndarray) -> np.ndarray:
+        e = self.exponentials(self.hidden(around))
+        return np.log(np.maximum(e[np.arange(len(middle)), middle], 1e-30)) - np.log(e.sum(axis=1))
 
     def learn(self, around: np.ndarray, middle: np.ndarray, rate: float) -> None:
         """One AdaGrad step on a batch of positions."""
         n = len(middle)
         h = self.hidden(around)
-        logits = _product(h, self.output)
-        logits += self.out_bias
-        logits -= logits.max(axis=1, keepdims=True)
-        p = np.exp(logits, out=logits)
-        p /= p.sum(axis=1, keepdims=True)
-        p[np.arange(n), middle] -= 1
-        p /= n
-        back = _product(p, np.ascontiguousarray(self.output.T)) * (1 - h * h)
+        p = self.exponentials(h)
+        p *= (1 / (n * p.sum(axis=1)))[:, None]
+        p[np.arange(n), middle] -= np.float32(1 / n)
+        back = _product(p, np.ascontiguousarray(self.output.T))
+        back *= 1 - h * h
         gradient = np.empty_like(self.vector)
         tables, bias, output, out_bias = np.split(gradient, np.cumsum([self.tables.size, HIDDEN, self.output.size]))
         tables = tables.reshape(self.tables.shape)
@@ -417,7 +421,7 @@ class Network:
             order = np.argsort(own, kind="stable")
             begin = np.flatnonzero(np.diff(own[order], prepend=np.uint8(CLASSES + 1)))
             tables[k] = 0
-            tables[k][own[order[begin]]] = np.add.reduceat(back[order], begin)
+            tables[k][own[order[begin]]] = np.add.reduceat(np.take(back, order, axis=0), begin)
         bias[:], output[:], out_bias[:] = back.sum(axis=0), _crossed(h, p).ravel(), p.sum(axis=0)
         self.squares += gradient * gradient
         self.vector -= rate * gradient / np.sqrt(self.squares)
@@ -479,17 +483,18 @@ def scores(docs: DataFrame) -> DataFrame:
     scores, as each partition trains by itself.
     """
     own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    blocks = staged(packed(own), "blocks")
+    # Bucketed, so that totals come to the texts and not the other way.
+    blocks = Bucketed(packed(own), "blocks", "block").read()
     bits = shard_bits(blocks)
     sums = staged(summed(word_entries(blocks, bits), bits), "word-sums")
     dropped()
     words = staged(listed(sums), "word-counts")
     counts = corpus_counts(own, counts=words)
     # A block without a word has no totals.
-    texts = staged(blocks.join(totals(sums, "word_total"), "block", "left").select("block", "ends", *Packed.COLUMNS, "word_total"), "texts")
-    dropped(blocks, sums, words)
-    ends = texts.agg(F.sum("ends")).collect()[0][0] or 0
-    weights = train(texts, counts)
+    texts = blocks.join(Bucketed(totals(sums, "word_total"), "word-totals", "block").read(), "block", "left")
+    dropped(sums, words)
+    ends = blocks.agg(F.sum("ends")).collect()[0][0] or 0
+    weights = train(blocks, counts)
     pair_sums = staged(summed(pair_entries(texts, bits), bits, keep=False), "pair-sums")
     dropped()
 

@@ -40,6 +40,19 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+class Bucketed:
+    """A table in the shared folder whose rows lie by the hash of a column, so that joins on it leave them where they are."""
+
+    def __init__(self, df: DataFrame, name: str, column: str):
+        spark = df.sparkSession
+        self.spark, self.name, self.path = spark, f"{name.replace('-', '_')}_{uuid.uuid4().hex}", f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+        width = shuffle_width(spark)
+        df.repartition(width, column).write.format("parquet").bucketBy(width, column).sortBy(column).option("path", self.path).saveAsTable(self.name)
+
+    def read(self) -> DataFrame:
+        return self.spark.table(self.name)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Delete staged tables that nothing reads any more, and let Spark clear the shuffles behind them."""
     for df in tables:

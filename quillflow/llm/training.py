@@ -70,21 +70,27 @@ def fitted(sample: DataFrame, fit: Callable[[list[Block], list[int | None]], obj
 def summed(df: DataFrame, size: int, vectors: Callable[[Iterator[pa.RecordBatch]], Iterator[np.ndarray]]) -> np.ndarray:
     """Sum of the vectors (``size`` doubles) that ``vectors`` makes of the batches of each partition.
 
-    A partition adds up its own; those sums meet in ``FAN`` tasks, and the
-    driver adds as many vectors, whatever the number of partitions.
+    A partition adds up its own; the sums meet in a tree, some ``FAN ** 2`` in a
+    task, until the driver adds ``FAN`` vectors, whatever the number of
+    partitions.
     """
 
-    def total(arrays: Iterator[np.ndarray]) -> Iterator[pa.RecordBatch]:
+    def total(arrays: Iterator[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
         out = np.zeros(size)
         for x in arrays:
             out += x
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % FAN], pa.int32()), pa.array([out.tobytes()])], ["part", "sums"])
-
-    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return total(vectors(batches))
-
-    def second(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return total(np.frombuffer(x.as_py()) for batch in batches for x in batch.column("sums"))
-
-    parts = df.mapInArrow(first, "part int, sums binary").repartition(FAN, "part").mapInArrow(second, "part int, sums binary")
-    return np.sum([np.frombuffer(r.sums) for r in parts.collect()] or [np.zeros(size)], axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([out.tobytes()])], ["part", "sums"])
+
+    def again(parts: int) -> Callable:
+        return lambda batches: total((np.frombuffer(x.as_py()) for batch in batches for x in batch.column("sums")), parts)
+
+    schema, n = "part int, sums binary", df._jdf.queryExecution().toRdd().getNumPartitions()
+    width = max(FAN, n // FAN**2)
+    sums = df.mapInArrow(lambda batches: total(vectors(batches), width), schema)
+    while True:
+        following = max(FAN, width // FAN**2)
+        sums = sums.repartition(width, "part").mapInArrow(again(following), schema)
+        if width <= FAN:
+            break
+        width = following
+    return np.sum([np.frombuffer(r.sums) for r in sums.collect()] or [np.zeros(size)], axis=0)

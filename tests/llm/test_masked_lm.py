@@ -1,5 +1,7 @@
 import math
 import random
+import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -131,5 +133,53 @@ def test_words_probabilities_add_up(spark):
     assert math.isclose(sum(want(left, w, right, word) for w in "abc") + rest, 1, rel_tol=1e-9)
 
 
+def test_scores_are_those_of_the_formula(spark, monkeypatch):
+    """Every log-probability by plain loops over words, from the same weights."""
+    rng = random.Random(12)
+    vector = np.random.default_rng(1).normal(0, 0.4, M.Network.SIZE).astype(np.float32)
+    monkeypatch.setattr(M, "train", lambda *_: vector)
+    vocabulary = [f"W{k}" for k in range(150)] + ["É", "a\x00b"]
+    texts = [" ".join(rng.choices(vocabulary, [1 / (k + 1) for k in range(len(vocabulary))], k=rng.randrange(30))) for _ in range(60)] + ["", "once", None]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    got = {r.doc_id: r.log_prob for r in M.scores(docs).collect()}
+
+    lowered = "".join(chr(c + 32) if 65 <= c < 91 else chr(c) for c in range(256))
+    split = [[w for w in re.split(r"[\x20\x09-\x0D]+", (t or "").translate(lowered)) if w] for t in texts]
+    n = Counter(w for words in split for w in words)
+    hashed = lambda w: int(M._words(next(iter(text_blocks(pa.array([w])))))[0][0])
+    key = {w: hashed(w) for w in n}
+    ranked = sorted(n, key=lambda w: (-n[w], key[w] - (1 << 64) * (key[w] >> 63)))
+    classes = {w: k if k < M.SINGLE else int(M.hashed_class(np.array([key[w]], dtype=np.uint64))[0]) for k, w in enumerate(ranked)}
+    totals = Counter()
+    for w in n:
+        totals[classes[w]] += n[w]
+    net, ends = M.Network(vector), sum(map(bool, split))
+    pairs = Counter(x for words in split if words for x in zip(["^", *words], [*words, "^"], strict=True))
+    alone = {**n, "^": ends}
+    for i, words in enumerate(split):
+        want = 0.0
+        for j, w in enumerate(words):
+            hidden = net.bias.astype(np.float64)
+            for table, o in zip(net.tables, M.OFFSETS, strict=True):
+                hidden = hidden + table[classes[words[j + o]] if 0 <= j + o < len(words) else M.CLASSES]
+            logits = np.tanh(hidden) @ net.output + net.out_bias
+            q = np.exp(logits[classes[w]]) / np.exp(logits).sum() * n[w] / totals[classes[w]]
+            left, right = words[j - 1] if j else "^", words[j + 1] if j + 1 < len(words) else "^"
+            sides = ((pairs[left, w] - 1, alone[left] - 1), (pairs[w, right] - 1, alone[right] - 1))
+            want += math.log(sum((k + M.PRIOR * q) / (m + M.PRIOR) for k, m in sides) / 2)
+        assert math.isclose(got[i], want, rel_tol=1e-4, abs_tol=1e-6), i
+
+
+def test_passes_over_all_words_learn(spark):
+    rng = random.Random(3)
+    rows = [(i, " ".join(w for _ in range(200) for w in rng.choice((("a", "b"), ("c", "d"))))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    blocks = M.staged(M.packed(docs), "blocks")
+    counts = M.corpus_counts(docs)
+    around, middle = next(M._packed_positions(blocks.toArrow().to_batches(), M.Lexicon(counts)))
+    before = M.Network.start(counts.totals).log_probabilities(around, middle).mean()
+    assert M.Network(M.train(blocks, counts)).log_probabilities(around, middle).mean() > before + 0.2
+
+
 def test_empty_table(spark):
     assert M.scores(spark.createDataFrame([], "doc_id long, text string")).collect() == []

@@ -117,3 +117,39 @@ def test_tokens_are_words_and_their_beginnings():
     assert words.tolist() == [2, 1]
     # Äöü of the first word, abc of the second; abc and abcd of the third
     assert np.bincount(row).tolist() == [4, 3] and len(np.intersect1d(key[row == 0], key[row == 1])) == 1
+
+
+def test_scores_are_those_of_the_formula(tables, model):
+    """Votes and scores of whole texts by plain loops over words, from the same model."""
+    import math
+    import re
+    from collections import Counter
+
+    def key(text, kind):
+        block = next(iter(text_blocks(pa.array([text]))))
+        own = toxicity.tokens(block)[1]
+        return int(own[0]) if not kind else int(toxicity.mix(toxicity.byte_hash(toxicity.LOWER[block.data]).span(np.array([0]), np.array([len(block.data)])) ^ np.uint64(kind))[0])
+
+    docs, _ = tables
+    known = {int(t) for t in model.tokens}
+    voter_of = dict(zip(model.keys.tolist(), model.voters.tolist(), strict=True))
+    cache = {}
+    texts = [r.text for r in docs.orderBy("doc_id").limit(150).collect()] + ["", "Scum scum SCUM, idiot!"]
+    for text in texts:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")
+        seen = Counter()
+        for w in words:
+            low = "".join(c.lower() if "A" <= c <= "Z" else c for c in w)
+            if low not in cache:
+                cache[low] = [k for k in [key(low, 0), *(key(low[:size], size) for size in toxicity.PREFIXES if size < len(low))] if k in known]
+            seen.update(cache[low])
+        fired = set()
+        for token, times in seen.items():
+            level = min(times, 2) + 2 * (times >= toxicity.DENSE_SHARE * len(words))
+            at = np.array([token], dtype=np.uint64)
+            fired |= {voter_of[k] for k in (int(toxicity.mix(at)[0]), int(toxicity.mix(at + np.uint64(level))[0])) if k in voter_of}
+        total = sum(seen.values())
+        share = 100 * total / max(len(words), 1)
+        logit = model.bias + sum(model.weights[v] for v in fired) + float(np.dot(model.weights[-3:], [math.log1p(total), min(share, 10) / 3, math.log1p(len(words)) / 5]))
+        (got,) = toxicity.probabilities(next(iter(text_blocks(pa.array([text or ""])))), model)
+        assert math.isclose(got, 1 / (1 + math.exp(-logit)), rel_tol=1e-9, abs_tol=1e-12)
