@@ -15,8 +15,18 @@ for each doubling of the input: shards stay near ``SHARD_SIZE``.
 *Inside a shard*, ``local_links`` goes on splitting around vantage points taken
 from the data, now by the distance of all 64 bits, and compares what is left
 directly.  It emits one edge for each fingerprint that has a link, not all
-pairs.  A shard that is still large (near copies in great numbers) is dealt
-over blocks, each pair of blocks being a task of its own.
+pairs.
+
+*Large shards* (near copies in great numbers) are worked on further by the
+cluster, each with a vantage point of its own (``parted``): by turns that of its
+fingerprints which is nearest to the majority of their bits, and any one.  Its
+distances are counted, and what leaves the fewest pairs is done.  Either the
+shard is split at a distance, again with those within ``RADIUS`` of it on both
+sides.  Or the fingerprints within ``RADIUS`` of the vantage point are linked to
+it and need no comparison among themselves: they meet only those at up to twice
+that distance, and the others go on as a shard without them.  What is still
+large after ``ROUNDS`` is dealt over blocks, each pair of blocks being a task of
+its own.
 
 Exact copies share a fingerprint and are one node.  Components are those of
 ``components``.  Every step is exact: no bucket is cut or sampled.
@@ -25,10 +35,11 @@ Exact copies share a fingerprint and are one node.  Components are those of
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .blocks import BLANKS, LOWER, Block, mix, ragged, row_of, text_blocks
@@ -40,6 +51,9 @@ SHINGLE = 3
 SEED = 42
 SHARD_SIZE = 160
 BLOCK_SIZE = 4096
+ROUNDS = 12
+#: A step must leave at most this share of a shard's pairs.
+MOST_LEFT = 0.75
 
 _SPREAD = np.array([sum(((v >> j) & 1) << (8 * j) for j in range(8)) for v in range(256)], dtype=np.uint64)
 
@@ -207,27 +221,86 @@ def _by_group(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[np
         yield np.concatenate(held)
 
 
+def _dealt(rows: DataFrame, blocks: Column, of: str, others: Column, before: bool) -> DataFrame:
+    """Rows of one side of many pairs of blocks, once for each block of the other side."""
+    own, other = F.pmod(F.xxhash64("fp", F.lit(of)), blocks).cast("int"), F.explode(F.sequence(F.lit(0), (others - 1).cast("int")))
+    cut = rows.withColumn("own", own).withColumn("other", other)
+    return cut.select("shard", "fp", *(F.col(x).alias(y) for x, y in zip(("own", "other") if before else ("other", "own"), "ij", strict=True)))
+
+
+def _centres(rows: DataFrame) -> DataFrame:
+    """``shard``, ``n`` and ``v``: the fingerprint that is nearest to the majority of bits in its shard."""
+    ones = [F.sum(F.shiftrightunsigned("fp", b).bitwiseAND(F.lit(1).cast("long"))).alias(f"b{b}") for b in range(64)]
+    bit = lambda b: F.when(2 * F.col(f"b{b}") > F.col("n"), F.lit((1 << b) - (b == 63) * (1 << 64)).cast("long")).otherwise(0)
+    majority = rows.groupBy("shard", "n").agg(*ones).select("shard", reduce(Column.bitwiseOR, [bit(b) for b in range(64)]).alias("centre"))
+    distance = F.bit_count(F.col("fp").bitwiseXOR(F.col("centre")))
+    return rows.join(majority, "shard").groupBy("shard", "n").agg(F.min_by("fp", F.struct(distance, "fp")).alias("v"))
+
+
+def parted(placed: DataFrame, block_size: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
+    """``shard``, ``fp``, ``i``, ``j``: groups of about ``block_size`` in which all partners meet, and the edges (``a``, ``b``: fingerprints) that need no group."""
+    groups: list[DataFrame] = []
+    edges: list[DataFrame] = []
+    whole = lambda df: df.select("shard", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    for r in range(rounds):
+        large = staged(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(r))).alias("v")).filter(F.col("n") > block_size), "large-shards")
+        if large.isEmpty():
+            groups.append(whole(placed))
+            break
+        placed = staged(placed, "placed") if not r else placed
+        groups.append(whole(placed.join(large, "shard", "left_anti")))
+        if r % 2 == 0:
+            large = staged(_centres(placed.join(large.select("shard", "n"), "shard")), "centres")
+        seen = placed.join(large, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))))
+        # A few rows for each large shard: what each distance would leave on either side.
+        by_d = Window.partitionBy("shard").orderBy("d")
+        counts = seen.groupBy("shard", "n", "d").agg(F.count(F.lit(1)).alias("c"))
+        left = F.sum("c").over(by_d.rangeBetween(Window.unboundedPreceding, RADIUS)).cast("double")
+        right = (F.col("n") - F.sum("c").over(by_d.rangeBetween(Window.unboundedPreceding, 0))).cast("double")
+        cost = (left * left + right * right) / (F.col("n").cast("double") * F.col("n"))
+        within = lambda low, high: F.sum(F.when(F.col("d").between(low, high), F.col("c")).otherwise(0))
+        choice = counts.withColumn("cost", cost).groupBy("shard", "n").agg(F.min_by("d", F.struct("cost", "d")).alias("t"), F.min("cost").alias("cost"), within(0, RADIUS).alias("core"), within(RADIUS + 1, 2 * RADIUS).alias("fringe"))
+        share = lambda x: F.col(x).cast("double") / F.col("n")
+        taken = 2 * share("core") * share("fringe") + (1 - share("core")) * (1 - share("core"))
+        kind = F.when(F.least("cost", taken) > MOST_LEFT, "keep").when(taken <= F.col("cost"), "absorb").otherwise("split")
+        choice = staged(choice.withColumn("kind", kind).drop("n"), "choices")
+        chosen = seen.join(choice, "shard")
+        split, absorbed, kept = (chosen.filter(F.col("kind") == k) for k in ("split", "absorb", "keep"))
+        near, far = absorbed.filter(F.col("d") <= RADIUS), absorbed.filter(F.col("d") > RADIUS)
+        edges.append(near.filter("fp <> v").select(F.col("fp").alias("a"), F.col("v").alias("b")))
+        named = lambda df, side: df.select(F.xxhash64("shard", F.lit(2 * r + side)).alias("shard"), "fp")
+        met = near.withColumn("shard", F.xxhash64("shard", F.lit(-1 - r))), far.filter(F.col("d") <= 2 * RADIUS).withColumn("shard", F.xxhash64("shard", F.lit(-1 - r)))
+        cores, fringes = (F.ceil(F.col(x) / block_size) for x in ("core", "fringe"))
+        groups += [_dealt(met[0].filter("fringe > 0"), cores, "core", fringes, True), _dealt(met[1], fringes, "fringe", cores, False)]
+        following = [named(split.filter(F.col("d") <= F.col("t") + RADIUS), 0), named(split.filter(F.col("d") > F.col("t")), 1), named(far, 0), kept.select("shard", "fp")]
+        placed = staged(reduce(DataFrame.unionByName, following), "placed")
+    else:
+        sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_size))
+        rows = placed.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+        groups.append(rows.select("shard", "fp", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j")))
+    return reduce(DataFrame.unionByName, groups), reduce(DataFrame.unionByName, edges) if edges else None
+
+
 def links(nodes: DataFrame, shard_size: int = SHARD_SIZE, block_size: int = BLOCK_SIZE) -> DataFrame:
     """``a``, ``b`` (mixed fingerprints): edges with the components of all links."""
     spark = nodes.sparkSession
     n = nodes.count()
     levels = max(0, int(np.ceil(np.log2(max(1, n) / shard_size))))
-    placed = shards(nodes, levels)
-    large = staged(placed.groupBy("shard").count().filter(F.col("count") > block_size), "large-shards")
-    placed = placed.withColumn("i", F.lit(0)).withColumn("j", F.lit(0))
-    if not large.isEmpty():
-        blocks = F.ceil(F.col("count") / block_size)
-        cut = placed.join(large, "shard", "left").withColumn("blocks", F.coalesce(blocks, F.lit(1)))
-        cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        placed = cut.select("shard", "fp", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"))
+    groups, edges = parted(shards(nodes, levels), block_size)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for fp in _by_group(batches, ["shard", "i", "j"]):
             for a, b in local_links(np.unique(fp)):
                 yield pa.RecordBatch.from_arrays([pa.array(mix(a).view(np.int64)), pa.array(mix(b).view(np.int64))], ["a", "b"])
 
-    dealt = placed.repartition(shuffle_width(spark), "shard", "i", "j").sortWithinPartitions("shard", "i", "j")
-    return dealt.mapInArrow(run, "a long, b long")
+    def renamed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [mix(batch.column(c).to_numpy(zero_copy_only=False).view(np.uint64)).view(np.int64) for c in ("a", "b")]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], ["a", "b"])
+
+    dealt = groups.repartition(shuffle_width(spark), "shard", "i", "j").sortWithinPartitions("shard", "i", "j")
+    found = dealt.mapInArrow(run, "a long, b long")
+    return found if edges is None else found.unionByName(edges.mapInArrow(renamed, "a long, b long"))
 
 
 def near_duplicates(docs: DataFrame, keyed: bool = False) -> DataFrame:

@@ -1,5 +1,6 @@
 import random
 import re
+from collections import Counter
 
 import numpy as np
 import pytest
@@ -91,6 +92,39 @@ def test_links_have_all_components(spark, block_size):
     assert groups(lambda f: found.get(f, f)) == groups(want.get)
 
 
+def test_a_dense_shard_is_not_dealt_over_all_pairs_of_blocks(spark):
+    """Near copies in great numbers and a wide cloud in one shard: far fewer rows than blocks times rows, and the same components."""
+    rng = random.Random(5)
+    centre = rng.getrandbits(64)
+    ball = {centre} | {centre ^ (1 << i) ^ (1 << j) for i in range(64) for j in range(64)}
+    cloud = {rng.getrandbits(64) for _ in range(1500)}
+    fps = sorted(ball | cloud)
+    signed = [(7, f - (f >> 63 << 64)) for f in fps]
+    groups, edges = S.parted(spark.createDataFrame(signed, "shard long, fp long"), 200)
+    dealt = groups.collect()
+    assert len(dealt) < 4 * len(fps)  # pairs of blocks: 18 times
+    assert max(Counter((r.shard, r.i, r.j) for r in dealt).values()) < 700
+    root = {f: f for f in fps}
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    own = lambda x: x & (1 << 64) - 1
+    for r in edges.collect():
+        root[find(own(r.a))] = find(own(r.b))
+    members = {}
+    for r in dealt:
+        members.setdefault((r.shard, r.i, r.j), set()).add(own(r.fp))
+    for group in members.values():
+        for a, b in local_links(np.array(sorted(group), dtype=np.uint64)):
+            for x, y in zip(a.tolist(), b.tolist(), strict=True):
+                root[find(x)] = find(y)
+    want = brute_roots(fps)
+    assert len({find(f) for f in fps}) == len(set(want.values())) and len({find(f) for f in ball}) == 1
+
+
 def test_local_links_splits():
     rng = np.random.default_rng(4)
     base = rng.integers(0, 2**63, 200).astype(np.uint64)
