@@ -75,7 +75,7 @@ def articles(docs: DataFrame, text: str = "text", out: str = "articles") -> Data
     """``docs`` and an array of its articles: ``ord``, ``number``, ``title``, ``text``, ``chapter``, ``section``, ``chars``.
 
     An article lasts until the next one begins; text before the first is left
-    out.  A chapter or section holds until the next of its kind, and a section
+    out.  One whose heading has no number gets that of its place.  A chapter or section holds until the next of its kind, and a section
     isn't ended by a chapter.  A text without articles is one of number 0.
     """
     cut = docs.withColumn("_pieces", pieces(t.text(text), ARTICLE))
@@ -96,7 +96,7 @@ def articles(docs: DataFrame, text: str = "text", out: str = "articles") -> Data
         return t.let(record(head=t.strip(heading(piece)), own=t.strip(piece)), of)
 
     # Arrays meet by zip_with: a lambda that refers to another array would compute it anew for each element.
-    numbered = F.transform(F.zip_with(body, held, article), lambda x, i: record(ord=i, **{k: x[k] for k in ("number", "title", "text", "chapter", "section", "chars")}))
+    numbered = F.transform(F.zip_with(body, held, article), lambda x, i: record(ord=i, number=F.coalesce(x["number"], i + 1), **{k: x[k] for k in ("title", "text", "chapter", "section", "chars")}))
     whole = F.array(record(ord=F.lit(0), number=F.lit(0), title=F.lit(WHOLE_TEXT), text=t.text(text), chapter=F.lit(""), section=F.lit(""), chars=F.length(t.text(text))))
     return cut.withColumn(out, F.when(F.size("_pieces") > 1, numbered).otherwise(whole)).drop("_pieces")
 

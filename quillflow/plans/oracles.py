@@ -313,9 +313,10 @@ def oracle_sql() -> dict[str, str]:
         "html_title": rf"""SELECT page_id, CASE WHEN regexp_matches(html, '(?is)<title(\s[^>]*)?>(.*?)</title\s*>') THEN {_plain(r"regexp_extract(html, '(?is)<title(\s[^>]*)?>(.*?)</title\s*>', 2)")}
             WHEN regexp_matches(html, '(?is)<h1(\s[^>]*)?>(.*?)</h1\s*>') THEN {_plain(r"regexp_extract(html, '(?is)<h1(\s[^>]*)?>(.*?)</h1\s*>', 2)")} END AS title FROM pages""",
         "scraped_content": rf"""
-            WITH {LAWS_SQL}, v AS (SELECT doc_id, text, {fold('text')} AS f FROM laws)
-            SELECT doc_id, 'Unknown' AS title, CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE 'unknown' END AS law_id, CAST(length(text) AS INTEGER) AS char_count, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS word_count,
-                   {has_any('f', STRUCTURE)} AS has_structure, {valid} AS success, CASE WHEN NOT {valid} THEN 'validation failed' END AS error FROM v""",
+            WITH {LAWS_SQL}, t AS (SELECT doc_id, CASE WHEN doc_id % 10 = 2 THEN '' ELSE text END AS text FROM laws), v AS (SELECT doc_id, text, {fold('text')} AS f FROM t),
+            e AS (SELECT *, CASE WHEN doc_id % 10 = 1 THEN 'fetch failed' WHEN doc_id % 10 = 2 THEN 'no content' WHEN NOT {valid} THEN 'validation failed' END AS error FROM v)
+            SELECT doc_id, CASE WHEN doc_id % 10 = 3 THEN 'Tên' ELSE 'Unknown' END AS title, CASE WHEN doc_id % 2 = 0 THEN 'x' ELSE 'unknown' END AS law_id, CAST(length(text) AS INTEGER) AS char_count, CAST(len(regexp_extract_all(text, '\S+')) AS INTEGER) AS word_count,
+                   {has_any('f', STRUCTURE)} AS has_structure, error IS NULL AS success, error FROM e""",
         "domain_classify": f"""
             WITH {CONTRACTS_SQL}, {_CONTRACT}, {_PARTS}, sc AS (SELECT conv_id, parts, [{_SCORES}] AS sc FROM parts WHERE conv_id % 50 <> 7), o AS (SELECT *, list_reverse_sort(sc) AS o FROM sc)
             SELECT conv_id, CASE WHEN o[1] >= 2 AND o[1] >= 2 * o[2] THEN {_list(list(DOMAIN_KEYWORDS))}[list_position(sc, o[1])] ELSE '{DEFAULT_DOMAIN}' END AS domain, CAST(len(parts) AS INTEGER) AS n_clauses, CAST(NULL AS VARCHAR) AS error FROM o

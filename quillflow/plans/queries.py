@@ -340,7 +340,10 @@ def metadata_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scraped_content(spark: SparkSession, sf_dir: str) -> DataFrame:
-    own = laws(spark, sf_dir).select("doc_id", F.col("text").alias("html"), F.col("text").alias("clean_text"), F.lit("").alias("title"), F.when(F.col("doc_id") % 2 == 0, "x").alias("law_id"))
+    """Pages that were not fetched, that have no content, that aren't valid, and that are."""
+    ones = F.pmod("doc_id", F.lit(10))
+    html, clean = F.when(ones != 1, F.col("text")), F.when(ones == 2, "").otherwise(F.col("text"))
+    own = laws(spark, sf_dir).select("doc_id", html.alias("html"), clean.alias("clean_text"), F.when(ones == 3, "Tên").otherwise("").alias("title"), F.when(F.col("doc_id") % 2 == 0, "x").alias("law_id"))
     return scraping.scraped(own, s.MIN_CHARS, s.REQUIRED_KEYWORDS, s.BLACKLIST).select("doc_id", "title", "law_id", "char_count", "word_count", "has_structure", "success", "error")
 
 
