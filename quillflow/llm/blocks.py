@@ -224,3 +224,18 @@ def sums_by_row(values: np.ndarray, first: np.ndarray) -> np.ndarray:
 def row_of(first: np.ndarray) -> np.ndarray:
     """Row of every element, given the bounds of the rows."""
     return np.repeat(np.arange(len(first) - 1), np.diff(first))
+
+
+def squeezed(values: np.ndarray, kind: type) -> bytes:
+    """Bytes of numbers, by planes, compressed."""
+    raw = np.ascontiguousarray(values, dtype=kind)
+    return pa.compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes(), "zstd", asbytes=True) if len(raw) else b""
+
+
+def released(data: bytes, kind: type, n: int) -> np.ndarray:
+    """The ``n`` numbers that were ``squeezed``."""
+    if not n:
+        return np.zeros(0, dtype=kind)
+    size = np.dtype(kind).itemsize
+    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), dtype=np.uint8)
+    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()

@@ -47,6 +47,7 @@ class Counts:
         self.symbols = sums_by_row(SYMBOLS[data], offsets)
         self.lines, self.dup_lines = self._lines(inside)
         self.repeat_words = self._repeats()
+        self.dense: np.ndarray | None = None
 
     def _lines(self, inside: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lines with a word, and those of them equal to an earlier line of the row."""
@@ -90,6 +91,8 @@ DENSE = 10
 
 def dense(counts: Counts) -> np.ndarray:
     """``DENSE`` numbers for every row, each of about unit size."""
+    if counts.dense is not None:
+        return counts.dense
     block = counts.block
     data, offsets = block.data, block.offsets
     size = np.maximum(np.diff(offsets), 1)
@@ -101,6 +104,7 @@ def dense(counts: Counts) -> np.ndarray:
         sums_by_row(_DIGIT[data], offsets) / size * 4, sums_by_row(_MARK[data], offsets) / words * 2, counts.dup_lines / np.maximum(counts.lines, 1) * 2,
         counts.repeat_words / words * 2, sums_by_row(equal, counts.first) / words * 2, (counts.words < 20) * 1.0,
     ], axis=1)
+    counts.dense = out
     return out
 
 
@@ -131,22 +135,23 @@ def grams(counts: Counts) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     yield len(CHAR_ORDERS) + 1, pair[inside], np.concatenate([[0], np.cumsum(np.maximum(counts.words - 1, 0))])
 
 
-def linear(counts: Counts, weights: np.ndarray, dense_weights: np.ndarray, bias: float) -> np.ndarray:
-    """Linear score of every row."""
+Grams = list[tuple[int, np.ndarray, np.ndarray]]
+
+
+def linear(counts: Counts, weights: np.ndarray, dense_weights: np.ndarray, bias: float, found: Grams | None = None) -> np.ndarray:
+    """Linear score of every row; ``found`` are the block's n-grams, if they are known already."""
     out = bias + dense(counts) @ dense_weights
-    for kind, bucket, bounds in grams(counts):
-        own = weights[kind << BITS : (kind + 1) << BITS]
+    for kind, bucket, bounds in grams(counts) if found is None else found:
         total = np.zeros(len(bucket) + 1)
-        np.cumsum(own[bucket], out=total[1:])
-        n = np.diff(bounds)
-        out += (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(n, 1)
+        np.cumsum(np.take(weights[kind << BITS : (kind + 1) << BITS], bucket), out=total[1:])
+        out += (total[bounds[1:]] - total[bounds[:-1]]) / np.maximum(np.diff(bounds), 1)
     return out
 
 
-def slope_sums(counts: Counts, slope: np.ndarray) -> np.ndarray:
+def slope_sums(counts: Counts, slope: np.ndarray, found: Grams | None = None) -> np.ndarray:
     """Gradient of a block's loss: of all weights, of the dense ones and of the bias, in one vector."""
     out = np.zeros(WEIGHTS + DENSE + 1)
-    for kind, bucket, bounds in grams(counts):
+    for kind, bucket, bounds in grams(counts) if found is None else found:
         n = np.diff(bounds)
         out[kind << BITS : (kind + 1) << BITS] = np.bincount(bucket, np.repeat(slope / np.maximum(n, 1), n), minlength=1 << BITS)
     out[WEIGHTS:-1], out[-1] = dense(counts).T @ slope, slope.sum()

@@ -43,6 +43,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import BLANKS, LOWER, Block, byte_hash, mix, row_of, text_blocks
+from .blocks import released as _released
+from .blocks import squeezed as _squeezed
 from .tables import Bucketed, dropped, staged
 from .training import summed as summed_vectors
 
@@ -63,7 +65,7 @@ MOST_LOGIT = np.float32(80)
 STRIP = 64
 PACKED_BYTES = 2 << 20
 #: Shards of keys: so many at least, and none of many more entries than this.
-LEAST_SHARDS = 64
+LEAST_SHARDS = 8
 SHARD_ENTRIES = 1 << 19
 #: Bits of a pair's key beside those that name its shard: of a shard's entries, one in two million meets another.
 PAIR_BITS = 40
@@ -106,20 +108,6 @@ def hashed_class(keys: np.ndarray) -> np.ndarray:
     return SINGLE + (keys >> np.uint64(20)).astype(np.int64) % (CLASSES - SINGLE)
 
 
-def _squeezed(values: np.ndarray, kind: type) -> bytes:
-    """Bytes of small integers, by planes, compressed."""
-    raw = np.ascontiguousarray(values, dtype=kind)
-    return pa.compress(raw.view(np.uint8).reshape(len(raw), -1).T.tobytes(), "zstd", asbytes=True) if len(raw) else b""
-
-
-def _released(data: bytes, kind: type, n: int) -> np.ndarray:
-    if not n:
-        return np.zeros(0, dtype=kind)
-    size = np.dtype(kind).itemsize
-    planes = np.frombuffer(pa.decompress(data, n * size, "zstd", asbytes=True), dtype=np.uint8)
-    return np.ascontiguousarray(planes.reshape(size, n).T).view(kind).ravel()
-
-
 def packed(docs: DataFrame) -> DataFrame:
     """Texts in blocks of about ``PACKED_BYTES``: ids, words of each row, the block's different words with their counts, and which of them stands where."""
 

@@ -34,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .blocks import Block, byte_hash, text_blocks
-from .features import DENSE, WEIGHTS, Counts, Matrix, descend, linear, sigmoid, slope_sums
+from .features import DENSE, WEIGHTS, Counts, Matrix, descend, grams, linear, sigmoid, slope_sums
 from .training import SAMPLE_BYTES, SAMPLE_ROWS, fitted, fold, labelled_sample, summed
 
 PREDICT_AT = 0.7
@@ -120,9 +120,10 @@ def over_all(docs: DataFrame, start: Start) -> tuple[np.ndarray, float, np.ndarr
         for batch in batches:
             for block in text_blocks(batch.column("text")):
                 counts, half = Counts(block), _half(block)
-                scores = np.where(half == 0, linear(counts, *start.blind[0]), linear(counts, *start.blind[1]))
-                own = linear(counts, *start.model)
-                yield np.concatenate([np.bincount(_bins(scores), minlength=BINS), [np.logaddexp(0, own).sum()], slope_sums(counts, sigmoid(own))])
+                found = [*grams(counts)]
+                scores = np.where(half == 0, linear(counts, *start.blind[0], found), linear(counts, *start.blind[1], found))
+                own = linear(counts, *start.model, found)
+                yield np.concatenate([np.bincount(_bins(scores), minlength=BINS), [np.logaddexp(0, own).sum()], slope_sums(counts, sigmoid(own), found)])
 
     total = summed(docs.select(F.col("text").cast("string").alias("text")), BINS + 1 + WEIGHTS + DENSE + 1, vectors)
     n = max(1.0, total[:BINS].sum())

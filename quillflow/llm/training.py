@@ -11,7 +11,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .blocks import Block, text_blocks
+from .blocks import Block, released, squeezed, text_blocks
 from .tables import staged
 
 #: Labelled rows that a model is fitted to: so many at most, of so many bytes in all.
@@ -19,6 +19,7 @@ SAMPLE_ROWS = 4000
 SAMPLE_BYTES = 16 << 20
 #: Vectors that come to the driver from one sum over all rows.
 FAN = 4
+LONG = 100_000
 
 
 def fold(modulus: int, doc_id: str = "doc_id") -> Column:
@@ -72,17 +73,21 @@ def summed(df: DataFrame, size: int, vectors: Callable[[Iterator[pa.RecordBatch]
 
     A partition adds up its own; the sums meet in a tree, some ``FAN ** 2`` in a
     task, until the driver adds ``FAN`` vectors, whatever the number of
-    partitions.
+    partitions.  They travel compressed, long ones with the seven digits of
+    float32.
     """
+    kind = np.float64 if size < LONG else np.float32
 
     def total(arrays: Iterator[np.ndarray], parts: int) -> Iterator[pa.RecordBatch]:
-        out = np.zeros(size)
+        out, some = np.zeros(size), False
         for x in arrays:
             out += x
-        yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([out.tobytes()])], ["part", "sums"])
+            some = True
+        if some:  # however many partitions have nothing
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % parts], pa.int32()), pa.array([squeezed(out, kind)])], ["part", "sums"])
 
     def again(parts: int) -> Callable:
-        return lambda batches: total((np.frombuffer(x.as_py()) for batch in batches for x in batch.column("sums")), parts)
+        return lambda batches: total((released(x.as_py(), kind, size) for batch in batches for x in batch.column("sums")), parts)
 
     schema, n = "part int, sums binary", df._jdf.queryExecution().toRdd().getNumPartitions()
     width = max(FAN, n // FAN**2)
@@ -93,4 +98,4 @@ def summed(df: DataFrame, size: int, vectors: Callable[[Iterator[pa.RecordBatch]
         if width <= FAN:
             break
         width = following
-    return np.sum([np.frombuffer(r.sums) for r in sums.collect()] or [np.zeros(size)], axis=0)
+    return np.sum([released(bytes(r.sums), kind, size) for r in sums.collect()] or [np.zeros(size)], axis=0, dtype=np.float64)

@@ -134,7 +134,7 @@ def test_scores_are_those_of_the_formula(tables, model):
     known = {int(t) for t in model.tokens}
     voter_of = dict(zip(model.keys.tolist(), model.voters.tolist(), strict=True))
     cache = {}
-    texts = [r.text for r in docs.orderBy("doc_id").limit(150).collect()] + ["", "Scum scum SCUM, idiot!"]
+    texts = [r.text for r in docs.orderBy("doc_id").limit(40).collect()] + ["", "Scum scum SCUM, idiot!"]
     for text in texts:
         words = re.findall(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", text or "")
         seen = Counter()
