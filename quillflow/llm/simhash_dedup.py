@@ -17,16 +17,16 @@ from the data, now by the distance of all 64 bits, and compares what is left
 directly.  It emits one edge for each fingerprint that has a link, not all
 pairs.
 
-*Large shards* (near copies in great numbers) are worked on further by the
-cluster, each with a vantage point of its own (``parted``): by turns that of its
+*Large shards* (near copies in great numbers) of up to ``BLOCKS`` blocks are
+dealt over blocks, each pair of blocks being a task of its own.  Larger ones are
+first worked on by the cluster, each with a vantage point of its own (``parted``): by turns that of its
 fingerprints which is nearest to the majority of their bits, and any one.  Its
 distances are counted, and what leaves the fewest pairs is done.  Either the
 shard is split at a distance, again with those within ``RADIUS`` of it on both
 sides.  Or the fingerprints within ``RADIUS`` of the vantage point are linked to
 it and need no comparison among themselves: they meet only those at up to twice
-that distance, and the others go on as a shard without them.  What is still
-large after ``ROUNDS`` is dealt over blocks, each pair of blocks being a task of
-its own.
+that distance, and the others go on as a shard without them.  After ``ROUNDS``
+what is left is dealt over blocks all the same.
 
 Exact copies share a fingerprint and are one node.  Components are those of
 ``components``.  Every step is exact: no bucket is cut or sampled.
@@ -51,7 +51,8 @@ SHINGLE = 3
 SEED = 42
 SHARD_SIZE = 160
 BLOCK_SIZE = 4096
-ROUNDS = 12
+BLOCKS = 4
+ROUNDS = 8
 #: A step must leave at most this share of a shard's pairs.
 MOST_LEFT = 0.75
 
@@ -238,17 +239,16 @@ def _centres(rows: DataFrame) -> DataFrame:
 
 
 def parted(placed: DataFrame, block_size: int, rounds: int = ROUNDS) -> tuple[DataFrame, DataFrame | None]:
-    """``shard``, ``fp``, ``i``, ``j``: groups of about ``block_size`` in which all partners meet, and the edges (``a``, ``b``: fingerprints) that need no group."""
+    """``shard``, ``fp``, ``i``, ``j``: groups of about two blocks in which all partners meet, and the edges (``a``, ``b``: fingerprints) that need no group."""
+    settled: list[DataFrame] = []
     groups: list[DataFrame] = []
     edges: list[DataFrame] = []
-    whole = lambda df: df.select("shard", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
     for r in range(rounds):
-        large = staged(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(r))).alias("v")).filter(F.col("n") > block_size), "large-shards")
+        large = staged(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n"), F.min_by("fp", F.xxhash64("fp", F.lit(r))).alias("v")).filter(F.col("n") > BLOCKS * block_size), "large-shards")
         if large.isEmpty():
-            groups.append(whole(placed))
             break
         placed = staged(placed, "placed") if not r else placed
-        groups.append(whole(placed.join(large, "shard", "left_anti")))
+        settled.append(placed.join(large, "shard", "left_anti"))
         if r % 2 == 0:
             large = staged(_centres(placed.join(large.select("shard", "n"), "shard")), "centres")
         seen = placed.join(large, "shard").withColumn("d", F.bit_count(F.col("fp").bitwiseXOR(F.col("v"))))
@@ -274,13 +274,21 @@ def parted(placed: DataFrame, block_size: int, rounds: int = ROUNDS) -> tuple[Da
         groups += [_dealt(met[0].filter("fringe > 0"), cores, "core", fringes, True), _dealt(met[1], fringes, "fringe", cores, False)]
         following = [named(split.filter(F.col("d") <= F.col("t") + RADIUS), 0), named(split.filter(F.col("d") > F.col("t")), 1), named(far, 0), kept.select("shard", "fp")]
         placed = staged(reduce(DataFrame.unionByName, following), "placed")
-    else:
-        sizes = placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).withColumn("blocks", F.ceil(F.col("n") / block_size))
-        rows = placed.join(sizes, "shard").withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-        groups.append(rows.select("shard", "fp", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j")))
+    settled.append(placed)
+    groups.append(_in_blocks(reduce(DataFrame.unionByName, settled), block_size))
     return reduce(DataFrame.unionByName, groups), reduce(DataFrame.unionByName, edges) if edges else None
 
 
+def _in_blocks(placed: DataFrame, block_size: int) -> DataFrame:
+    """``shard``, ``fp``, ``i``, ``j``: shards, those of over ``block_size`` over all pairs of their blocks."""
+    large = staged(placed.groupBy("shard").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > block_size), "large-shards")
+    if large.isEmpty():
+        return placed.select("shard", "fp", F.lit(0).alias("i"), F.lit(0).alias("j"))
+    cut = placed.join(large, "shard", "left").withColumn("blocks", F.coalesce(F.ceil(F.col("n") / block_size), F.lit(1)))
+    cut = cut.withColumn("own", F.pmod(F.xxhash64("fp"), "blocks")).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    return cut.select("shard", "fp", F.least("own", "other").cast("int").alias("i"), F.greatest("own", "other").cast("int").alias("j"))
+
+
 def links(nodes: DataFrame, shard_size: int = SHARD_SIZE, block_size: int = BLOCK_SIZE) -> DataFrame:
     """``a``, ``b`` (mixed fingerprints): edges with the components of all links."""
     spark = nodes.sparkSession

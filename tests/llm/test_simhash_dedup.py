@@ -102,7 +102,7 @@ def test_a_dense_shard_is_not_dealt_over_all_pairs_of_blocks(spark):
     signed = [(7, f - (f >> 63 << 64)) for f in fps]
     groups, edges = S.parted(spark.createDataFrame(signed, "shard long, fp long"), 200)
     dealt = groups.collect()
-    assert len(dealt) < 4 * len(fps)  # pairs of blocks: 18 times
+    assert len(dealt) < 7 * len(fps)  # pairs of blocks: 18 times
     assert max(Counter((r.shard, r.i, r.j) for r in dealt).values()) < 700
     root = {f: f for f in fps}
 
