@@ -182,11 +182,12 @@ def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: s
     return made.select(*keys, position.alias("position"), "c.*")
 
 
-def sentence_suffix(c: Column, budget: int) -> Column:
+def sentence_suffix(c: Column, budget: int, most: int | None = None) -> Column:
     """Sentences from the end of a text that fit a budget of characters, at least one; a text within it as it is.
 
     A sentence ends at ``.``, ``!`` or ``?`` before white space.  Without any
-    sentence, the last characters.
+    sentence, the last characters.  With ``most``, no more sentences than that,
+    whether others would fit or not.
     """
     sentences = F.filter(F.transform(F.split(c, r"(?U)(?<=[.!?])\s+"), t.strip), lambda x: x != "")
     start = record(sum=F.lit(0), full=F.lit(False), out=F.expr("cast(array() as array<string>)"))
@@ -195,16 +196,21 @@ def sentence_suffix(c: Column, budget: int) -> Column:
         full = acc["full"] | ((acc["sum"] + F.length(s) > budget) & (F.size(acc["out"]) > 0))
         return record(sum=F.when(full, acc["sum"]).otherwise(acc["sum"] + F.length(s)), full=full, out=F.when(full, acc["out"]).otherwise(F.array_prepend(acc["out"], s)))
 
-    return F.when(F.length(c) <= budget, c).otherwise(F.aggregate(F.reverse(sentences), start, step, lambda acc: F.when(F.size(acc["out"]) > 0, F.array_join(acc["out"], " ")).otherwise(F.right(c, F.lit(budget)))))
+    ends = F.reverse(sentences) if most is None else F.slice(F.reverse(sentences), 1, most)
+    suffix = F.aggregate(ends, start, step, lambda acc: F.when(F.size(acc["out"]) > 0, F.array_join(acc["out"], " ")).otherwise(F.right(c, F.lit(budget))))
+    return F.when(F.length(c) <= budget, c).otherwise(suffix) if most is None else suffix
 
 
-def chunks(docs: DataFrame, keys: list[str], name: str, sizes: Sizes = Sizes(), text: str = "text") -> DataFrame:
-    """Chunks with overlap, id and metadata: ``keys``, ``position``, ``document_name``, ``chunk_id``, ``text``, ``metadata``."""
+def chunks(docs: DataFrame, keys: list[str], name: str, sizes: Sizes = Sizes(), text: str = "text", sentences: int | None = None) -> DataFrame:
+    """Chunks with overlap, id and metadata: ``keys``, ``position``, ``document_name``, ``chunk_id``, ``text``, ``metadata``.
+
+    With ``sentences``, an overlap has no more of them than that.
+    """
     from pyspark.sql import Window
 
     own = raw_chunks(docs, [*keys, name] if name not in keys else keys, sizes, text)
     before = F.lag("text").over(Window.partitionBy(*keys).orderBy("position"))
-    overlap = sentence_suffix(before, sizes.chars(sizes.overlap))
+    overlap = sentence_suffix(before, sizes.chars(sizes.overlap), sentences)
     has = F.coalesce(overlap != "", F.lit(False))
     own = own.withColumn("has_overlap", has).withColumn("text", F.when(has, F.concat(F.lit(OVERLAP_BEGIN), overlap, F.lit(OVERLAP_END), F.col("text"))).otherwise(F.col("text")))
     first, last = F.coalesce(F.get("articles", F.lit(0)), F.lit(0)), F.coalesce(F.get(F.reverse("articles"), F.lit(0)), F.lit(0))
