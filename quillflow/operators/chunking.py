@@ -148,18 +148,20 @@ def clause_parts(c: Column, high: int) -> Column:
     return F.when(F.size(cut) <= 2, F.array(c)).otherwise(t.let(clauses, texts))
 
 
-def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: str = "text") -> DataFrame:
+def raw_chunks(docs: DataFrame, keys: list[str], sizes: Sizes = Sizes(), text: str = "text", by: list[str] | None = None) -> DataFrame:
     """One row for each chunk before overlaps: ``keys``, ``position`` (from 0), ``text``, ``articles`` (numbers), ``chapter``, ``section``, ``title``, ``part``.
 
     ``keys`` tell the documents apart.  Articles become rows, of which a group
     holds a few; one shuffle by ``keys`` serves the groups and their order.
+    ``by`` are those of the keys to shuffle by: a constant among them, or one
+    that a later window leaves out, would make Spark shuffle again.
     """
     low, high = sizes.chars(sizes.low), sizes.chars(sizes.high)
     read = articles(docs, text).select(*keys, "articles")
     grouped = read.withColumn("_group", merge_short(F.transform("articles", lambda a: a["chars"]), low))
     # Outer, as there is always an article: for others Spark would infer a filter that computes them all once more.
     rows = grouped.select(*keys, F.inline_outer(F.zip_with("articles", "_group", lambda a, g: record(_g=g, a=a))))
-    each = rows.repartition(*keys).groupBy(*keys, "_g").agg(F.array_sort(F.collect_list("a")).alias("_own"))
+    each = rows.repartition(*(by or keys)).groupBy(*keys, "_g").agg(F.array_sort(F.collect_list("a")).alias("_own"))
     joined = F.array_join(F.transform("_own", lambda a: a["text"]), "\n\n")
     first = F.get("_own", F.lit(0))
     kind = "text string, articles array<int>, chapter string, section string, title string, part int"
@@ -208,7 +210,7 @@ def chunks(docs: DataFrame, keys: list[str], name: str, sizes: Sizes = Sizes(),
     """
     from pyspark.sql import Window
 
-    own = raw_chunks(docs, [*keys, name] if name not in keys else keys, sizes, text)
+    own = raw_chunks(docs, [*keys, name] if name not in keys else keys, sizes, text, keys)
     before = F.lag("text").over(Window.partitionBy(*keys).orderBy("position"))
     overlap = sentence_suffix(before, sizes.chars(sizes.overlap), sentences)
     has = F.coalesce(overlap != "", F.lit(False))
